@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ans, packing, suffix_dedup
+from . import ans, balance, decontaminate, html_text, packing, pitman_yor, quality_rules, simhash, suffix_dedup, warc
 
-_MODULES = [suffix_dedup, packing, ans]
+_MODULES = [suffix_dedup, quality_rules, simhash, packing, ans, decontaminate, balance, warc, pitman_yor, html_text]
 
 
 def queries() -> dict:
