@@ -25,7 +25,7 @@ from ._spark import checkpointed, join_hot, pieces, table, utf8
 SHARDS, OVERHEAD = 40, 16
 #: Groups of a bucket on average; most buckets; bundles of each grade, all buckets together; a group
 #: of over 1/LARGE of all bytes is no part of a bundle.
-BUCKET_GROUPS, MOST_BUCKETS, BUNDLES, LARGE = 50_000, 4096, 8192, 16_384
+BUCKET_GROUPS, MOST_BUCKETS, BUNDLES, LARGE = 4_000, 4096, 8192, 16_384
 #: Of each 64 groups, those that go to bundles of the second and of the third grade.
 _SECOND, _THIRD = 8, 2
 
@@ -68,7 +68,7 @@ def shards_of_groups(groups: DataFrame, k: int) -> DataFrame:
         return groups.select("key", F.lit(0).alias("shard"))
     large = F.col("bytes") > int(whole) // LARGE
     buckets = min(MOST_BUCKETS, pieces(n, BUCKET_GROUPS))
-    per_grade = max(k, BUNDLES // buckets) if buckets < MOST_BUCKETS else max(2, BUNDLES // buckets)
+    per_grade = max(2, BUNDLES // buckets)
 
     def bundle(t: pa.Table) -> pa.Table:
         t = t.sort_by([("bytes", "descending"), ("key", "ascending")])
