@@ -32,7 +32,7 @@ from ._grams import Anchors, anchors, fingerprints, gram_length
 from ._spark import pieces, table, utf8, without
 
 WINDOW = 50
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 _LAST = np.iinfo(np.int64).max
 #: Suffixes are ordered by the fingerprint of their first gram, big-endian, then by their bytes:
 #: so ranges of equal width hold equally many of them, whatever the language.
