@@ -6,6 +6,7 @@ its pieces in order. Texts with white space other than ASCII's are encoded whole
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -24,6 +25,11 @@ _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 #: Bytes with which such white space starts.
 _MAY_BE_OTHER = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+#: Latin letters, all of them one character in lower case and composed, and marks that are neither letters nor digits.
+_SIMPLE = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,!?#*%$&|;:]*)")
+#: The character that stands for each byte in a byte-level vocabulary: itself if it is printable in Latin-1, else the next from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -39,6 +45,7 @@ class Encoder:
         #: A control character is no part of a longer token, and white space keeps it from its neighbours.
         self.between = b" " + MARK + b" " if self.words_only else b"\n"
         self.mark = self.tokenizer.encode((MARK if self.words_only else b"\n").decode(), add_special_tokens=False).ids[-1]
+        self.marks: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -56,17 +63,55 @@ class Encoder:
         every = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)]
         return [i for x in every for i in x], np.array([len(x) for x in every], np.int64)
 
+    def _stem(self, lead: str, letters: str) -> list[int]:
+        """Ids of letters, which are one word of the model, after a space or not."""
+        if self.words_only:
+            letters = letters.lower()
+        mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SHOWN)
+        return [t.id for t in self.tokenizer.model.tokenize(f"\u0120{mapped}" if lead else mapped)]
+
+    def _learn_simple(self, new: list[bytes]) -> list[bytes]:
+        """Learns words of Latin letters with marks behind them; returns the other pieces."""
+        other, done, parts, lengths, stems = [], [], [], [], {}
+        for piece in new:
+            m = _SIMPLE.fullmatch(piece.decode("utf-8", "replace"))
+            if m is None:
+                other.append(piece)
+                continue
+            lead, letters, marks = m.groups()
+            ids = stems.get((lead, letters))
+            if ids is None:
+                ids = stems[lead, letters] = self._stem(lead, letters)
+            if marks:
+                if marks not in self.marks:
+                    self.marks[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+                ids = ids + self.marks[marks]
+            done.append(piece)
+            parts += ids
+            lengths.append(len(ids))
+        self._keep(done, parts, lengths)
+        return other
+
+    def _keep(self, pieces: list[bytes], ids, lengths) -> None:
+        used = int(self.ends[-1])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[used : used + len(ids)] = ids
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        self.ends = np.concatenate((self.ends, used + np.cumsum(np.array(lengths, np.int64))))
+
     def _learn(self, new: list[bytes]) -> None:
+        collects = gc.isenabled()
+        gc.disable()  # many small lists, none of them in a cycle
+        try:
+            new = self._learn_simple(new)
+        finally:
+            if collects:
+                gc.enable()
         plain, blank = [x for x in new if not x.isspace()], [x for x in new if x.isspace()]
         for group in (plain, *([x] for x in blank)):
             if group:
-                ids, lengths = self._encoded(group)
-                used = int(self.ends[-1])
-                while used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-                self.ids[used : used + len(ids)] = ids
-                self.known.update(zip(group, range(len(self.known), len(self.known) + len(group))))
-                self.ends = np.concatenate((self.ends, used + np.cumsum(lengths)))
+                self._keep(group, *self._encoded(group))
 
     def _starts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces start, and which of them count."""

@@ -62,7 +62,11 @@ def quantized(counts: np.ndarray, bits: int) -> np.ndarray:
 
 
 def encode_segment(ids: np.ndarray, *, block_tokens: int = BLOCK_TOKENS, lanes: int = LANES) -> bytes:
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int64)
+    place[symbols] = np.arange(len(symbols))
+    index, counts = place[ids], counts[symbols]
     bits = max(12, min(24, int(len(ids) - 1).bit_length(), 20), int(len(symbols)).bit_length())
     freq = quantized(counts, bits)
     n_blocks = -(-len(ids) // block_tokens)

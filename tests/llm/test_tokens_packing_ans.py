@@ -8,7 +8,7 @@ from aerolith.llm import ans, packing
 from aerolith.llm._tokens import BYTE_LEVEL, WORD_LEVEL, Encoder, encoder, resolved
 from tokenizers import Tokenizer
 
-ODD = ["a  b\n\n c \t d ", " \n x", "it's don't 'tis 12345 a1b2", "foo  bar　\n z", "<|endoftext|> x <|startoftext|>", "É́ ß ſ Σ ΣΑΣ", "", " ", "\n", "a\x1cb", "tab\tx\r\ny", "end   ", "​x y", "x\x0b\x0cy  \x0bz", "a\x01b c", "x \x01 y", "  lead", "\0", "word " * 3000]
+ODD = ["Größe. naïve, ſtr İstanbul!! ĳ ŉ x*** ###a b.c Ça’s élan;: × ÷", "THE End.", "a  b\n\n c \t d ", " \n x", "it's don't 'tis 12345 a1b2", "foo  bar　\n z", "<|endoftext|> x <|startoftext|>", "É́ ß ſ Σ ΣΑΣ", "", " ", "\n", "a\x1cb", "tab\tx\r\ny", "end   ", "​x y", "x\x0b\x0cy  \x0bz", "a\x01b c", "x \x01 y", "  lead", "\0", "word " * 3000]
 
 
 def plain(name):
@@ -106,7 +106,7 @@ def test_segments_round_trip_and_notice_damage():
 
 def test_files_give_back_every_document(spark, tmp_path):
     texts = ODD * 3 + [None]
-    docs = [(7 * i % 59 - 3, t) for i, t in enumerate(texts)] + [(None, "null id")]
+    docs = [(7 * i % 101 - 3, t) for i, t in enumerate(texts)] + [(None, "null id")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     ans.write(df, str(tmp_path / "a"), part_bytes=9000, segment_tokens=300)
     rows = {r.doc_id: r for r in ans.read(spark, str(tmp_path / "a")).collect()}
