@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import curate, flight
+
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL = flight.QUERIES | curate.QUERIES
+flagship = flight.flagship
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
