@@ -17,7 +17,7 @@ import pyarrow as pa
 
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces that a worker keeps; when there are more it starts anew.
-CACHED = 1_000_000
+CACHED = 700_000
 #: Bytes of text that are cut and looked up together.
 BATCH = 6 << 20
 MARK = b"\x01"
