@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released() -> None:
+    """Gives memory that a worker no longer uses back to the system, so that the workers of an executor fit beside it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def utf8(column: str | Column) -> Column:
     """A string's UTF-8 bytes; null is empty."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("binary"), F.lit(b""))

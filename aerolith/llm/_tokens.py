@@ -17,9 +17,9 @@ import pyarrow as pa
 
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces that a worker keeps; when there are more it starts anew.
-CACHED = 700_000
+CACHED = 450_000
 #: Bytes of text that are cut and looked up together.
-BATCH = 6 << 20
+BATCH = 4 << 20
 MARK = b"\x01"
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")

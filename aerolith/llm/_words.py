@@ -13,7 +13,7 @@ LETTERS = (np.arange(256) >= 128) | np.isin(np.arange(256), [*range(48, 58), *ra
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are worked on together.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 class Words(NamedTuple):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import pieces, table, utf8
+from ._spark import pieces, released, table, utf8
 from ._tokens import BYTE_LEVEL, encoder, resolved
 
 END_ID = 2
@@ -178,6 +178,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str = BYTE_LEVEL, end_id: in
                         ids, lengths, doc_ids, held = [], [], [], 0
         if doc_ids:
             yield row()
+        released()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text")).repartitionByRange(n, "_id").sortWithinPartitions("_id")
     ordered.mapInArrow(coded, _SCHEMA).write.parquet(path)

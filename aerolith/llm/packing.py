@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import pieces, table, utf8, without
+from ._spark import pieces, released, table, utf8, without
 from ._tokens import WORD_LEVEL, encoder, resolved
 
 CAPACITY = 4096
@@ -51,6 +51,7 @@ def token_pieces(docs: DataFrame, *, tokenizer: str = WORD_LEVEL, capacity: int
                 offsets = np.concatenate((((ends - counts - 1)[of] + start), ends[-1:])) * 4
                 held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(whole.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + i)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), held.cast(pa.binary())], [id_col, "piece", "start", "length", "ids"])
+        released()
 
     return docs.select(id_col, utf8(text_col).alias("_text")).mapInArrow(cut, schema)
 

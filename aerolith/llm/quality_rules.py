@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, join_hot, table, utf8, without
+from ._spark import checkpointed, join_hot, released, table, utf8, without
 from ._words import NOT_SPACE, batches, by_text, words
 
 #: A rule: the two counts whose ratio it looks at, from where a document fails, and from where by far.
@@ -97,6 +97,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in rows:
             found = measures(batch.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(np.ascontiguousarray(x)) for x in found.T)], [*names, *_COUNTS])
+        released()
 
     return docs.select(*[F.col(f"`{c}`") for c in names], utf8(text_col).alias("_text")).mapInArrow(count, schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, join_hot, table, utf8
+from ._spark import checkpointed, join_hot, released, table, utf8
 from ._words import NOT_SPACE, batches, words
 
 SEED, RADIUS, WORDS = 42, 4, 4
@@ -72,6 +72,7 @@ def fingerprinted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(batch.column(1).to_pylist()).view(np.int64))], [id_col, "fp"])
+        released()
 
     return docs.select(id_col, utf8(text_col).alias("_text")).mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._grams import Anchors, anchors, fingerprints, gram_length
-from ._spark import pieces, table, utf8, without
+from ._spark import pieces, released, table, utf8, without
 
 WINDOW = 50
 CHUNK_BYTES = 8 << 20
@@ -381,6 +381,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         sizes = np.diff(chunk.bounds)
         ends = np.concatenate(([0], np.cumsum(sizes - n_gone))).astype(np.int64)
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(left.tobytes())])
+        del chunk, gone, begins, left, masks, inverse, counts
+        released()
         out = {c: t[c] for c in others}
         return pa.table(out | {"n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": kept.cast(pa.binary())})
 
