@@ -95,32 +95,38 @@ def write(pages: DataFrame, path: str, *, file_records: int = FILE_RECORDS) -> N
 
 
 def records(pieces_of_file: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, int, dict[str, str], bytes]]:
-    """(file, number in the file, header fields, block) of each record, from pieces between blank lines."""
+    """(file, number in the file, header fields, block) of each record.
+
+    Pieces are what stands between blank lines, wherever a payload put those: they are laid end to end
+    again, and only Content-Length tells where a record ends.
+    """
     gap = BLANK.encode()
-    name, number, head, block, want = "", 0, None, [], 0
+    name, number, head, held, want = "", 0, None, bytearray(), 0
     for file, piece in pieces_of_file:
         if file != name:
-            if head is not None:
+            if head is not None or held.strip(b"\r\n"):
                 raise ValueError(f"{name} ends within a record")
-            name, number = file, 0
-        if head is None:
-            lines = piece.decode().split("\r\n")
-            if lines[0] != "WARC/1.1":
-                raise ValueError(f"{name}: no record at number {number}")
-            head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-            block, want = [], int(head["Content-Length"])
-            continue
-        block.append(piece)
-        want -= len(piece)
-        if want > 0:
-            want -= len(gap)
-            if want >= 0:
-                continue
-        if want < 0:
-            raise ValueError(f"{name}: record {number} is longer than it says")
-        yield name, number, head, gap.join(block)
-        number, head = number + 1, None
-    if head is not None:
+            name, number, held = file, 0, bytearray()
+        held += piece + gap
+        while True:
+            if head is None:
+                end = held.find(gap)
+                if end < 0 or not held.strip(b"\r\n"):
+                    break
+                lines = held[:end].decode().split("\r\n")
+                if lines[0] != "WARC/1.1":
+                    raise ValueError(f"{name}: no record at number {number}")
+                head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+                del held[: end + len(gap)]
+                want = int(head["Content-Length"])
+            if len(held) < want + len(gap):
+                break
+            if held[want : want + len(gap)] != gap:
+                raise ValueError(f"{name}: record {number} is longer than it says")
+            yield name, number, head, bytes(held[:want])
+            del held[: want + len(gap)]
+            number, head = number + 1, None
+    if head is not None or held.strip(b"\r\n"):
         raise ValueError(f"{name} ends within a record")
 
 
