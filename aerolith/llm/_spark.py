@@ -36,6 +36,18 @@ def released() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def trimmed(work):
+    """work, a function of Arrow tables, after which its worker gives memory back."""
+
+    def run(*tables):
+        out = work(*tables)
+        released()
+        return out
+
+    # the number of arguments tells Spark whether the function also takes the key
+    return (lambda t: run(t)) if work.__code__.co_argcount == 1 else (lambda t, u: run(t, u))
+
+
 def utf8(column: str | Column) -> Column:
     """A string's UTF-8 bytes; null is empty."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("binary"), F.lit(b""))

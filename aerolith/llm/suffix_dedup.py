@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._grams import Anchors, anchors, fingerprints, gram_length
-from ._spark import pieces, released, table, utf8, without
+from ._spark import pieces, released, table, trimmed, utf8, without
 
 WINDOW = 50
 CHUNK_BYTES = 8 << 20
@@ -263,10 +263,21 @@ def _shared(chunk: Chunk, marks: pa.Table, n: int) -> np.ndarray:
     return flags[inverse]
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone, and the other bytes of each UTF-8 character that it cuts."""
+    if not gone.any():
+        return gone
+    character = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)
+    cut = np.zeros(int(character[-1]) + 1, bool)
+    cut[character[gone]] = True
+    return cut[character]
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, characters: bool = False) -> DataFrame:
     """docs without text_col, and n_bytes, n_removed, n_spans (long), kept (binary: the bytes that stay).
 
-    Columns of docs that have one of these names are left out.
+    characters: kept leaves out the rest of a character that removal cuts in two; the counts don't
+    change. Columns of docs that have one of these names are left out.
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)) + 64)).first()[0]
     n = pieces(total, chunk_bytes)
@@ -276,12 +287,14 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     chunked = base.repartition(n, "_chunk")
     chunks = chunked.groupBy("_chunk")
 
+    @trimmed
     def keys_of(t: pa.Table) -> pa.Table:
         chunk = Chunk(t["_text"], _ids(t["_id"]), window)
         unique = np.unique(chunk.keys)
         cut = list(_cuts(unique, n))
         return pa.table({"range": pa.array([x[0] for x in cut], pa.int32()), "_chunk": pa.array([t["_chunk"][0].as_py()] * len(cut), pa.int32()), "keys": pa.array([unique[a:b].tobytes() for _, a, b in cut], pa.binary())})
 
+    @trimmed
     def in_many(t: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
         every = np.sort(np.concatenate(lists))
@@ -312,6 +325,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
             run.docs = np.minimum.reduceat(s.docs, starts)
         return run, picked[order], entry
 
+    @trimmed
     def runs_of(t: pa.Table, m: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, int, bytes]] = []
         if t.num_rows and m.num_rows:
@@ -321,6 +335,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         cols = list(zip(*rows)) or [[], [], [], []]
         return pa.table({"range": pa.array(cols[0], pa.int32()), "_chunk": pa.array(cols[1], pa.int32()), "first": pa.array(cols[2], pa.int64()), "run": pa.array(cols[3], pa.binary())})
 
+    @trimmed
     def merged(t: pa.Table) -> pa.Table:
         runs = [unpack_run(x, window) for x in t["run"].to_pylist()]
         of, prefixes = merge_runs([(r[5], r[0].tolist()) for r in runs])
@@ -377,9 +392,11 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         begins[inner] = gone[inner]
         tally = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[chunk.bounds])
         n_gone, n_spans = tally(gone), tally(begins)
+        if characters:
+            gone = _whole_characters(chunk.data, gone)
         left = chunk.data[~gone]
         sizes = np.diff(chunk.bounds)
-        ends = np.concatenate(([0], np.cumsum(sizes - n_gone))).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(sizes - (tally(gone) if characters else n_gone)))).astype(np.int64)
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(left.tobytes())])
         del chunk, gone, begins, left, masks, inverse, counts
         released()
@@ -403,12 +420,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text keeps the bytes that no earlier document has; a character cut in two goes whole."""
-    own = docs.columns
-    kept = dedup(docs)
-    text = F.expr("try_validate_utf8(cast(kept as string))")
-    cut = F.udf(lambda b: bytes(b).decode("utf-8", "ignore"), "string")
-    kept = kept.withColumn("text", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.coalesce(text, cut("kept"))))
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*own)
+    text = F.col("kept").cast("string")
+    return dedup(docs, characters=True).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
