@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curate, flight
+from . import curate, flight, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = flight.QUERIES | curate.QUERIES
+_ALL = flight.QUERIES | curate.QUERIES | telemetry.QUERIES
 flagship = flight.flagship
 
 
