@@ -8,7 +8,7 @@ from aerolith.operators import diagnosis, features, rules
 from aerolith.sources.messages import events
 
 _KINDS = {"view": "VIBE", "click": "MAG", "purchase": "GPS", "signup": "ATT", "error": "CTUN"}
-_FIELDS = {"VibeX": "value", "VibeY": "value / 2", "VibeZ": "value / 4", "Clip0": "code", "MagX": "value * 4", "MagY": "value * 2", "MagZ": "code", "HDop": "value / 16", "NSats": "code", "Status": "code % 5", "Roll": "value - 32", "Pitch": "value / 2 - 16", "DesRoll": "code", "ThO": "value / 64", "Alt": "value", "DAlt": "code", "CRt": "value / 8"}
+_FIELDS = {"VibeX": "value", "VibeY": "value / 2", "VibeZ": "value / 4", "Clip0": "code", "MagX": "value * 4", "MagY": "value * 2", "MagZ": "code", "HDop": "value / 15", "NSats": "code", "Status": "code % 5", "Roll": "value - 32", "Pitch": "value / 2 - 16", "DesRoll": "code", "ThO": "value / 70", "Alt": "value", "DAlt": "code", "CRt": "value / 8"}
 
 
 def _messages(spark, sf_dir):
@@ -25,7 +25,7 @@ _SHOWN = ["vibe_x_mean", "vibe_y_max", "vibe_z_std", "vibe_clip", "vibe_onset",
 
 
 def feature_families(spark, sf_dir):
-    return _families(spark, sf_dir).select("log_id", *[c if c.endswith("onset") else F.round(c, 5).alias(c) for c in _SHOWN])
+    return _families(spark, sf_dir).select("log_id", *[c if c.endswith("onset") else F.round(c, 9).alias(c) for c in _SHOWN])
 
 
 _BOUND = {"roll_std": "alt_error_max / 4", "pitch_std": "roll_error / 4", "early_divergence": "pitch_max + roll_error", "time_to_crash": "gps_hdop * 3", "crashes": "floor(gps_nsats_min / 2)", "failsafes": "floor(vibe_clip / 300)", "radio_failsafe": "floor(vibe_clip / 600)", "rc_lost": "floor(gps_nsats_min / 3)", "long_loops": "vibe_clip", "load_mean": "mag_range / 4", "spread_std": "vibe_x_mean"}
@@ -48,7 +48,7 @@ def _sql_features() -> str:
     cols = {"vibe_x_mean": of("avg", "VibeX", "VIBE"), "vibe_y_max": of("max", "VibeY", "VIBE"), "vibe_z_std": of("stddev_pop", "VibeZ", "VIBE"), "vibe_clip": of("sum", "coalesce(Clip0, 0)", "VIBE"), "vibe_onset": onset("VibeZ > 30", "VIBE"),
             "mag_mean": of("avg", mag, "MAG"), "mag_range": f"{of('max', mag, 'MAG')} - {of('min', mag, 'MAG')}", "mag_onset": onset(f"{mag} > 200", "MAG"), "gps_hdop": of("avg", "HDop", "GPS"), "gps_nsats_min": of("min", "NSats", "GPS"), "gps_fix": of("avg", "(Status >= 3)::INT", "GPS"),
             "roll_std": of("stddev_pop", "abs(Roll)", "ATT"), "pitch_max": of("max", "abs(Pitch)", "ATT"), "roll_error": of("avg", "abs(Roll - DesRoll)", "ATT"), "throttle_mean": of("avg", "ThO", "CTUN"), "alt_error_max": of("max", "abs(Alt - DAlt)", "CTUN"), "climb_std": of("stddev_pop", "CRt", "CTUN"), "throttle_sat": of("avg", "(ThO > 0.95)::INT", "CTUN")}
-    return f"WITH b AS (SELECT user_id AS log_id, event_id AS seq, epoch_us(ts) AS time_us, event_type, value, json_extract_string(props, '$.k')::INT AS code FROM events), m AS (SELECT log_id, seq, time_us, CASE event_type {kind} END AS m, {fields} FROM b), f AS (SELECT log_id, " + ", ".join(f"{c if n.endswith('onset') else f'round({c}, 5)::DOUBLE'} AS {n}" for n, c in cols.items()) + " FROM m WHERE m IS NOT NULL GROUP BY log_id)"
+    return f"WITH b AS (SELECT user_id AS log_id, event_id AS seq, epoch_us(ts) AS time_us, event_type, value, json_extract_string(props, '$.k')::INT AS code FROM events), m AS (SELECT log_id, seq, time_us, CASE event_type {kind} END AS m, {fields} FROM b), f AS (SELECT log_id, " + ", ".join(f"{c if n.endswith('onset') else f'round({c}, 9)::DOUBLE'} AS {n}" for n, c in cols.items()) + " FROM m WHERE m IS NOT NULL GROUP BY log_id)"
 
 
 def _sql_rules() -> str:
