@@ -41,11 +41,51 @@ def power(t: dict[str, float] = THRESHOLDS) -> Column:
 RULES = {"vibration_high": vibration, "gps_quality_poor": gps, "power_instability": power}
 
 
-def rule_hits(features: DataFrame, key: str, rules: dict | None = None) -> DataFrame:
-    """One row per log and rule that fires; nulls in features count as 0."""
-    own = list((rules or RULES).values())
+# The rules that two kinds of vehicle have; the others have all.
+ROUTES = {"rover": ["compass", "power_instability", "gps_quality_poor", "ekf", "system_load", "rc_failsafe", "crash"], "sub": ["compass", "power_instability", "ekf", "system_load", "rc_failsafe", "crash"]}
+# The part of the vehicle that a failure points to.
+SUBSYSTEMS = {"vibration_high": "Vibration/Mounts", "compass_interference": "Magnetics/EMI", "power_instability": "Power/Battery", "brownout": "Power/Battery", "gps_quality_poor": "GPS/Antenna", "motor_imbalance": "Propulsion/Motors", "thrust_loss": "Propulsion/Thrust", "pid_tuning_issue": "Control/PID", "mechanical_failure": "Hardware/Frame", "ekf_failure": "Navigation/EKF", "rc_failsafe": "Radio/Receiver"}
+
+
+def rule_hits(features: DataFrame, key: str, rules: dict | None = None, vehicle: str | None = None) -> DataFrame:
+    """One row per log and rule that fires; nulls in features count as 0. vehicle names a column of kinds by which rules are left out."""
+    def routed(name: str, hit: Column) -> Column:
+        without = [kind for kind, names in ROUTES.items() if name not in names]
+        return hit if vehicle is None or not without else F.when(~F.coalesce(F.lower(vehicle), F.lit("")).isin(without), hit)
+
+    own = [routed(name, rule()) for name, rule in (rules or RULES).items()]
     rows = features.fillna(0.0)
-    return rows.select(key, F.explode(F.filter(F.array(*[r() for r in own]), lambda x: x.isNotNull())).alias("h")).select(key, "h.*")
+    return rows.select(key, F.explode(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("h")).select(key, "h.*")
+
+
+def subsystems(hits: DataFrame, key: str) -> DataFrame:
+    """Per log and subsystem the greatest confidence, ranked; types without a subsystem are Unknown."""
+    names = F.create_map(*[F.lit(x) for pair in SUBSYSTEMS.items() for x in pair])
+    own = hits.where("confidence > 0").groupBy(key, F.coalesce(F.try_element_at(names, F.col("failure_type")), F.lit("Unknown")).alias("subsystem")).agg(F.max("confidence").alias("likelihood"))
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("likelihood"), "subsystem")))
+
+
+def in_context(hits: DataFrame, features: DataFrame, key: str, probabilities: DataFrame | None = None) -> DataFrame:
+    """Classifier hits where vibration and compass are told apart by the features vibe_[xyz]_max, vibe_clip, mag_range, mag_std.
+
+    In a calm log with a wide field, vibration goes; without a compass hit one takes its place, as sure as the
+    probabilities (key, failure_type, confidence), if given, say, 0.35 at least. In a log that clips or shakes
+    strongly, compass goes if vibration is there too. Other hits stay.
+    """
+    peak = F.greatest(*[F.coalesce(f"vibe_{a}_max", F.lit(0.0)) for a in "xyz"])
+    clip, wide, std = (F.coalesce(c, F.lit(0.0)) for c in ("vibe_clip", "mag_range", "mag_std"))
+    flags = features.select(key, ((clip <= 0) & (peak < 65) & (wide > 320) & (std > 35)).alias("_calm"), ((clip > 100) | (peak > 80)).alias("_rough"))
+    has = hits.groupBy(key).agg(*[F.max(F.when(F.col("failure_type") == t, F.col("confidence"))).alias(c) for t, c in (("vibration_high", "_v"), ("compass_interference", "_c"))])
+    if probabilities is None:
+        probabilities = hits
+    sure = probabilities.where("failure_type = 'compass_interference'").groupBy(key).agg(F.max("confidence").alias("_p"))
+    rows = hits.join(has.join(flags, key, "left").join(sure, key, "left"), key)
+    calm, rough, both = F.coalesce("_calm", F.lit(False)), F.coalesce("_rough", F.lit(False)), F.col("_v").isNotNull() & F.col("_c").isNotNull()
+    of = lambda t: F.col("failure_type") == t
+    swap = of("vibration_high") & calm & F.col("_c").isNull()
+    gone = (of("vibration_high") & calm & both & ~rough) | (of("compass_interference") & both & rough)
+    out = rows.where(~gone).withColumn("_swap", swap)
+    return out.withColumn("failure_type", F.when(F.col("_swap"), "compass_interference").otherwise(F.col("failure_type"))).withColumn("confidence", F.when(F.col("_swap"), F.greatest(F.lit(0.35), F.coalesce("_p", F.lit(0.0)))).otherwise(F.col("confidence"))).drop("_v", "_c", "_p", "_calm", "_rough", "_swap")
 
 
 def merged(rule: DataFrame, model: DataFrame, key: str, least: float = 0.45) -> DataFrame:

@@ -107,9 +107,25 @@ def _spectrum() -> dict[str, Column]:
     return {n: F.avg(_of("FTN1", _value(f))) for n, f in (("peak_mean", "PkAvg"), ("noise_x", "SnX"), ("noise_y", "SnY"), ("noise_z", "SnZ"))}
 
 
+def _incidents() -> dict[str, Column]:
+    """Errors, failsafes by subsystem, changes of mode; the landing modes are 6 and 9."""
+    system = F.when(F.col("msg_type") == "ERR", _value("Subsys").cast("int"))
+    mode = _of("MODE", number(F.try_element_at("fields", F.lit("ModeNum")), -1.0).cast("int"))
+    mode = F.when(mode >= 0, mode).otherwise(_of("MODE", _value("Mode").cast("int")))
+    reason = number(F.try_element_at("fields", F.lit("Reason")), -1.0).cast("int")
+    lands = mode.isin(6, 9)
+    n = lambda holds: F.count_if(holds).cast("double")
+    return {"errors": n(F.col("msg_type") == "ERR"), "failsafes": n(system.isin(FAILSAFES)), "mode_changes": n(F.col("msg_type") == "MODE"), "unexpected_modes": n(lands & (reason != 0)), "crashes": F.max((F.coalesce(system == 12, F.lit(False))).cast("double")), "gps_lost": n(_of("EV", _value("Id")) == 19), "rc_lost": n(lands & (reason == 2)), "radio_failsafe": n(system == 5)}
+
+
+# Subsystem codes of failsafes, and the labels that the code of an error stands for.
+FAILSAFES = [5, 6, 8, 9, 17, 20, 23, 26, 27, 29, 31]
+ERROR_LABELS = {3: "compass_interference", 6: "power_instability", 11: "gps_quality_poor", 12: "crash_detected", 16: "ekf_failure", 17: "ekf_failure", 24: "ekf_failure", 25: "motor_imbalance", 29: "vibration_high"}
+
 FAMILIES = {
     "vibration": Family(("VIBE",), _vibration), "compass": Family(("MAG",), _compass), "power": Family(("BAT", "CURR"), _power), "gps": Family(("GPS",), _gps), "attitude": Family(("ATT",), _attitude),
     "ekf": Family(("XKF4", "NKF4"), _ekf), "inertial": Family(("IMU",), _inertial), "control": Family(("CTUN",), _control), "system": Family(("PM", "POWR"), _system), "spectrum": Family(("FTN1",), _spectrum),
+    "incidents": Family(("ERR", "EV", "MODE"), _incidents),
 }
 
 
@@ -119,3 +135,19 @@ def extracted(messages: DataFrame, logs: DataFrame | None = None, families: list
     rows = messages.where(F.col("msg_type").isin(sorted({m for f in own for m in f.messages})))
     out = rows.groupBy("log_id").agg(*[c.alias(n) for f in own for n, c in f.aggregates().items()])
     return (logs.select("log_id").join(out, "log_id", "left") if logs is not None else out).fillna(0.0)
+
+
+def error_labels(messages: DataFrame) -> DataFrame:
+    """Labels that a log's errors stand for: log_id, label, n, first_us (time of the first in file order)."""
+    names = F.create_map(*[F.lit(x) for pair in ERROR_LABELS.items() for x in pair])
+    rows = messages.where("msg_type = 'ERR'").select("log_id", "seq", "time_us", F.try_element_at(names, _value("Subsys").cast("int")).alias("label"))
+    return rows.where("label is not null").groupBy("log_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min_by("time_us", "seq").alias("first_us"))
+
+
+def derived(features: DataFrame) -> DataFrame:
+    """features with seven ratios; where a divisor is 0, or a feature is absent, the ratio is 0."""
+    own = set(features.columns)
+    f = lambda name: F.col(name) if name in own else F.lit(0.0)
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    made = {"thrust_weight": ratio(f("output_mean"), f("hover_ratio")), "resistance": ratio(f("volt_range"), f("curr_max")), "tracking": ratio(f("roll_error_max"), f("roll_std")), "ekf_health": f("ekf_vel_max") + f("ekf_pos_max") + f("ekf_hgt_max"), "motor_symmetry": ratio(f("spread_std"), f("output_mean")), "vibe_per_clip": ratio(f("vibe_z_max"), f("vibe_clip") + 1), "gps_reliability": ratio((1 - f("gps_flag_errors")) * f("gps_nsats_min"), f("gps_hdop"))}
+    return features.withColumns(made)

@@ -67,17 +67,18 @@ def downsampled(df: DataFrame, key: str, order: list[str], points: int) -> DataF
 def nearest(left: DataFrame, right: DataFrame, key: str, time: str, value: str, ties: str) -> DataFrame:
     """left with the value of the right row nearest in time of the same key; the earlier one if two are as near.
 
-    Both sides go through one sort by key and time; `ties` orders right rows of one time.
+    Both sides are sorted by key and time, once each way, so that every frame only grows; `ties` orders right
+    rows of one time.
     """
-    both = left.withColumn("_r", F.lit(None).cast(f"struct<t: bigint, v: {dict(right.dtypes)[value]}>")).withColumn("_tie", F.lit(None).cast("bigint")).withColumn("_left", F.lit(True))
-    other = right.select(key, time, F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_r"), F.col(ties).alias("_tie"), F.lit(False).alias("_left"))
-    every = both.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(time)
-    past = F.last("_r", True).over(Window.partitionBy(key).orderBy(time, F.col("_left"), F.col("_tie").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    point = F.struct(F.col(time).alias("t"), F.col(ties).alias("o"), F.col(value).alias("v"))
+    kind = f"struct<t: bigint, o: bigint, v: {dict(right.dtypes)[value]}>"
+    other = right.select(key, time, point.cast(kind).alias("_r"), F.lit(False).alias("_left"))
+    every = left.withColumn("_r", F.lit(None).cast(kind)).withColumn("_left", F.lit(True)).unionByName(other, allowMissingColumns=True)
+    past = F.last("_r", True).over(Window.partitionBy(key).orderBy(time, F.col("_left"), F.col("_r.o").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min("_r").over(Window.partitionBy(key).orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     out = every.withColumn("_p", past).withColumn("_f", after).where("_left")
     take = F.col("_f").isNull() | (F.col("_p").isNotNull() & (F.col(time) - F.col("_p.t") <= F.col("_f.t") - F.col(time)))
-    return out.withColumn("nearest", F.when(take, F.col("_p.v")).otherwise(F.col("_f.v"))).drop("_r", "_tie", "_left", "_p", "_f")
+    return out.withColumn("nearest", F.when(take, F.col("_p.v")).otherwise(F.col("_f.v"))).drop("_r", "_left", "_p", "_f")
 
 
 def arbitrated(candidates: DataFrame, key: str) -> DataFrame:

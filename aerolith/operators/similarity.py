@@ -1,21 +1,39 @@
-"""Similar past cases by cosine."""
+"""Similar past cases by cosine, exact, block against block."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def similar_cases(logs: DataFrame, cases: DataFrame, log_id: str, case_id: str, vector: str, least: float = 0.5, k: int = 3) -> DataFrame:
-    """The k most similar cases of each log with a cosine over `least`; ties by case id.
+def _blocks(rows: DataFrame, key: str, vector: str, size: int, prefix: str) -> DataFrame:
+    """Rows dealt by the hash of their key into blocks of about `size`: one row per block, its ids and vectors."""
+    n = max(1, -(-rows.count() // size))
+    dealt = rows.where(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(n)).alias("_b"), F.struct(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).alias("_s"))
+    return dealt.groupBy("_b").agg(F.collect_list("_s").alias("_l")).select(F.col("_b").alias(f"{prefix}_block"), F.col("_l.k").alias(f"{prefix}_ids"), F.col("_l.v").alias(f"{prefix}_vectors"))
 
-    cases is the small store of known cases and is broadcast; the store is what a person curates.
+
+def similar_cases(queries: DataFrame, cases: DataFrame, log_id: str, case_id: str, vector: str, least: float = 0.5, k: int = 3, block: int = 512) -> DataFrame:
+    """The k most similar cases of each query with a cosine (4 digits) over `least`; ties by case id, itself left out.
+
+    A stated query set against all cases: both sides are dealt into blocks, each pair of blocks is one product of
+    matrices, and of each query only its k best per pair go on. A task holds two blocks and their product, as one group. Null
+    vectors take no part; those of length zero are like nothing. Ids are integers, vectors of equal lengths.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    left = logs.select(log_id, unit(F.col(vector)).alias("_a")).withColumn("_na", norm(F.col("_a")))
-    right = cases.select(F.col(case_id).alias("case_id"), unit(F.col(vector)).alias("_b")).withColumn("_nb", norm(F.col("_b")))
-    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    pairs = left.join(F.broadcast(right)).withColumn("cosine", F.round(F.try_divide(dot, F.col("_na") * F.col("_nb")), 4)).where(F.col("cosine") > least)
-    rank = F.row_number().over(Window.partitionBy(log_id).orderBy(F.desc("cosine"), "case_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(log_id, "case_id", "cosine", "rank")
+    pairs = _blocks(queries, log_id, vector, block, "q").crossJoin(_blocks(cases, case_id, vector, block, "c"))
+
+    def best(pair: pd.DataFrame) -> pd.DataFrame:
+        unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, np.inf)
+        own, ids = np.asarray(pair["q_ids"][0]), np.asarray(pair["c_ids"][0])
+        score = np.round(unit(np.vstack(pair["q_vectors"][0])) @ unit(np.vstack(pair["c_vectors"][0])).T, 4)
+        score[own[:, None] == ids[None, :]] = -2
+        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(own)), order.shape[1])
+        out = pd.DataFrame({"log": own[rows], "case_id": ids[order.ravel()], "cosine": score[rows, order.ravel()]})
+        return out[out["cosine"] > least]
+
+    found = pairs.groupBy("q_block", "c_block").applyInPandas(best, "log long, case_id long, cosine double")
+    rank = F.row_number().over(Window.partitionBy("log").orderBy(F.desc("cosine"), "case_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("log").alias(log_id), "case_id", "cosine", "rank")

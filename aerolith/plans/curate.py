@@ -126,7 +126,7 @@ def rate_trend(spark, sf_dir):
 
 def similar(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
-    return similarity.similar_cases(e, e.where("vec_id < 50"), "vec_id", "vec_id", "embedding", 0.2)
+    return similarity.similar_cases(e.where("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", 0.2)
 
 
 def split(spark, sf_dir):
@@ -184,7 +184,7 @@ QUERIES = {
     "reliability_bins": (reliability, f"WITH {_B} SELECT bin, n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy FROM b"),
     "calibration_error": (calibration, f"WITH {_B} SELECT round(sum(n * abs(accuracy - confidence)) / sum(n), 6) AS ece, sum(n)::BIGINT AS n FROM b"),
     "rate_trend": (rate_trend, "WITH g AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS run, avg((o_orderstatus = 'F')::INT) AS rate, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT o_orderpriority, arg_min(rate, run) AS a, arg_max(rate, run) AS z, arg_min(n, run) AS first_n, arg_max(n, run) AS last_n FROM g GROUP BY 1) SELECT o_orderpriority, round(a, 6) AS first_rate, round(z, 6) AS last_rate, first_n, last_n, round(z - a, 6) AS delta, abs(z - a) >= 0.10 AND (first_n >= 5 OR last_n >= 5) AS flagged FROM t"),
-    "similar_cases": (similar, "WITH p AS (SELECT a.vec_id, b.vec_id AS case_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine FROM embeddings a, embeddings b WHERE b.vec_id < 50), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, case_id)::INT AS rank FROM p WHERE cosine > 0.2) SELECT * FROM k WHERE rank <= 3"),
+    "similar_cases": (similar, "WITH p AS (SELECT a.vec_id, b.vec_id AS case_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, case_id)::INT AS rank FROM p WHERE cosine > 0.2) SELECT * FROM k WHERE rank <= 3"),
     "stratified_split": (split, "WITH p AS (SELECT lang, percent_rank() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR)) < 0.2 AS in_test FROM documents) SELECT lang, in_test, count(*) AS n FROM p GROUP BY ALL"),
     "median_imputed": (imputed, "WITH v AS (SELECT CASE WHEN event_type <> 'error' THEN value END AS v FROM events) SELECT round(sum(coalesce(v, (SELECT median(v) FROM v))), 4) AS total, count(*) AS n FROM v"),
     "incident_clusters": (clusters, "SELECT c_mktsegment, count(*) AS n, min(c_name) AS first, min(c_nationkey) AS least_nation FROM customer GROUP BY 1"),

@@ -70,9 +70,9 @@ def arbitration(spark, sf_dir):
 
 
 def lookup(spark, sf_dir):
-    c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation").where("n_nationkey < 20")
-    named = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return named.groupBy(F.coalesce("n_name", F.concat(F.lit("UNKNOWN_"), F.col("c_nationkey").cast("string"))).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    e, n = events(spark, sf_dir).select("code"), _t(spark, sf_dir, "nation")
+    named = e.groupBy("code").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(n), F.col("code") == F.col("n_nationkey"), "left")
+    return named.select(F.coalesce("n_name", F.concat(F.lit("UNKNOWN_"), F.col("code").cast("string"))).alias("name"), "n")
 
 
 def channel_spread(spark, sf_dir):
@@ -145,7 +145,7 @@ QUERIES = {
     "downsample": (downsample, f"WITH {_E}, r AS (SELECT log_id, seq, row_number() OVER (PARTITION BY log_id ORDER BY time_us, seq) - 1 AS i, count(*) OVER (PARTITION BY log_id) AS n FROM e) SELECT log_id, seq FROM r WHERE i % greatest(1, n // 10) = 0"),
     "nearest_point": (nearest_point, f"WITH {_E}, p AS (SELECT a.log_id, a.seq, b.value, row_number() OVER (PARTITION BY a.log_id, a.seq ORDER BY abs(a.time_us - b.time_us) NULLS LAST, b.time_us, b.seq) AS n FROM e a LEFT JOIN e b ON a.log_id = b.log_id AND b.msg_type = 'view' WHERE a.msg_type = 'error') SELECT log_id, seq, round(value, 6) AS nearest FROM p WHERE n = 1"),
     "onset_arbitration": (arbitration, None),
-    "code_lookup": (lookup, "SELECT coalesce(n_name, 'UNKNOWN_' || c_nationkey) AS name, count(*) AS n FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey GROUP BY 1"),
+    "code_lookup": (lookup, "SELECT coalesce(n_name, 'UNKNOWN_' || k) AS name, count(*) AS n FROM (SELECT json_extract_string(props, '$.k')::INT AS k FROM events) LEFT JOIN nation ON k = n_nationkey GROUP BY 1"),
     "channel_spread": (channel_spread, "WITH s AS (SELECT l_orderkey, max(l_quantity) - min(l_quantity) AS d, min(l_quantity) AS lo, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_custkey AS log_id, round(avg(d), 6) AS spread_mean, round(max(d), 6) AS spread_max, round(avg((n >= 4 AND lo > 10)::INT), 6) AS all_high FROM s JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"),
     "rules_fired": (rules_fired, f"WITH {_FEATURES} SELECT log_id, failure_type, round(confidence, 6) AS confidence, severity FROM hits"),
     "fused_diagnoses": (fused, f"WITH {_MERGED} SELECT * FROM merged"),

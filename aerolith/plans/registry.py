@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curate, flight, telemetry
+from . import curate, detect, flight, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = flight.QUERIES | curate.QUERIES | telemetry.QUERIES
+_ALL = flight.QUERIES | curate.QUERIES | telemetry.QUERIES | detect.QUERIES
 flagship = flight.flagship
 
 
