@@ -240,9 +240,14 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest id stays; of its repeated rows, one."""
-    gone = grouped(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group the document of the smallest id stays, and of the same id that of the smallest hash;
+    of its rows of equal id and text, one. A row is known by its id and the hash of its text, so rows that
+    merely share an id, or have none, are judged each by its own text."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    found = grouped(docs.select(key.alias("_key"), "text"), id_col="_key")
+    gone = found.where("_key <> component_id").select(F.col("_key.id").alias("_id"), F.col("_key.hash").alias("_g")).distinct()
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
 
 
 QUERIES = {"op4_simhash_groups": op4_simhash_groups}
