@@ -11,7 +11,9 @@ or <main> element; in half of the copies the tags and attributes that tell are b
 alone must do. Without any such page, only what a tag or attribute marks as no article is left out.
 
 Edge cases: null or empty html has no text; unclosed and stray tags are closed or skipped as browsers
-do for the common cases; pages of any length are read whole; repeated rows give a row each.
+do for the common cases; svg, math, noscript, template and iframe are elements like any other, marked as no
+article. They are empty where the tag closes itself or nothing ends it, but an svg or math that nothing ends
+goes on to the next element that it cannot have. Pages of any length are read whole; repeated rows give a row each.
 """
 
 from __future__ import annotations
@@ -33,13 +35,19 @@ TRAIN_PAGES, TREES, DEPTH, RATE, BINS = 400, 30, 4, 0.3, 32
 
 # Element and attribute names.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "noembed", "noframes", "xmp"}
+_RAW = {"script", "style", "textarea", "title", "xmp"}
+_FOREIGN = {"svg", "math"}
+_ASIDE = {"noscript", "iframe", "template", "noembed", "noframes", *_FOREIGN}
+#: Elements of svg and math in which there is HTML again.
+_HTML_INSIDE = {"foreignobject", "desc", "annotation-xml"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "body": {"head"}}
 _ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SCOPES = {"table", "ul", "ol", "dl", "div", "article", "section", "main", "aside", "nav", "body", "html", "td", "th", "select", "footer", "header", "form"}
+#: Elements that svg and math cannot have, so they end them.
+_BREAKS_OUT = {*_ENDS_P, "b", "big", "body", "br", "center", "code", "dd", "dt", "em", "embed", "head", "i", "img", "li", "menu", "meta", "ruby", "s", "small", "span", "strike", "strong", "sub", "sup", "tt", "u", "var"}
 _GOOD_TAGS = {"article", "main"}
-_BAD_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "object", "canvas", *_RAW}
+_BAD_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "object", "canvas", *_RAW, *_ASIDE}
 _GOOD = {"article", "body", "content", "entry", "main", "post", "story", "text"}
 _BAD = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "footer", "form", "header", "login", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related", "reply", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 _HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -63,6 +71,7 @@ class Tree(NamedTuple):
 def parsed(page: str) -> Tree:
     tag, parent, end, tokens, text = ["#root"], [-1], [0], [""], [""]
     stack, at, raw = [0], 0, None
+    foreign, last = False, {}
 
     def close(to: int) -> None:
         while len(stack) > to:
@@ -76,6 +85,20 @@ def parsed(page: str) -> Tree:
             tokens.append("")
             text.append(piece)
 
+    def ends_later(name: str) -> bool:
+        if name not in last:
+            last[name] = max((m.start() for m in re.finditer(rf"</{name}\s*>", page, re.I)), default=-1)
+        return last[name] >= at
+
+    def foreign_at() -> int:
+        """Where in the stack the svg or math is that the place is in, or 0."""
+        for i in range(len(stack) - 1, 0, -1):
+            if (here := tag[stack[i]]) in _FOREIGN:
+                return i
+            if here in _HTML_INSIDE:
+                return 0
+        return 0
+
     find = _TOKEN.search
     while (m := find(page, at)) is not None:
         if m.start() > at:
@@ -91,6 +114,10 @@ def parsed(page: str) -> Tree:
                     close(i)
                     break
             continue
+        within = foreign_at() if foreign else 0
+        while within and name in _BREAKS_OUT:
+            close(within)
+            within = foreign_at()
         closes = _CLOSES.get(name)
         if closes or name in _ENDS_P:
             closes = (closes or set()) | ({"p"} if name in _ENDS_P else set())
@@ -108,7 +135,10 @@ def parsed(page: str) -> Tree:
         end.append(len(tag))
         tokens.append(" ".join(x[1].strip("\"'") for x in _ATTRIBUTE.findall(attributes)) if "=" in attributes else "")
         text.append("")
-        if name in _RAW:
+        if (within or name in _ASIDE) and (attributes.endswith("/") or name in _ASIDE - _FOREIGN and not ends_later(name)):
+            continue
+        foreign = foreign or name in _FOREIGN
+        if name in _RAW and not within:
             raw = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = raw.end() if raw else len(page)
         elif name not in _VOID:
