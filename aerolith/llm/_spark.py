@@ -36,6 +36,11 @@ def released() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def forgotten(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def trimmed(work):
     """work, a function of Arrow tables, after which its worker gives memory back."""
 

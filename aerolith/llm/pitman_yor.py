@@ -1,17 +1,20 @@
 """A hierarchical Pitman-Yor language model and its scores of texts (op6).
 
-Model: a word is drawn in the restaurant of its context, the last byte of the word before. All context
-restaurants share one parent, the restaurant of words, whose base spells words byte by byte: the
+Model: a word is drawn in the restaurant of its context, the word before (or the start of the text). All
+context restaurants share one parent, the restaurant of words, whose base spells words byte by byte: the
 restaurant of a byte after two bytes, its parent after one, its parent after none, and at last the
 uniform distribution. Customers are the training tokens; each table is a customer of the parent.
 
 Method: chunks of documents send each different (word, context) pair once, with its training count, to
-the bucket of its word, so no word and no context gathers rows. Given the totals of all restaurants and
-the spelling model, words are independent, so each bucket seats its words by Gibbs sweeps of its own;
-the totals, of at most 257 contexts and 257**3 byte triples, are then summed anew and the spelling
-model is seated on the driver. After SWEEPS such rounds the buckets average the predictive probability
-of each pair over SAMPLES seatings and send it back to the chunks that asked. A customer joins or opens
-tables in the order of the Chinese restaurant process; from the 33rd customer of a dish on they are
+the bucket of its word, so no word and no context gathers rows: a frequent context is spread over all
+buckets, and counts are summed before they are sent. Given the totals of all restaurants and the
+spelling model, words are independent, so each bucket seats its words by Gibbs sweeps of its own. The
+totals of contexts, which grow with the corpus, are then summed anew by a shuffle: each bucket sends its
+part for each of its contexts to the shard of the context's hash, which sends the whole back to those
+that asked. Totals of at most 257**3 byte triples come to the driver, which seats the spelling model.
+After SWEEPS such rounds the buckets average the predictive probability of each pair over SAMPLES
+seatings and send it back to the chunks that asked. Contexts are known by 64-bit hashes. A customer joins
+or opens tables in the order of the Chinese restaurant process; from the 33rd customer of a dish on they are
 seated in small blocks with the probabilities at the block's middle.
 
 Edge cases: a null or empty text is its end token alone; words that training doesn't have are one
@@ -32,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import checkpointed, pieces, released, table, utf8
+from ._spark import checkpointed, forgotten, pieces, released, table, trimmed, utf8
 from ._words import NOT_SPACE, batches, by_text, words
 
 FOLDS, HELD_OUT = 5, 1
 CHUNK_BYTES, BUCKET_BYTES = 24 << 20, 24 << 20
 SWEEPS, LOCAL, BURN, SAMPLES = 3, 3, 2, 4
 STRENGTH = 1.0
-#: A context is a byte, or START before the first word; in spellings START is the end of a word, too.
+#: Symbols of spellings are bytes and START, which stands before the first and is the end of a word, too.
 START, CONTEXTS = 256, 257
 
 
@@ -48,8 +51,10 @@ def held_out(doc_id: object) -> bool:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as planes of their first bytes, second bytes and so on, which compress better."""
     sizes = np.array([len(arrays), *(x.nbytes for x in arrays)], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join((sizes.tobytes(), *(np.ascontiguousarray(x).tobytes() for x in arrays))))
+    planes = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join((sizes.tobytes(), *planes)))
 
 
 def unpack(packed: bytes, *types) -> list[np.ndarray]:
@@ -57,7 +62,7 @@ def unpack(packed: bytes, *types) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     sizes = np.frombuffer(raw, np.int64, n, 8)
     ends = 8 * (n + 1) + np.cumsum(sizes)
-    return [np.frombuffer(raw[e - s : e], t) for s, e, t in zip(sizes.tolist(), ends.tolist(), types)]
+    return [np.ascontiguousarray(np.frombuffer(raw[e - s : e], np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for s, e, t in zip(sizes.tolist(), ends.tolist(), types)]
 
 
 # ---------------------------------------------------------------- seating
@@ -66,7 +71,8 @@ def unpack(packed: bytes, *types) -> list[np.ndarray]:
 def tables(customers: np.ndarray, discount: float, strength: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes by the Chinese restaurant process; strength: the weight of a new table of the dish."""
     out = np.minimum(customers, 1).astype(np.int64)
-    order = np.argsort(-customers, kind="stable")
+    order = np.flatnonzero(customers > 1)
+    order = order[np.argsort(-customers[order], kind="stable")]
     sorted_c = -customers[order]
     seated = 1
     while True:
@@ -139,23 +145,32 @@ def spelled(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class State:
-    """What all words share: totals of the restaurants and the spelling model."""
+    """What all words share: totals of the restaurant of words and the spelling model."""
 
-    def __init__(self, context_customers, context_tables, word_customers, word_tables, spelling, discounts, unseen=1.0):
-        self.n1, self.t1, self.n0, self.t0, self.spelling, self.discounts, self.unseen = context_customers, context_tables, word_customers, word_tables, spelling, discounts, unseen
+    def __init__(self, word_customers, word_tables, spelling, discounts, unseen=1.0):
+        self.n0, self.t0, self.spelling, self.discounts, self.unseen = word_customers, word_tables, spelling, discounts, unseen
+
+
+def packed_pairs(text, lengths, contexts, word, context, count) -> bytes:
+    """A bucket's arrays; word is sorted, and kept by its steps."""
+    return pack(text, lengths.astype(np.uint32), contexts, *[x.astype(np.uint32) for x in (np.diff(word, prepend=0), context, count)])
 
 
 class Bucket:
-    """Words with their spelling, and pairs (word, context) with training counts."""
+    """Words with their spelling, sorted hashes of contexts, and pairs (word, place of the context) with training counts."""
 
-    def __init__(self, text, lengths, word, context, count):
-        self.text, self.lengths, self.word, self.context, self.count = text, lengths, word, context, count
+    def __init__(self, text, lengths, contexts, word, context, count):
+        self.text, self.lengths, self.contexts, self.word, self.context, self.count = text, lengths, contexts, word, context, count
         self.cells, self.begins = spelled(text, lengths.astype(np.int64))
 
     @staticmethod
     def of(packed: bytes) -> Bucket:
-        text, lengths, word, context, count = unpack(packed, np.uint8, np.uint32, np.int64, np.int64, np.int64)
-        return Bucket(text, lengths.astype(np.int64), word, context, count)
+        text, lengths, contexts, *pairs = unpack(packed, np.uint8, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32)
+        step, context, count = (x.astype(np.int64) for x in pairs)
+        return Bucket(text, lengths.astype(np.int64), contexts, np.cumsum(step), context, count)
+
+    def packed(self) -> bytes:
+        return packed_pairs(self.text, self.lengths, self.contexts, self.word, self.context, self.count)
 
     def base(self, s: State) -> np.ndarray:
         """Of words in training the probability of the spelling; others are one event, with all that is left."""
@@ -163,20 +178,20 @@ class Bucket:
         spelled_ = np.exp(np.add.reduceat(logs, self.begins[:-1])) if len(self.lengths) else np.zeros(0)
         return np.where(np.bincount(self.word, self.count, len(self.lengths)) > 0, spelled_, s.unseen)
 
-    def sweeps(self, s: State, n: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """n seatings: tables of pairs, tables of words, probability of each pair."""
+    def sweeps(self, s: State, n1: np.ndarray, t1: np.ndarray, n: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """n seatings: tables of pairs, tables of words, probability of each pair; n1, t1: customers and tables of the contexts."""
         d1, d0 = s.discounts
         base = self.base(s)
         customers = np.bincount(self.word, np.minimum(self.count, 1), len(self.lengths)).astype(np.int64)
         word_tables = np.minimum(customers, 1)
-        new_context = STRENGTH + d1 * s.t1[self.context]
+        new_context = STRENGTH + d1 * t1[self.context]
         for _ in range(n):
             p = (customers - d0 * word_tables + (STRENGTH + d0 * s.t0) * base) / (STRENGTH + s.n0)
             own = tables(self.count, d1, new_context * p[self.word], rng)
             customers = np.bincount(self.word, own, len(self.lengths)).astype(np.int64)
             word_tables = tables(customers, d0, (STRENGTH + d0 * s.t0) * base, rng)
             p = (customers - d0 * word_tables + (STRENGTH + d0 * s.t0) * base) / (STRENGTH + s.n0)
-            yield own, word_tables, (self.count - d1 * own + new_context * p[self.word]) / (STRENGTH + s.n1[self.context])
+            yield own, word_tables, (self.count - d1 * own + new_context * p[self.word]) / (STRENGTH + n1[self.context])
 
 
 # ---------------------------------------------------------------- chunks
@@ -195,38 +210,39 @@ class Gathered:
         own = np.array([self.forms.setdefault(x, len(self.forms)) for x in w.forms.to_pylist()], np.int64)
         n = np.diff(w.first)
         place = np.arange(len(w.codes)) + np.repeat(np.arange(len(texts)), n)
-        end = w.first[1:] + np.arange(len(texts))
-        token, last = np.zeros(len(w.codes) + len(texts), np.int64), np.full(len(w.codes) + len(texts) + 1, START, np.int64)
+        # form 0 is the end of a text, and as a context its start
+        token = np.zeros(len(w.codes) + len(texts), np.int64)
         token[place] = own[w.codes] if len(w.codes) else 0
-        last[place + 1] = w.data[w.ends - 1] if len(w.codes) else START
-        last[end + 1] = START
+        last = np.concatenate(([0], token[:-1]))
         self.ids += ids
         self.counts.append(n + 1)
-        self.pairs.append(token * CONTEXTS + last[:-1])
+        self.pairs.append(token << 32 | last)
         self.size += len(w.data) + 16 * len(texts)
 
     def rows(self, chunk: int) -> pa.RecordBatch:
         import xxhash
 
         forms = list(self.forms)
-        bucket = np.fromiter((xxhash.xxh64_intdigest(x) % self.n_buckets for x in forms), np.int64, len(forms))
+        hashed = np.fromiter(map(xxhash.xxh64_intdigest, forms), np.uint64, len(forms))
+        bucket = (hashed % np.uint64(self.n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         to = np.empty(len(forms), np.int64)
         to[order] = np.arange(len(forms))
         tokens = np.concatenate(self.pairs)
-        tokens = to[tokens // CONTEXTS] * CONTEXTS + tokens % CONTEXTS
+        tokens = to[tokens >> 32] << 32 | tokens & 0xFFFFFFFF
         counts = np.concatenate(self.counts)
         out = np.array([held_out(x) for x in self.ids], bool)
         pairs, inverse = np.unique(tokens, return_inverse=True)
         trained = np.bincount(inverse, np.repeat(~out, counts), len(pairs)).astype(np.int64)
-        word, bucket = pairs // CONTEXTS, bucket[order]
+        word, context, bucket = pairs >> 32, hashed[pairs & 0xFFFFFFFF], bucket[order]
         sizes = np.array([len(x) for x in forms], np.int64)[order]
         rows = [(chunk, -1, pack(counts.astype(np.int64), out, inverse.astype(np.uint32)), self.ids)]
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
             i, j = np.searchsorted(word, [a, z])
             text = np.frombuffer(b"".join(forms[k] for k in order[a:z].tolist()), np.uint8)
-            rows.append((chunk, int(bucket[a]), pack(text, sizes[a:z].astype(np.uint32), word[i:j] - a, pairs[i:j] % CONTEXTS, trained[i:j]), None))
+            contexts, at = np.unique(context[i:j], return_inverse=True)
+            rows.append((chunk, int(bucket[a]), packed_pairs(text, sizes[a:z], contexts, word[i:j] - a, at, trained[i:j]), None))
         c = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.list_(pa.int64()))], ["chunk", "bucket", "packed", "ids"])
 
@@ -255,104 +271,125 @@ def gathered(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
 def joined(parts: list[Bucket]) -> tuple[Bucket, list[np.ndarray], list[np.ndarray]]:
     """All parts of a bucket as one; for each part its words and its pairs in the whole."""
     forms: dict[bytes, int] = {}
-    of_words, keys = [], []
+    contexts, at = np.unique(np.concatenate([p.contexts for p in parts]), return_inverse=True)
+    of_words, keys, begin = [], [], 0
     for p in parts:
         ends = np.cumsum(p.lengths).tolist()
         raw = p.text.tobytes()
         own = np.array([forms.setdefault(raw[a:z], len(forms)) for a, z in zip([0, *ends], ends)], np.int64)
         of_words.append(own)
-        keys.append(own[p.word] * CONTEXTS + p.context)
+        keys.append(own[p.word] << 32 | at[begin + p.context])
+        begin += len(p.contexts)
     pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     count = np.bincount(inverse, np.concatenate([p.count for p in parts]), len(pairs)).astype(np.int64)
-    whole = Bucket(np.frombuffer(b"".join(forms), np.uint8), np.array([len(x) for x in forms], np.int64), pairs // CONTEXTS, pairs % CONTEXTS, count)
+    whole = Bucket(np.frombuffer(b"".join(forms), np.uint8), np.array([len(x) for x in forms], np.int64), contexts, pairs >> 32, pairs & 0xFFFFFFFF, count)
     return whole, of_words, np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
 
 
 def _sums(rows: DataFrame) -> dict[str, dict[int, int]]:
-    """Sums of (kind, key, n) rows; kinds have at most 257, or 257**3, keys."""
+    """Sums of (kind, key, n) rows; kinds have at most 257**3 keys."""
     out: dict[str, dict[int, int]] = {}
-    for r in rows.groupBy("kind", "key").agg(F.sum("n").alias("n")).collect():
+    for r in rows.where("kind is not null").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect():
         out.setdefault(r.kind, {})[r.key] = r.n
     return out
 
 
-_KINDS = "kind string, key long, n long"
+_KINDS = "bucket int, shard int, packed binary, kind string, key long, n long"
 
 
-def _told(kinds: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _told(bucket: int, b: Bucket, own: np.ndarray, n_shards: int, kinds: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """Sums by kind and key; and for each shard of contexts their hashes, customers and tables here."""
     names = [k for k, (keys, _) in kinds.items() for _ in range(len(keys))]
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([np.asarray(k, np.int64) for k, _ in kinds.values()])), pa.array(np.concatenate([np.asarray(n, np.int64) for _, n in kinds.values()]))], ["kind", "key", "n"])
+    sums = pa.table({"kind": pa.array(names, pa.string()), "key": pa.array(np.concatenate([np.asarray(k, np.int64) for k, _ in kinds.values()])), "n": pa.array(np.concatenate([np.asarray(n, np.int64) for _, n in kinds.values()]))})
+    totals = [np.bincount(b.context, x, len(b.contexts)).astype(np.int64) for x in (b.count, own)]
+    shard = ((b.contexts >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
+    cut = np.searchsorted(shard, np.arange(n_shards + 1)).tolist()
+    rows = [(k, pack(*[x[i:j] for x in (b.contexts, *totals)])) for k, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
+    parts = pa.table({"bucket": pa.array([bucket] * len(rows), pa.int32()), "shard": pa.array([k for k, _ in rows], pa.int32()), "packed": pa.array([x for _, x in rows], pa.binary())})
+    schema = pa.schema([*parts.schema, *sums.schema])
+    return pa.concat_tables([pa.table({f.name: t[f.name] if f.name in t.column_names else pa.nulls(len(t), f.type) for f in schema}, schema) for t in (parts, sums)])
 
 
-def _dense(sums: dict[int, int] | None) -> np.ndarray:
-    out = np.zeros(CONTEXTS)
-    for k, n in (sums or {}).items():
-        out[k] = n
-    return out
+def context_totals(told: DataFrame) -> DataFrame:
+    """Rows (bucket, shard, packed): for a bucket's contexts in a shard, in their order, customers and tables everywhere."""
 
+    def add(t: pa.Table) -> pa.Table:
+        parts = [unpack(x, np.uint64, np.int64, np.int64) for x in t["packed"].to_pylist()]
+        keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        whole = [np.bincount(inverse, np.concatenate([p[k] for p in parts]), len(keys)).astype(np.int64)[inverse] for k in (1, 2)]
+        ends = np.cumsum([len(p[0]) for p in parts])
+        return pa.table({"bucket": t["bucket"], "shard": t["shard"], "packed": pa.array([pack(*[x[e - len(p[0]) : e] for x in whole]) for p, e in zip(parts, ends.tolist())], pa.binary())})
 
-def fitted(buckets: DataFrame, seed: int = 11) -> tuple[State, int, int]:
-    """The state after SWEEPS rounds over the buckets (bucket, packed); tokens and different tokens in training."""
+    return checkpointed(told.where("shard is not null").select("bucket", "shard", "packed").groupBy("shard").applyInArrow(trimmed(add), "bucket int, shard int, packed binary"))
 
-    def first(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for packed in batch.column(1).to_pylist():
-                b = Bucket.of(packed)
-                of_word = np.bincount(b.word, b.count, len(b.lengths)).astype(np.int64)
-                contexts = np.bincount(b.word, np.minimum(b.count, 1), len(b.lengths)).astype(np.int64)
-                one = np.minimum(b.count, 1)
-                cells = np.bincount(np.unique(b.cells, return_inverse=True)[1], np.repeat(np.minimum(of_word, 1), np.diff(b.begins))).astype(np.int64)
-                yield _told({
-                    "customers": (np.arange(CONTEXTS), np.bincount(b.context, b.count, CONTEXTS)), "tables": (np.arange(CONTEXTS), np.bincount(b.context, one, CONTEXTS)),
-                    "whole": (np.arange(3), [of_word.sum(), np.count_nonzero(of_word), contexts.sum()]),
-                    "pairs": ([1, 2], [(b.count == 1).sum(), (b.count == 2).sum()]), "words": ([1, 2], [(contexts == 1).sum(), (contexts == 2).sum()]),
-                    "cells": (np.unique(b.cells), cells),
-                })
+
+def _totals_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    parts = [unpack(x, np.int64, np.int64) for _, x in sorted(zip(t["shard"].to_pylist(), t["packed"].to_pylist()))]
+    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def fitted(buckets: DataFrame, n_shards: int, seed: int = 11) -> tuple[State, DataFrame, int, int]:
+    """The state after SWEEPS rounds over the buckets (bucket, packed); totals of contexts; tokens and different tokens in training."""
+
+    def first(t: pa.Table) -> pa.Table:
+        b = Bucket.of(t["packed"][0].as_py())
+        of_word = np.bincount(b.word, b.count, len(b.lengths)).astype(np.int64)
+        one = np.minimum(b.count, 1)
+        contexts = np.bincount(b.word, one, len(b.lengths)).astype(np.int64)
+        cells, inverse = np.unique(b.cells, return_inverse=True)
+        return _told(t["bucket"][0].as_py(), b, one, n_shards, {
+            "whole": (np.arange(3), [of_word.sum(), np.count_nonzero(of_word), contexts.sum()]),
+            "pairs": ([1, 2], [(b.count == 1).sum(), (b.count == 2).sum()]), "words": ([1, 2], [(contexts == 1).sum(), (contexts == 2).sum()]),
+            "cells": (cells, np.bincount(inverse, np.repeat(np.minimum(of_word, 1), np.diff(b.begins)), len(cells))),
+        })
 
     def spelling_of(sums: dict[int, int] | None, rng: np.random.Generator) -> Spelling:
         sums = {k: n for k, n in (sums or {}).items() if n}
         return Spelling(np.array(list(sums), np.int64), np.array(list(sums.values()), np.int64), rng)
 
     rng = np.random.default_rng(seed)
-    sums = _sums(buckets.mapInArrow(first, _KINDS))
+    told = checkpointed(buckets.groupBy("bucket").applyInArrow(trimmed(first), _KINDS))
+    sums, totals = _sums(told), context_totals(told)
+    forgotten(buckets)
     whole = sums.get("whole", {})
     n, v, seated = (int(whole.get(k, 0)) for k in range(3))
     share = lambda kind: min(0.95, max(0.05, (one := sums.get(kind, {}).get(1, 0)) / max(1, one + 2 * sums.get(kind, {}).get(2, 0))))
-    state = State(_dense(sums.get("customers")), _dense(sums.get("tables")), seated, v, spelling_of(sums.get("cells"), rng), (share("pairs"), share("words")))
+    state = State(seated, v, spelling_of(sums.get("cells"), rng), (share("pairs"), share("words")))
     for sweep in range(SWEEPS):
 
-        def seat(rows: Iterator[pa.RecordBatch], state: State = state, sweep: int = sweep) -> Iterator[pa.RecordBatch]:
-            for batch in rows:
-                for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    b = Bucket.of(packed)
-                    for own, of_word, _ in b.sweeps(state, LOCAL, np.random.default_rng([seed, sweep, bucket])):
-                        pass
-                    cells, inverse = np.unique(b.cells, return_inverse=True)
-                    yield _told({"tables": (np.arange(CONTEXTS), np.bincount(b.context, own, CONTEXTS)), "whole": ([0, 1, 2], [own.sum(), of_word.sum(), int(b.base(state)[of_word > 0].sum() * 1e15)]), "cells": (cells, np.bincount(inverse, np.repeat(of_word, np.diff(b.begins)), len(cells)))})
+        def seat(t: pa.Table, around: pa.Table, *, state: State = state, sweep: int = sweep) -> pa.Table:
+            bucket, b = t["bucket"][0].as_py(), Bucket.of(t["packed"][0].as_py())
+            for own, of_word, _ in b.sweeps(state, *_totals_of(around), LOCAL, np.random.default_rng([seed, sweep, bucket])):
+                pass
+            cells, inverse = np.unique(b.cells, return_inverse=True)
+            return _told(bucket, b, own, n_shards, {"whole": ([0, 1, 2], [own.sum(), of_word.sum(), int(b.base(state)[of_word > 0].sum() * 1e15)]), "cells": (cells, np.bincount(inverse, np.repeat(of_word, np.diff(b.begins)), len(cells)))})
 
-        sums = _sums(buckets.mapInArrow(seat, _KINDS))
+        told = checkpointed(buckets.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(trimmed(seat), _KINDS))
+        sums, totals = _sums(told), context_totals(told)
+        forgotten(buckets)
         whole = sums.get("whole", {})
-        state = State(state.n1, _dense(sums.get("tables")), int(whole.get(0, 0)), int(whole.get(1, 0)), spelling_of(sums.get("cells"), rng), state.discounts, min(1.0, max(1e-6, 1 - whole.get(2, 0) / 1e15)))
-    return state, n, v
+        state = State(int(whole.get(0, 0)), int(whole.get(1, 0)), spelling_of(sums.get("cells"), rng), state.discounts, min(1.0, max(1e-6, 1 - whole.get(2, 0) / 1e15)))
+    return state, totals, n, v
 
 
 def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, seed: int = 11) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)) + 16)).first()[0]
-    rows = checkpointed(gathered(docs.select(F.col(id_col).cast("long"), utf8(text_col).alias("_text")), pieces(total, bucket_bytes), chunk_bytes))
+    n_buckets = pieces(total, bucket_bytes)
+    rows = checkpointed(gathered(docs.select(F.col(id_col).cast("long"), utf8(text_col).alias("_text")), n_buckets, chunk_bytes))
     asked = rows.where("bucket >= 0").select("bucket", "chunk", "packed")
 
     def merge(t: pa.Table) -> pa.Table:
         b, _, _ = joined([Bucket.of(x) for x in t["packed"].to_pylist()])
-        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "packed": pa.array([pack(b.text, b.lengths.astype(np.uint32), b.word, b.context, b.count)], pa.binary())})
+        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "packed": pa.array([b.packed()], pa.binary())})
 
-    state, n, v = fitted(checkpointed(asked.groupBy("bucket").applyInArrow(merge, "bucket int, packed binary")), seed)
+    state, totals, n, v = fitted(checkpointed(asked.groupBy("bucket").applyInArrow(trimmed(merge), "bucket int, packed binary")), n_buckets, seed)
 
-    def answer(t: pa.Table) -> pa.Table:
+    def answer(t: pa.Table, around: pa.Table) -> pa.Table:
         parts = [Bucket.of(x) for x in t["packed"].to_pylist()]
         b, of_words, of_pairs = joined(parts)
         mean = np.zeros(len(b.count))
-        for i, (_, _, p) in enumerate(b.sweeps(state, BURN + SAMPLES, np.random.default_rng([seed, t["bucket"][0].as_py()]))):
+        for i, (_, _, p) in enumerate(b.sweeps(state, *_totals_of(around), BURN + SAMPLES, np.random.default_rng([seed, t["bucket"][0].as_py()]))):
             if i >= BURN:
                 mean += p / SAMPLES
         logs = np.log10(np.maximum(mean, 1e-300)).astype(np.float32)
@@ -375,8 +412,9 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
                 o += c
         return pa.table([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
+    forgotten(docs)
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    replies = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, packed binary")
+    replies = asked.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(trimmed(answer), "chunk long, bucket int, packed binary")
     schema = T.StructType([T.StructField(c, k) for c, k in zip(names, (T.LongType(), T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()))])
     return rows.where("bucket < 0").select("chunk", "packed", "ids").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
 
