@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_sets
 from ._spark import checkpointed, join_hot, released, table, utf8
 from ._words import NOT_SPACE, batches, words
 
@@ -228,11 +229,16 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = checkpointed(fingerprinted(docs, id_col=id_col, text_col=text_col))
     prints = checkpointed(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
     size = prints.agg(F.count(F.lit(1)), F.sum("n")).first()
-    root = components(links(prints, size[0], radius=radius, shard=shard))
+    return _by_component(rows, prints, links(prints, size[0], radius=radius, shard=shard), size[1] or 0, id_col)
+
+
+def _by_component(rows: DataFrame, prints: DataFrame, edges: DataFrame, total: int, id_col: str) -> DataFrame:
+    """rows (id, fp) with the smallest id that edges lead to; prints: fp with its smallest id and number of rows."""
+    root = components(edges)
     own = prints.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     by_root = own.groupBy("root").agg(F.min("least").alias("component_id"))
     facts = checkpointed(own.join(by_root, "root").select("fp", "n", "component_id"))
-    return join_hot(rows, facts, ["fp"], "n", size[1] or 0).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(rows, facts, ["fp"], "n", total).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,11 +246,14 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest id stays, and of the same id that of the smallest hash;
+    """Groups are joined by pairs of texts whose five-word shingles are 0.8 similar or more, compared exactly.
+    Of each group the document of the smallest id stays, and of the same id that of the smallest hash;
     of its rows of equal id and text, one. A row is known by its id and the hash of its text, so rows that
     merely share an id, or have none, are judged each by its own text."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    found = grouped(docs.select(key.alias("_key"), "text"), id_col="_key")
+    rows = checkpointed(near_sets.shingled(docs.select(key.alias("_key"), "text"), id_col="_key"))
+    prints = checkpointed(rows.groupBy("fp").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("n")))
+    found = _by_component(rows.select("_key", "fp"), prints, near_sets.links(rows.select("fp", "shingles")), rows.count(), "_key")
     gone = found.where("_key <> component_id").select(F.col("_key.id").alias("_id"), F.col("_key.hash").alias("_g")).distinct()
     kept = docs.withColumn("_h", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
     return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)

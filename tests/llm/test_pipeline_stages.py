@@ -28,3 +28,23 @@ def test_decontamination_keeps_clean_texts_of_a_contaminated_id(spark, tmp_path)
     rows = [(None, item), (None, prose(21)), (5, item + " more"), (5, prose(22)), (5, prose(22)), (6, None)]
     out = decontaminate.stage(spark, frame(spark, rows), str(tmp_path)).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in out) == sorted((str(i), str(t)) for i, t in [rows[1], *rows[3:]])
+
+
+def test_near_dedup_takes_five_words_and_a_similarity_of_four_fifths(spark):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    rows, passage = [], prose(99, 30)
+    for k in range(60):
+        w = prose(100 + k, 200).split()
+        copy = list(w)
+        for j in range(k % 12):
+            copy[10 + 15 * j] = "changed"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(copy))]
+    rows += [(1000 + k, f"{prose(500 + k, 40)} {passage}") for k in range(30)]
+    text = dict(rows)
+    near = {k: len((a := shingles(text[2 * k])) & (b := shingles(text[2 * k + 1]))) / len(a | b) for k in range(60)}
+    assert sum(0.8 <= x < 0.9 for x in near.values()) >= 10 and sum(x < 0.8 for x in near.values()) >= 10
+    kept = {r.doc_id for r in simhash.stage(spark, frame(spark, rows), "").collect()}
+    assert kept == set(text) - {2 * k + 1 for k in near if near[k] >= 0.8}
