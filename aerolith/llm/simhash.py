@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_sets
-from ._spark import checkpointed, join_hot, released, table, utf8
+from ._links import by_component, distance, forest_within
+from ._spark import checkpointed, released, table, utf8
 from ._words import NOT_SPACE, batches, words
 
 SEED, RADIUS, WORDS = 42, 4, 4
 #: Fingerprints in a shard, on average, before those that visit.
 SHARD = 30_000
-#: Pairs that are compared at once, and the fingerprints from which the split distances are taken.
-LEAF_PAIRS, SAMPLE = 1 << 20, 20_000
+#: Fingerprints from which the split distances are taken.
+SAMPLE = 20_000
 
 
 def fingerprints_of(texts: list[bytes], n_words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -81,69 +82,6 @@ def fingerprinted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 # ---------------------------------------------------------------- trees
 
 
-def distance(values: np.ndarray, point) -> np.ndarray:
-    return np.bitwise_count(values ^ point)
-
-
-def _roots(edges: np.ndarray, n: int) -> np.ndarray:
-    """The smallest index that each of n is connected to."""
-    label = np.arange(n)
-    while len(edges):
-        a, b = label[edges[:, 0]], label[edges[:, 1]]
-        differ = a != b
-        if not differ.any():
-            break
-        edges = edges[differ]
-        a, b = a[differ], b[differ]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-    return label
-
-
-def forest_within(values: np.ndarray, home: np.ndarray, radius: int, seed: int = 1) -> np.ndarray:
-    """Links of a spanning forest among pairs of which at least one is at home, as pairs of indexes."""
-    rng = np.random.default_rng(seed)
-    found: list[np.ndarray] = []
-    held = 0
-    stack = [(np.flatnonzero(home), np.arange(len(values)), 0)]
-    while stack:
-        left, right, stuck = stack.pop()
-        if not len(left) or not len(right):
-            continue
-        if len(left) * len(right) <= LEAF_PAIRS or stuck > 4:
-            step = max(1, LEAF_PAIRS // len(right))
-            for i in range(0, len(left), step):
-                part = left[i : i + step]
-                a, b = np.nonzero(distance(values[part][:, None], values[right][None, :]) <= radius)
-                links = np.stack((part[a], right[b]), axis=1)
-                links = links[links[:, 0] != links[:, 1]]
-                if len(links):
-                    found.append(links)
-                    held += len(links)
-                if held > 4 * len(values) + LEAF_PAIRS:
-                    found = [_forest(np.concatenate(found), len(values))]
-                    held = 0
-            continue
-        point = values[left[rng.integers(len(left))]]
-        near, far = distance(values[left], point).astype(np.int64), distance(values[right], point).astype(np.int64)
-        cut = int(np.median(far))
-        inner, outer = (left[near <= cut], right[far <= cut + radius]), (left[near > cut], right[far > cut - radius])
-        gained = max(len(inner[0]) * len(inner[1]), len(outer[0]) * len(outer[1])) < 0.9 * len(left) * len(right)
-        stack += [(*inner, 0 if gained else stuck + 1), (*outer, 0 if gained else stuck + 1)]
-    return _forest(np.concatenate(found), len(values)) if found else np.zeros((0, 2), np.int64)
-
-
-def _forest(links: np.ndarray, n: int) -> np.ndarray:
-    """Each connected index with the smallest of its component."""
-    root = _roots(links, n)
-    at = np.flatnonzero(root != np.arange(n))
-    return np.stack((at, root[at]), axis=1)
-
-
 def vantage_tree(sample: np.ndarray, depth: int, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
     """For each level one vantage point, and for each node of the level the median distance from it."""
     rng = np.random.default_rng(seed)
@@ -205,40 +143,12 @@ def links(prints: DataFrame, total: int, *, radius: int = RADIUS, shard: int = S
     return dealt.groupBy("shard").applyInArrow(join, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Per node of edges (a, b): node, root (the smallest node of its component).
-
-    Large-star and small-star rounds; only minima are gathered by node, so a hub is no hot key of an
-    aggregation. Ends when a round changes nothing.
-    """
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        after = checkpointed(small)
-        if after.join(edges, ["a", "b"], "left_anti").isEmpty() and edges.join(after, ["a", "b"], "left_anti").isEmpty():
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        edges = after
-
-
 def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """id, fingerprint (hex), component_id (the smallest id that links lead to)."""
     rows = checkpointed(fingerprinted(docs, id_col=id_col, text_col=text_col))
     prints = checkpointed(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
-    size = prints.agg(F.count(F.lit(1)), F.sum("n")).first()
-    return _by_component(rows, prints, links(prints, size[0], radius=radius, shard=shard), size[1] or 0, id_col)
-
-
-def _by_component(rows: DataFrame, prints: DataFrame, edges: DataFrame, total: int, id_col: str) -> DataFrame:
-    """rows (id, fp) with the smallest id that edges lead to; prints: fp with its smallest id and number of rows."""
-    root = components(edges)
-    own = prints.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    by_root = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    facts = checkpointed(own.join(by_root, "root").select("fp", "n", "component_id"))
-    return join_hot(rows, facts, ["fp"], "n", total).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = by_component(rows, prints, links(prints, prints.count(), radius=radius, shard=shard), id_col)
+    return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,17 +156,17 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups are joined by pairs of texts whose five-word shingles are 0.8 similar or more, compared exactly.
+    """Groups are joined by pairs of texts whose five-word shingles are 0.8 similar or more (see near_sets).
     Of each group the document of the smallest id stays, and of the same id that of the smallest hash;
     of its rows of equal id and text, one. A row is known by its id and the hash of its text, so rows that
-    merely share an id, or have none, are judged each by its own text."""
+    merely share an id, or have none, are judged each by its own text. Other columns stay as they are."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    rows = checkpointed(near_sets.shingled(docs.select(key.alias("_key"), "text"), id_col="_key"))
-    prints = checkpointed(rows.groupBy("fp").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("n")))
-    found = _by_component(rows.select("_key", "fp"), prints, near_sets.links(rows.select("fp", "shingles")), rows.count(), "_key")
-    gone = found.where("_key <> component_id").select(F.col("_key.id").alias("_id"), F.col("_key.hash").alias("_g")).distinct()
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    found = near_sets.grouped(docs.select(key.alias("_key"), "text"))
+    gone = found.where("_key <> component_id").select(F.col("_key.id").alias("_gone_id"), F.col("_key.hash").alias("_gone_hash")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.col("doc_id").alias("_own_id"), F.xxhash64("text").alias("_own_hash"), row.alias("_row"))
+    kept = keyed.join(gone, F.col("_own_id").eqNullSafe(F.col("_gone_id")) & (F.col("_own_hash") == F.col("_gone_hash")), "left_anti")
+    return kept.dropDuplicates(["_own_id", "_own_hash"]).select("_row.*")
 
 
 QUERIES = {"op4_simhash_groups": op4_simhash_groups}

@@ -1,6 +1,7 @@
 import random
 
-from aerolith.llm import decontaminate, simhash
+import pytest
+from aerolith.llm import decontaminate, near_sets, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -48,3 +49,45 @@ def test_near_dedup_takes_five_words_and_a_similarity_of_four_fifths(spark):
     assert sum(0.8 <= x < 0.9 for x in near.values()) >= 10 and sum(x < 0.8 for x in near.values()) >= 10
     kept = {r.doc_id for r in simhash.stage(spark, frame(spark, rows), "").collect()}
     assert kept == set(text) - {2 * k + 1 for k in near if near[k] >= 0.8}
+
+
+@pytest.mark.parametrize(("block", "group"), [(20_000, 4_000_000), (6, 900), (2, 300)])
+def test_near_groups_equal_brute_force_however_blocks_and_groups_are_cut(spark, block, group):
+    from pyspark.sql import functions as F
+
+    rng, texts = random.Random(4), []
+    for k in range(8):
+        base = prose(300 + k, 150).split()
+        for _ in range(12):
+            w = list(base)
+            for place in rng.sample(range(150), rng.randint(0, 9)):
+                w[place] = f"c{rng.randint(0, 10**9)}"
+            texts.append(" ".join(w))
+    # a chain, in which only neighbours are similar; and short, empty and repeated texts
+    long = prose(999, 400).split()
+    texts += [" ".join(long[20 * k : 20 * k + 200]) for k in range(8)]
+    texts += ["", None, " ", "one two", "ONE  two", "one two three", texts[0]]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((label[i], label[j]))
+                label = [x if z == y else z for z in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    found = near_sets.grouped(docs.select(key.alias("_key"), "text"), block=block, group=group).collect()
+    assert {r._key.id: r.component_id.id for r in found} == dict(enumerate(label))
+    assert len(set(label[:96])) > 8 and len(set(label[96:104])) == 1
+
+
+def test_near_dedup_of_no_rows_and_with_columns_of_like_names(spark):
+    a = prose(1)
+    docs = spark.createDataFrame([(1, a, "x", "y", "z"), (2, a, "x", "y", "z"), (None, None, "p", None, "q")], "doc_id long, text string, _gone_id string, _row string, fp string")
+    assert sorted(map(tuple, simhash.stage(spark, docs, "").collect()), key=str) == [(1, a, "x", "y", "z"), (None, None, "p", None, "q")]
+    assert simhash.stage(spark, docs.limit(0), "").count() == 0

@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from aerolith.llm import balance, decontaminate, html_text, pitman_yor, quality_rules, simhash, warc
+from aerolith.llm import _links, balance, decontaminate, html_text, pitman_yor, quality_rules, simhash, warc
+
+from aerolith.llm._links import forest_within, roots
 
 from ..oracle import connect, same
 from aerolith.llm import registry
@@ -54,13 +56,16 @@ def test_simhash_groups_equal_brute_force(spark):
 
 
 def test_vantage_trees_find_all_close_pairs(monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF_PAIRS", 64)
+    monkeypatch.setattr(_links, "LEAF_PAIRS", 64)
     r = np.random.default_rng(1)
     seed = r.integers(0, 1 << 63, 60, dtype=np.uint64)
     values = np.unique(np.concatenate([seed, *(seed ^ (np.uint64(1) << r.integers(0, 63, 60).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 63, 60).astype(np.uint64)) for _ in range(5))]))
-    got = simhash._roots(simhash.forest_within(values, np.ones(len(values), bool), 4), len(values))
+    got = roots(forest_within(values, np.ones(len(values), bool), 4), len(values))
     close = np.argwhere(np.bitwise_count(values[:, None] ^ values[None, :]) <= 4)
-    assert (got == simhash._roots(close, len(values))).all()
+    assert (got == roots(close, len(values))).all()
+    home = r.random(len(values)) < 0.3
+    got = roots(forest_within(values, home, 4), len(values))
+    assert (got == roots(close[home[close[:, 0]] | home[close[:, 1]]], len(values))).all()
 
 
 def test_host_verdicts_need_a_bad_host_and_a_failing_document(spark):
