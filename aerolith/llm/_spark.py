@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +17,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Only where that is unset and one machine does all is it a new local folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share."""
+    return f"{_shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the folder of spark.checkpoint.dir; a folder is set only where none is."""
+    """df, computed once into the folder of spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(_shared_root(df.sparkSession))
     return df.checkpoint()
 
 
+def bucketed(df: DataFrame, column: str, n: int, name: str) -> DataFrame:
+    """df as a written table of n buckets by column: grouping by it afterwards moves none of its rows."""
+    spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, column).option("path", shared_folder(spark, name)).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def released() -> None:
     """Gives memory that a worker no longer uses back to the system, so that the workers of an executor fit beside it."""
     import ctypes

@@ -17,8 +17,6 @@ ids keep one row each; an empty table gives empty files.
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import pieces, released, table, utf8
+from ._spark import pieces, released, shared_folder, table, utf8
 from ._tokens import BYTE_LEVEL, encoder, resolved
 
 END_ID = 2
@@ -208,11 +206,6 @@ def read(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame
     return files.join(F.broadcast(before), "part").select("start", "before", "null_ids", "doc_ids", "lengths", "coded").mapInArrow(decoded, schema)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, or where that is unset in a local one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-shared-')}/{name}-{uuid.uuid4().hex}"
-
-
 def op8_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "rans")
     write(table(spark, sf_dir, "documents"), path)

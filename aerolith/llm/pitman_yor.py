@@ -13,9 +13,10 @@ totals of contexts, which grow with the corpus, are then summed anew by a shuffl
 part for each of its contexts to the shard of the context's hash, which sends the whole back to those
 that asked. Totals of at most 257**3 byte triples come to the driver, which seats the spelling model.
 After SWEEPS such rounds the buckets average the predictive probability of each pair over SAMPLES
-seatings and send it back to the chunks that asked. Contexts are known by 64-bit hashes. A customer joins
-or opens tables in the order of the Chinese restaurant process; from the 33rd customer of a dish on they are
-seated in small blocks with the probabilities at the block's middle.
+seatings and send it back to the chunks that asked. Contexts are known by 64-bit hashes. In each sweep all
+customers of a dish get up and are seated anew by the Chinese restaurant process, whose waiting times between
+new tables are drawn exactly. What chunks and buckets hold is written once as tables bucketed by what they are
+grouped by, so the rounds move totals alone.
 
 Edge cases: a null or empty text is its end token alone; words that training doesn't have are one
 event, as in the base, which has what the spelling model leaves; repeated rows count as often as they occur; a null id is trained on; without any training
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import checkpointed, forgotten, pieces, released, table, trimmed, utf8
+from ._spark import bucketed, checkpointed, forgotten, pieces, released, table, trimmed, utf8
 from ._words import NOT_SPACE, batches, by_text, words
 
 FOLDS, HELD_OUT = 5, 1
@@ -69,22 +70,22 @@ def unpack(packed: bytes, *types) -> list[np.ndarray]:
 
 
 def tables(customers: np.ndarray, discount: float, strength: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes by the Chinese restaurant process; strength: the weight of a new table of the dish."""
+    """Tables of dishes by the Chinese restaurant process; strength: the weight of a new table of the dish.
+
+    With s customers at t tables the next opens a table with chance a / (a + s - discount * t), and those after it
+    with a / (a + s + 1 - discount * t) and so on: how many come until one does is beta-geometric, and drawn as such.
+    """
     out = np.minimum(customers, 1).astype(np.int64)
-    order = np.flatnonzero(customers > 1)
-    order = order[np.argsort(-customers[order], kind="stable")]
-    sorted_c = -customers[order]
-    seated = 1
-    while True:
-        at = order[: np.searchsorted(sorted_c, -seated, "left")]
-        if not len(at):
-            return out
-        block = 1 if seated < 32 else seated // 8
-        many = np.minimum(customers[at] - seated, block)
-        a = strength[at]
-        chance = a / (a + np.maximum(seated + (many - 1) / 2 - discount * out[at], 1e-9))
-        out[at] += rng.binomial(many, np.clip(chance, 0, 1))
-        seated += block
+    at = np.flatnonzero(customers > 1)
+    seated = np.ones(len(at))
+    with np.errstate(divide="ignore", over="ignore"):
+        while len(at):
+            chance = rng.beta(np.maximum(strength[at], 1e-300), np.maximum(seated - discount * out[at], 1e-9))
+            seated += np.maximum(np.ceil(np.log(1 - rng.random(len(at))) / np.log1p(-chance)), 1)
+            goes_on = seated <= customers[at]
+            at, seated = at[goes_on], seated[goes_on]
+            out[at] += 1
+    return out
 
 
 class Spelling:
@@ -248,7 +249,10 @@ class Gathered:
 
 
 def gathered(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
-    """Rows (chunk, bucket, packed, ids): of bucket -1 a chunk's documents, of others its pairs of that bucket."""
+    """Rows (key, chunk, bucket, packed, ids): of bucket -1 a chunk's documents, of others its pairs of that bucket.
+
+    key: what the row is grouped by later, the bucket, or of documents their chunk.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, done = TaskContext.get().partitionId() << 24, 0
@@ -265,7 +269,8 @@ def gathered(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
         del held
         released()
 
-    return docs.mapInArrow(run, "chunk long, bucket int, packed binary, ids array<long>")
+    rows = docs.mapInArrow(run, "chunk long, bucket int, packed binary, ids array<long>")
+    return rows.withColumn("key", F.when(F.col("bucket") < 0, F.col("chunk")).otherwise(F.col("bucket").cast("long")))
 
 
 def joined(parts: list[Bucket]) -> tuple[Bucket, list[np.ndarray], list[np.ndarray]]:
@@ -297,35 +302,55 @@ def _sums(rows: DataFrame) -> dict[str, dict[int, int]]:
 _KINDS = "bucket int, shard int, packed binary, kind string, key long, n long"
 
 
-def _told(bucket: int, b: Bucket, own: np.ndarray, n_shards: int, kinds: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """Sums by kind and key; and for each shard of contexts their hashes, customers and tables here."""
+def _told(bucket: int, b: Bucket, own: np.ndarray, n_shards: int, kinds: dict[str, tuple[np.ndarray, np.ndarray]], first: bool = False) -> pa.Table:
+    """Sums by kind and key; and for each shard of contexts, in the order of their hashes, their tables here.
+
+    first: the hashes and the customers here, too, which don't change later.
+    """
     names = [k for k, (keys, _) in kinds.items() for _ in range(len(keys))]
     sums = pa.table({"kind": pa.array(names, pa.string()), "key": pa.array(np.concatenate([np.asarray(k, np.int64) for k, _ in kinds.values()])), "n": pa.array(np.concatenate([np.asarray(n, np.int64) for _, n in kinds.values()]))})
-    totals = [np.bincount(b.context, x, len(b.contexts)).astype(np.int64) for x in (b.count, own)]
+    told = [np.bincount(b.context, x, len(b.contexts)).astype(np.uint32) for x in ((own, b.count) if first else (own,))]
     shard = ((b.contexts >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
     cut = np.searchsorted(shard, np.arange(n_shards + 1)).tolist()
-    rows = [(k, pack(*[x[i:j] for x in (b.contexts, *totals)])) for k, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
+    rows = [(k, pack(*[x[i:j] for x in (told + [b.contexts] if first else told)])) for k, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
     parts = pa.table({"bucket": pa.array([bucket] * len(rows), pa.int32()), "shard": pa.array([k for k, _ in rows], pa.int32()), "packed": pa.array([x for _, x in rows], pa.binary())})
     schema = pa.schema([*parts.schema, *sums.schema])
     return pa.concat_tables([pa.table({f.name: t[f.name] if f.name in t.column_names else pa.nulls(len(t), f.type) for f in schema}, schema) for t in (parts, sums)])
 
 
-def context_totals(told: DataFrame) -> DataFrame:
-    """Rows (bucket, shard, packed): for a bucket's contexts in a shard, in their order, customers and tables everywhere."""
+def context_totals(first: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """Rows (bucket, shard, what, packed): for a bucket's contexts in a shard, in their order, the tables (what = 0) everywhere.
+
+    first: what _told gave in the first round; told: in a later one. Without told the customers (what = 1) are given, too.
+    """
 
-    def add(t: pa.Table) -> pa.Table:
-        parts = [unpack(x, np.uint64, np.int64, np.int64) for x in t["packed"].to_pylist()]
-        keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        whole = [np.bincount(inverse, np.concatenate([p[k] for p in parts]), len(keys)).astype(np.int64)[inverse] for k in (1, 2)]
-        ends = np.cumsum([len(p[0]) for p in parts])
-        return pa.table({"bucket": t["bucket"], "shard": t["shard"], "packed": pa.array([pack(*[x[e - len(p[0]) : e] for x in whole]) for p, e in zip(parts, ends.tolist())], pa.binary())})
+    def add(t: pa.Table, u: pa.Table | None = None) -> pa.Table:
+        buckets = t["bucket"].to_pylist()
+        parts = [unpack(x, np.uint32, np.uint32, np.uint64) for x in t["packed"].to_pylist()]
+        _, inverse = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        if u is None:
+            values = [[p[k] for p in parts] for k in (0, 1)]
+        else:
+            later = dict(zip(u["bucket"].to_pylist(), u["packed"].to_pylist()))
+            values = [[unpack(later[x], np.uint32)[0] for x in buckets]]
+        out = []
+        for x in values:
+            whole = np.bincount(inverse, np.concatenate(x)).astype(np.int64)[inverse]
+            out += [pack(y) for y in np.split(whole, np.cumsum([len(y) for y in x])[:-1])]
+        n, k = len(buckets), len(values)
+        return pa.table({"bucket": pa.array(buckets * k, pa.int32()), "shard": pa.array(t["shard"].to_pylist() * k, pa.int32()), "what": pa.array([i // n for i in range(n * k)], pa.int32()), "packed": pa.array(out, pa.binary())})
 
-    return checkpointed(told.where("shard is not null").select("bucket", "shard", "packed").groupBy("shard").applyInArrow(trimmed(add), "bucket int, shard int, packed binary"))
+    schema, of = "bucket int, shard int, what int, packed binary", lambda x: x.where("shard is not null").select("bucket", "shard", "packed").groupBy("shard")
+    if told is None:
+        return checkpointed(of(first).applyInArrow(trimmed(lambda t: add(t)), schema))
+    return checkpointed(of(first).cogroup(of(told)).applyInArrow(trimmed(lambda t, u: add(t, u)), schema))
 
 
 def _totals_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpack(x, np.int64, np.int64) for _, x in sorted(zip(t["shard"].to_pylist(), t["packed"].to_pylist()))]
-    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+    """Customers and tables of a bucket's contexts."""
+    parts = sorted(zip(t["what"].to_pylist(), t["shard"].to_pylist(), t["packed"].to_pylist()))
+    held = [[unpack(x, np.int64)[0] for what, _, x in parts if what == k] for k in (1, 0)]
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in held)
 
 
 def fitted(buckets: DataFrame, n_shards: int, seed: int = 11) -> tuple[State, DataFrame, int, int]:
@@ -337,7 +362,7 @@ def fitted(buckets: DataFrame, n_shards: int, seed: int = 11) -> tuple[State, Da
         one = np.minimum(b.count, 1)
         contexts = np.bincount(b.word, one, len(b.lengths)).astype(np.int64)
         cells, inverse = np.unique(b.cells, return_inverse=True)
-        return _told(t["bucket"][0].as_py(), b, one, n_shards, {
+        return _told(t["bucket"][0].as_py(), b, one, n_shards, first=True, kinds={
             "whole": (np.arange(3), [of_word.sum(), np.count_nonzero(of_word), contexts.sum()]),
             "pairs": ([1, 2], [(b.count == 1).sum(), (b.count == 2).sum()]), "words": ([1, 2], [(contexts == 1).sum(), (contexts == 2).sum()]),
             "cells": (cells, np.bincount(inverse, np.repeat(np.minimum(of_word, 1), np.diff(b.begins)), len(cells))),
@@ -349,7 +374,8 @@ def fitted(buckets: DataFrame, n_shards: int, seed: int = 11) -> tuple[State, Da
 
     rng = np.random.default_rng(seed)
     told = checkpointed(buckets.groupBy("bucket").applyInArrow(trimmed(first), _KINDS))
-    sums, totals = _sums(told), context_totals(told)
+    sums, start, totals = _sums(told), told, context_totals(told)
+    customers = totals.where("what = 1")
     forgotten(buckets)
     whole = sums.get("whole", {})
     n, v, seated = (int(whole.get(k, 0)) for k in range(3))
@@ -365,7 +391,7 @@ def fitted(buckets: DataFrame, n_shards: int, seed: int = 11) -> tuple[State, Da
             return _told(bucket, b, own, n_shards, {"whole": ([0, 1, 2], [own.sum(), of_word.sum(), int(b.base(state)[of_word > 0].sum() * 1e15)]), "cells": (cells, np.bincount(inverse, np.repeat(of_word, np.diff(b.begins)), len(cells)))})
 
         told = checkpointed(buckets.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(trimmed(seat), _KINDS))
-        sums, totals = _sums(told), context_totals(told)
+        sums, totals = _sums(told), context_totals(start, told).unionByName(customers)
         forgotten(buckets)
         whole = sums.get("whole", {})
         state = State(int(whole.get(0, 0)), int(whole.get(1, 0)), spelling_of(sums.get("cells"), rng), state.discounts, min(1.0, max(1e-6, 1 - whole.get(2, 0) / 1e15)))
@@ -376,14 +402,17 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)) + 16)).first()[0]
     n_buckets = pieces(total, bucket_bytes)
-    rows = checkpointed(gathered(docs.select(F.col(id_col).cast("long"), utf8(text_col).alias("_text")), n_buckets, chunk_bytes))
-    asked = rows.where("bucket >= 0").select("bucket", "chunk", "packed")
+    found = gathered(docs.select(F.col(id_col).cast("long"), utf8(text_col).alias("_text")), n_buckets, chunk_bytes)
+    rows = bucketed(found.repartition(n_buckets, "key"), "key", n_buckets, "pitman_yor_rows")
+    forgotten(docs)
+    asked = rows.where("bucket >= 0").select("key", "bucket", "chunk", "packed")
 
     def merge(t: pa.Table) -> pa.Table:
         b, _, _ = joined([Bucket.of(x) for x in t["packed"].to_pylist()])
         return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "packed": pa.array([b.packed()], pa.binary())})
 
-    state, totals, n, v = fitted(checkpointed(asked.groupBy("bucket").applyInArrow(trimmed(merge), "bucket int, packed binary")), n_buckets, seed)
+    buckets = bucketed(asked.groupBy("key").applyInArrow(trimmed(merge), "bucket int, packed binary"), "bucket", n_buckets, "pitman_yor_buckets")
+    state, totals, n, v = fitted(buckets, n_buckets, seed)
 
     def answer(t: pa.Table, around: pa.Table) -> pa.Table:
         parts = [Bucket.of(x) for x in t["packed"].to_pylist()]
@@ -414,9 +443,9 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
 
     forgotten(docs)
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    replies = asked.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(trimmed(answer), "chunk long, bucket int, packed binary")
+    replies = asked.groupBy("key").cogroup(totals.withColumn("key", F.col("bucket").cast("long")).groupBy("key")).applyInArrow(trimmed(answer), "chunk long, bucket int, packed binary")
     schema = T.StructType([T.StructField(c, k) for c, k in zip(names, (T.LongType(), T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()))])
-    return rows.where("bucket < 0").select("chunk", "packed", "ids").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
+    return rows.where("bucket < 0").select("key", "packed", "ids").groupBy("key").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, join_hot, pieces, table, utf8
-from .ans import shared_folder
+from ._spark import checkpointed, join_hot, pieces, shared_folder, table, utf8
 
 BLANK = "\r\n\r\n"
 #: Records in an archive file, entries in a sorted run, entries in a range of the index on average,
