@@ -103,3 +103,14 @@ def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, tota
     left = marked.where("_hot is null").drop("_hot").join(rest, keys, how)
     right = marked.where("_hot").drop("_hot").join(F.broadcast(hot), keys, "inner")
     return left.unionByName(right)
+
+
+def rows_left(docs: DataFrame, gone: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """docs without the rows whose id and hash of the text gone has (_gone_id, _gone_hash); once: and each id and text once.
+
+    All columns of docs come back as they were, whatever their names.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.col(id_col).alias("_own_id"), F.xxhash64(text_col).alias("_own_hash"), row.alias("_row"))
+    left = keyed.join(gone.distinct(), F.col("_own_id").eqNullSafe(F.col("_gone_id")) & (F.col("_own_hash") == F.col("_gone_hash")), "left_anti")
+    return (left.dropDuplicates(["_own_id", "_own_hash"]) if once else left).select("_row.*")

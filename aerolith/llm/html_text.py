@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -52,7 +53,9 @@ _GOOD = {"article", "body", "content", "entry", "main", "post", "story", "text"}
 _BAD = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "footer", "form", "header", "login", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related", "reply", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 _HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A comment, a tag whose quotes are closed before the next "<", any other tag (it ends at the first ">"), a declaration.
+#: Nothing is given back once read, and up to the last ">" of a page the third always ends, so a page is read in linear time.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>"']*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>"']*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 TEXT = "#text"
@@ -70,12 +73,15 @@ class Tree(NamedTuple):
 
 def parsed(page: str) -> Tree:
     tag, parent, end, tokens, text = ["#root"], [-1], [0], [""], [""]
-    stack, at, raw = [0], 0, None
-    foreign, last = False, {}
+    # of each open element also the svg or math that it is in, or 0; and how many of each name are open
+    stack, within, names, at, last = [0], [0], Counter(), 0, {}
 
     def close(to: int) -> None:
         while len(stack) > to:
-            end[stack.pop()] = len(tag)
+            within.pop()
+            k = stack.pop()
+            names[tag[k]] -= 1
+            end[k] = len(tag)
 
     def add_text(piece: str) -> None:
         if piece:
@@ -87,41 +93,31 @@ def parsed(page: str) -> Tree:
 
     def ends_later(name: str) -> bool:
         if name not in last:
-            last[name] = max((m.start() for m in re.finditer(rf"</{name}\s*>", page, re.I)), default=-1)
+            last[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}\s*>", page, re.I)), default=-1)
         return last[name] >= at
 
-    def foreign_at() -> int:
-        """Where in the stack the svg or math is that the place is in, or 0."""
-        for i in range(len(stack) - 1, 0, -1):
-            if (here := tag[stack[i]]) in _FOREIGN:
-                return i
-            if here in _HTML_INSIDE:
-                return 0
-        return 0
-
-    find = _TOKEN.search
-    while (m := find(page, at)) is not None:
+    find, stop = _TOKEN.search, page.rfind(">") + 1
+    while (m := find(page, at, stop)) is not None:
         if m.start() > at:
             add_text(page[at : m.start()])
         at = m.end()
-        name = m[2]
+        strict = m[2] is not None
+        name = m[2] if strict else m[5]
         if name is None:
+            if page.startswith("<!--", m.start()) and not page.endswith("-->", m.start(), at):
+                at = len(page)
             continue
         name = name.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if tag[stack[i]] == name:
-                    close(i)
-                    break
+        if m[1] if strict else m[4]:
+            if names[name]:
+                close(max(i for i in range(len(stack)) if tag[stack[i]] == name) if tag[stack[-1]] != name else len(stack) - 1)
             continue
-        within = foreign_at() if foreign else 0
-        while within and name in _BREAKS_OUT:
-            close(within)
-            within = foreign_at()
+        while within[-1] and name in _BREAKS_OUT:
+            close(within[-1])
         closes = _CLOSES.get(name)
         if closes or name in _ENDS_P:
             closes = (closes or set()) | ({"p"} if name in _ENDS_P else set())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(names[x] for x in closes) else ():
                 here = tag[stack[i]]
                 if here in closes:
                     close(i)
@@ -129,20 +125,21 @@ def parsed(page: str) -> Tree:
                         break
                 elif here in _SCOPES and name != "body":
                     break
-        attributes = m[3]
+        attributes, foreign = m[3] if strict else m[6], within[-1]
         tag.append(name)
         parent.append(stack[-1])
         end.append(len(tag))
         tokens.append(" ".join(x[1].strip("\"'") for x in _ATTRIBUTE.findall(attributes)) if "=" in attributes else "")
         text.append("")
-        if (within or name in _ASIDE) and (attributes.endswith("/") or name in _ASIDE - _FOREIGN and not ends_later(name)):
+        if (foreign or name in _ASIDE) and (attributes.endswith("/") or name in _ASIDE - _FOREIGN and not ends_later(name)):
             continue
-        foreign = foreign or name in _FOREIGN
-        if name in _RAW and not within:
+        if name in _RAW and not foreign:
             raw = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = raw.end() if raw else len(page)
         elif name not in _VOID:
+            within.append(len(stack) if name in _FOREIGN else 0 if name in _HTML_INSIDE else foreign)
             stack.append(len(tag) - 1)
+            names[name] += 1
     if at < len(page):
         add_text(page[at:])
     close(0)
@@ -153,7 +150,7 @@ def parsed(page: str) -> Tree:
 
 FEATURES = ["is_text", "inline", "heading", "paragraph", "list", "link", "good_tag", "bad_tag", "good_token", "bad_token", "good_above", "bad_above", "depth", "length", "words", "density", "link_share", "punctuation", "capitals", "elements", "children", "siblings", "place_among_siblings", "same_tag_siblings", "place_in_page", "share_of_page", "paragraphs", "parent_length", "parent_density", "parent_link_share"]
 _TELLS = [FEATURES.index(x) for x in ("good_tag", "bad_tag", "good_token", "bad_token", "good_above", "bad_above")]
-_PUNCTUATION = re.compile(r"[.,;:!?]")
+_PUNCTUATION, _CAPITAL = re.compile(r"[.,;:!?]"), re.compile("[A-ZÀ-ÖØ-ÞА-Я]")
 
 
 def features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +171,7 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
     in_link = inside(link)
     words = below(np.array([x.count(" ") + 1 if x.strip() else 0 for x in t.text], np.float64))
     punctuation = below(np.array([len(_PUNCTUATION.findall(x)) if x else 0 for x in t.text], np.float64))
-    capitals = below(np.array([sum(map(str.isupper, x)) if x and len(x) < 400 else 0 for x in t.text], np.float64))
+    capitals = below(np.array([len(_CAPITAL.findall(x)) if x else 0 for x in t.text], np.float64))
     link_share = below(sizes * in_link) / np.maximum(length, 1)
     depth = np.zeros(n)
     up = parent.tolist()

@@ -43,6 +43,8 @@ FOLDS, HELD_OUT = 5, 1
 CHUNK_BYTES, BUCKET_BYTES = 24 << 20, 24 << 20
 SWEEPS, LOCAL, BURN, SAMPLES = 3, 3, 2, 4
 STRENGTH = 1.0
+#: Dishes that are followed one by one, and customers that draw together.
+SINGLE, FOLLOWED = 64, 1 << 18
 #: Symbols of spellings are bytes and START, which stands before the first and is the end of a word, too.
 START, CONTEXTS = 256, 257
 
@@ -73,21 +75,36 @@ def tables(customers: np.ndarray, discount: float, strength: np.ndarray, rng: np
     """Tables of dishes by the Chinese restaurant process; strength: the weight of a new table of the dish.
 
     With s customers at t tables the next opens a table with chance a / (a + s - discount * t), and those after it
-    with a / (a + s + 1 - discount * t) and so on: how many come until one does is beta-geometric, and drawn as such.
+    with a / (a + s + 1 - discount * t) and so on: how many come until one does is beta-geometric, and drawn as such
+    for all dishes at once. The few with most tables are followed customer by customer, which is the same law.
     """
     out = np.minimum(customers, 1).astype(np.int64)
     at = np.flatnonzero(customers > 1)
     seated = np.ones(len(at))
     with np.errstate(divide="ignore", over="ignore"):
-        while len(at):
+        while len(at) > SINGLE:
             chance = rng.beta(np.maximum(strength[at], 1e-300), np.maximum(seated - discount * out[at], 1e-9))
             seated += np.maximum(np.ceil(np.log(1 - rng.random(len(at))) / np.log1p(-chance)), 1)
             goes_on = seated <= customers[at]
             at, seated = at[goes_on], seated[goes_on]
             out[at] += 1
+    for k, s in zip(at.tolist(), seated.astype(np.int64).tolist()):
+        out[k] = _followed(s, int(out[k]), int(customers[k]), discount, float(strength[k]), rng)
     return out
 
 
+def _followed(seated: int, t: int, customers: int, discount: float, a: float, rng: np.random.Generator) -> int:
+    """Tables of one dish when all its customers are seated: with t tables one opens if t is over what its draw asks for."""
+    while seated < customers:
+        s = np.arange(seated, min(customers, seated + FOLLOWED), dtype=np.float64)
+        asks = (s - a * (1 / (1 - rng.random(len(s))) - 1)) / discount
+        for x in asks[asks < s].tolist():
+            if t > x:
+                t += 1
+        seated += len(s)
+    return t
+
+
 class Spelling:
     """Restaurants of bytes: cells are (a * 257 + b) * 257 + c, c after a and b."""
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import near_sets
 from ._links import by_component, distance, forest_within
-from ._spark import checkpointed, released, table, utf8
+from ._spark import checkpointed, released, rows_left, table, utf8
 from ._words import NOT_SPACE, batches, words
 
 SEED, RADIUS, WORDS = 42, 4, 4
@@ -162,11 +162,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     merely share an id, or have none, are judged each by its own text. Other columns stay as they are."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     found = near_sets.grouped(docs.select(key.alias("_key"), "text"))
-    gone = found.where("_key <> component_id").select(F.col("_key.id").alias("_gone_id"), F.col("_key.hash").alias("_gone_hash")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(F.col("doc_id").alias("_own_id"), F.xxhash64("text").alias("_own_hash"), row.alias("_row"))
-    kept = keyed.join(gone, F.col("_own_id").eqNullSafe(F.col("_gone_id")) & (F.col("_own_hash") == F.col("_gone_hash")), "left_anti")
-    return kept.dropDuplicates(["_own_id", "_own_hash"]).select("_row.*")
+    gone = found.where("_key <> component_id").select(F.col("_key.id").alias("_gone_id"), F.col("_key.hash").alias("_gone_hash"))
+    return rows_left(docs, gone, once=True)
 
 
 QUERIES = {"op4_simhash_groups": op4_simhash_groups}

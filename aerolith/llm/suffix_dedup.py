@@ -419,9 +419,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text keeps the bytes that no earlier document has; a character cut in two goes whole."""
-    text = F.col("kept").cast("string")
-    return dedup(docs, characters=True).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Each text keeps the bytes that no earlier document has; a character cut in two goes whole. n_chars is counted
+    anew where docs has it; a null text comes back empty; other columns, whatever their names, stay as they are."""
+    rest = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    out = dedup(docs.select("doc_id", "text", rest.alias("_row")), characters=True).withColumn("_kept", F.col("kept").cast("string"))
+    own = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("long")}
+    return out.select(*[own[c].alias(c) if c in own else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}

@@ -29,3 +29,44 @@ def test_context_restaurants_grow_with_the_words(spark):
     b = pitman_yor.Bucket.of(g.rows(0)["packed"][1].as_py())
     # the start, the, cat, dog, and two words that end in the same byte
     assert len(b.contexts) == 6 and len(b.count) == 9
+
+
+def test_tables_follow_the_restaurant_process():
+    rng = np.random.default_rng(0)
+
+    def one_by_one(c, d, a):
+        t = 1
+        for s in range(1, c):
+            t += rng.random() < a / (a + s - d * t)
+        return t
+
+    for c, d, a in ((5, 0.8, 0.3), (40, 0.6, 2.0), (200, 0.5, 20.0)):
+        want = np.array([one_by_one(c, d, a) for _ in range(2000)])
+        for got in (pitman_yor.tables(np.full(2000, c), d, np.full(2000, a), rng), pitman_yor.tables(np.full(40, c), d, np.full(40, a), rng)):
+            assert abs(got.mean() - want.mean()) < 5 * want.std() / len(got) ** 0.5 and got.min() >= 1 and got.max() <= c
+    assert pitman_yor.tables(np.array([0, 1, 2]), 0.5, np.ones(3), rng).tolist()[:2] == [0, 1]
+
+
+def test_held_out_texts_are_less_surprising_than_to_an_absolute_discount_bigram(spark):
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("lang = 'en'")
+    rows = docs.collect()
+    texts = {r.doc_id: ["", *[x for x in (r.text or "").encode().lower().split()], ""] for r in rows}
+    one, two = Counter(), defaultdict(Counter)
+    for d, w in texts.items():
+        if not pitman_yor.held_out(d):
+            one.update(w[1:])
+            for a, b in zip(w, w[1:]):
+                two[a][b] += 1
+    n, v = sum(one.values()), len(one)
+    score = {}
+    for d, w in texts.items():
+        if pitman_yor.held_out(d):
+            score[d] = 0.0
+            for a, b in zip(w, w[1:]):
+                p = (one[b] + 0.5) / (n + 0.5 * (v + 1))
+                c = sum(two[a].values()) if a in two else 0
+                score[d] += np.log10(max(two[a][b] - 0.75, 0) / c + 0.75 * len(two[a]) / c * p if c else p)
+    own = {r.doc_id: r.score for r in pitman_yor.scored(docs).where("held_out").collect()}
+    assert own.keys() == score.keys() and sum(own.values()) > sum(score.values())

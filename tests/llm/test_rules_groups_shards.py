@@ -85,6 +85,11 @@ def test_phrases_and_proximity(spark):
         assert got == {1: (7, 5, ["7", "8"]), 2: (6, 3, ["8"]), 3: (0, 0, []), 4: (4, 0, []), None: (8, 8, ["7", "8"])}
     near = {r.doc_id: r["items"] for r in decontaminate.matched(docs, bench, slack=1).collect()}
     assert near[2] == ["7", "8"]
+    both = {r.doc_id: (r["items"], r.near_items) for r in decontaminate.matched(docs, bench, near=1).collect()}
+    assert both[2] == (["8"], ["7", "8"]) and both[4] == ([], [])
+    # the last word that is asked for stands in the next document alone
+    cut = spark.createDataFrame([(1, "q a b c d"), (2, "e a b c d"), (3, "e")], "doc_id long, text string").coalesce(1)
+    assert all(not r["items"] and not r.n_hit for r in decontaminate.matched(cut, bench.where("item_id = 7"), slack=3).collect())
 
 
 def test_differencing_beats_dealing_and_keeps_groups(spark):
