@@ -180,6 +180,7 @@ class Bucket:
     def __init__(self, text, lengths, contexts, word, context, count):
         self.text, self.lengths, self.contexts, self.word, self.context, self.count = text, lengths, contexts, word, context, count
         self.cells, self.begins = spelled(text, lengths.astype(np.int64))
+        self.different = None
 
     @staticmethod
     def of(packed: bytes) -> Bucket:
@@ -190,9 +191,15 @@ class Bucket:
     def packed(self) -> bytes:
         return packed_pairs(self.text, self.lengths, self.contexts, self.word, self.context, self.count)
 
+    def different_cells(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.different is None:
+            self.different = np.unique(self.cells, return_inverse=True)
+        return self.different
+
     def base(self, s: State) -> np.ndarray:
         """Of words in training the probability of the spelling; others are one event, with all that is left."""
-        logs = np.log(np.maximum(s.spelling.probability(self.cells), 1e-300))
+        cells, inverse = self.different_cells()
+        logs = np.log(np.maximum(s.spelling.probability(cells), 1e-300))[inverse]
         spelled_ = np.exp(np.add.reduceat(logs, self.begins[:-1])) if len(self.lengths) else np.zeros(0)
         return np.where(np.bincount(self.word, self.count, len(self.lengths)) > 0, spelled_, s.unseen)
 
@@ -378,7 +385,7 @@ def fitted(buckets: DataFrame, n_shards: int, seed: int = 11) -> tuple[State, Da
         of_word = np.bincount(b.word, b.count, len(b.lengths)).astype(np.int64)
         one = np.minimum(b.count, 1)
         contexts = np.bincount(b.word, one, len(b.lengths)).astype(np.int64)
-        cells, inverse = np.unique(b.cells, return_inverse=True)
+        cells, inverse = b.different_cells()
         return _told(t["bucket"][0].as_py(), b, one, n_shards, first=True, kinds={
             "whole": (np.arange(3), [of_word.sum(), np.count_nonzero(of_word), contexts.sum()]),
             "pairs": ([1, 2], [(b.count == 1).sum(), (b.count == 2).sum()]), "words": ([1, 2], [(contexts == 1).sum(), (contexts == 2).sum()]),
@@ -404,7 +411,7 @@ def fitted(buckets: DataFrame, n_shards: int, seed: int = 11) -> tuple[State, Da
             bucket, b = t["bucket"][0].as_py(), Bucket.of(t["packed"][0].as_py())
             for own, of_word, _ in b.sweeps(state, *_totals_of(around), LOCAL, np.random.default_rng([seed, sweep, bucket])):
                 pass
-            cells, inverse = np.unique(b.cells, return_inverse=True)
+            cells, inverse = b.different_cells()
             return _told(bucket, b, own, n_shards, {"whole": ([0, 1, 2], [own.sum(), of_word.sum(), int(b.base(state)[of_word > 0].sum() * 1e15)]), "cells": (cells, np.bincount(inverse, np.repeat(of_word, np.diff(b.begins)), len(cells)))})
 
         told = checkpointed(buckets.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(trimmed(seat), _KINDS))
