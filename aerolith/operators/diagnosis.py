@@ -25,22 +25,28 @@ def vibration(t: dict[str, float] = THRESHOLDS) -> Column:
 
 
 def gps(t: dict[str, float] = THRESHOLDS) -> Column:
-    hdop, sats, fix, lost = (F.col(f"gps_{x}") for x in ("hdop", "nsats", "fix", "lost"))
-    bad = [(hdop > t["hdop"], 0.4), ((sats > 0) & (sats < t["nsats"]), 0.5), (fix < t["fix"], 0.6), (lost > 0, 0.8)]
-    return _rule("gps_quality_poor", (hdop > 0) | (sats > 0), bad, 0.7)
+    """Silent only in a log without any satellite, dilution or fix; it is the fewest satellites that count."""
+    hdop, sats, least, fix, lost = (F.col(f"gps_{x}") for x in ("hdop", "nsats", "nsats_min", "fix", "lost"))
+    bad = [(hdop > t["hdop"], 0.4), ((least > 0) & (least < t["nsats"]), 0.5), (fix < t["fix"], 0.6), (lost > 0, 0.8)]
+    return _rule("gps_quality_poor", (hdop != 0) | (sats != 0) | (fix != 0), bad, 0.7)
 
 
 def power(t: dict[str, float] = THRESHOLDS) -> Column:
+    """A brownout is critical, other trouble a warning, however sure."""
     span, low, vcc, margin, sag = (F.col(x) for x in ("volt_range", "volt_min", "vcc_min", "volt_margin", "volt_sag"))
+    noisy = (F.col("volt_std") > 0.8) & (F.col("curr_max") > 20)
     brown = (vcc > 0) & (vcc < t["vcc"])
-    parts = [(span > t["volt_range"], 0.5), (brown, 0.8), ((margin > 0) & (margin < t["margin"]), 0.4), ((low > 0) & (low < t["volt_min"]), 0.3), (sag > t["sag_fail"], 0.35), ((sag > t["sag_warn"]) & (sag <= t["sag_fail"]), 0.2)]
+    parts = [(span > t["volt_range"], 0.5), (brown, 0.8), ((margin > 0) & (margin < t["margin"]), 0.4), ((low > 0) & (low < t["volt_min"]), 0.3), (sag > t["sag_fail"], 0.35), ((sag > t["sag_warn"]) & (sag <= t["sag_fail"]), 0.2), (noisy, 0.15)]
     hit = _rule("power_instability", F.lit(True), parts, 2.0)
-    return F.when(brown, F.struct(F.lit("brownout").alias("failure_type"), hit["confidence"].alias("confidence"), F.lit("critical").alias("severity"), F.lit("rule").alias("method"))).otherwise(hit)
+    kind, severity = F.when(brown, "brownout").otherwise("power_instability"), F.when(brown, "critical").otherwise("warning")
+    return F.when(hit.isNotNull(), F.struct(kind.alias("failure_type"), hit["confidence"].alias("confidence"), severity.alias("severity"), F.lit("rule").alias("method")))
 
 
 RULES = {"vibration_high": vibration, "gps_quality_poor": gps, "power_instability": power}
 
 
+# Which label comes first of equally sure ones.
+PRIORITIES = {"mechanical_failure": 6, "thrust_loss": 6, "vibration_high": 5, "compass_interference": 5, "motor_imbalance": 5, "gps_quality_poor": 4, "power_instability": 4, "brownout": 4, "ekf_failure": 4, "pid_tuning_issue": 3, "rc_failsafe": 2, "crash_unknown": 1}
 # The rules that two kinds of vehicle have; the others have all.
 ROUTES = {"rover": ["compass", "power_instability", "gps_quality_poor", "ekf", "system_load", "rc_failsafe", "crash"], "sub": ["compass", "power_instability", "ekf", "system_load", "rc_failsafe", "crash"]}
 # The part of the vehicle that a failure points to.
@@ -89,19 +95,26 @@ def in_context(hits: DataFrame, features: DataFrame, key: str, probabilities: Da
 
 
 def merged(rule: DataFrame, model: DataFrame, key: str, least: float = 0.45) -> DataFrame:
-    """Rule and classifier hits of one type: 0.65 model + 0.35 rule; either alone counts 0.85."""
+    """Rule and classifier hits of one type: 0.65 model + 0.35 rule; either alone counts 0.85. With severity and reason."""
     a = rule.groupBy(key, "failure_type").agg(F.min("confidence").alias("_r"))
     b = model.groupBy(key, "failure_type").agg(F.max("confidence").alias("_m"))
     both = a.join(b, [key, "failure_type"], "full_outer")
     c = F.when(F.col("_r").isNotNull() & F.col("_m").isNotNull(), 0.65 * F.col("_m") + 0.35 * F.col("_r")).otherwise(0.85 * F.coalesce("_r", "_m"))
     method = F.when(F.col("_r").isNotNull() & F.col("_m").isNotNull(), "rule+ml").when(F.col("_r").isNotNull(), "rule").otherwise("ml")
-    return both.select(key, "failure_type", c.alias("confidence"), method.alias("method")).where(F.col("confidence") >= least)
+    out = both.select(key, "failure_type", F.least(c, F.lit(1.0)).alias("confidence"), method.alias("method")).where(F.col("confidence") >= least)
+    severity = F.when(F.col("confidence") > 0.6, "critical").when(F.col("confidence") > 0.3, "warning").otherwise("info")
+    return out.withColumn("severity", severity).withColumn("reason", F.when(F.col("confidence") >= 0.7, "confirmed").otherwise("uncertain"))
 
 
 def ranked(hits: DataFrame, key: str) -> DataFrame:
-    """rank of each hit of a log: surest first, then method, then type."""
-    order = F.when(F.col("method") == "rule+ml", 0).when(F.col("method") == "rule", 1).otherwise(2)
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("confidence"), order, "failure_type")))
+    """rank of each hit of a log: surest first, then found by both, by the model, by a rule, then the label's priority, then its name."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("confidence"), *by_priority())))
+
+
+def by_priority() -> list[Column]:
+    method = F.when(F.col("method") == "rule+ml", 0).when(F.col("method") == "ml", 1).otherwise(2)
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in PRIORITIES.items() for x in pair]), F.col("failure_type")), F.lit(0))
+    return [method, label.desc(), F.col("failure_type")]
 
 
 def decisions(hits: DataFrame, logs: DataFrame, key: str) -> DataFrame:

@@ -72,7 +72,7 @@ def ekf(warn: float = 1.05, fail: float = 1.5) -> Column:
     base = F.greatest(F.when(worst > fail * 1.5, 0.85).when(worst > fail, 0.65).otherwise(0.0), F.when(warns >= 2, 0.55).otherwise(0.0), F.when(fails >= 2, 0.90).otherwise(0.0))
     c = F.least(F.lit(1.0), base + _sum((switches > 0, 0.2), (bad > 0.1, 0.1)))
     gate = ((worst > warn) | (switches > 0) | (bad >= 0.1)) & ((fails >= 2) | (switches > 0) | (worst >= fail * 1.5))
-    return _hit("ekf_failure", gate, c, c >= 0.8)
+    return _hit("ekf_failure", gate, c, c >= 0.8, 0.0)
 
 
 def system_load() -> Column:

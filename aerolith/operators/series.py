@@ -81,8 +81,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, time: str, value: str,
     return out.withColumn("nearest", F.when(take, F.col("_p.v")).otherwise(F.col("_f.v"))).drop("_r", "_left", "_p", "_f")
 
 
-def arbitrated(candidates: DataFrame, key: str) -> DataFrame:
-    """Root cause per log from (label, onset, confidence); at most one candidate per label.
+def arbitrated(candidates: DataFrame, key: str, second: float = 1e6) -> DataFrame:
+    """Root cause per log from (label, onset, confidence); at most one candidate per label. Onsets are in microseconds.
 
     In order of onset, a later one takes over if it comes within 5 s of the earliest and is surer, or
     within 30 s with confidence 0.85 or more and over 0.15 above the best.
@@ -92,7 +92,7 @@ def arbitrated(candidates: DataFrame, key: str) -> DataFrame:
 
     def step(best: Column, x: Column) -> Column:
         gap, sure, had = x["onset"] - first["onset"], -x["minus"], -best["minus"]
-        wins = ((gap <= 5) & (sure > had)) | ((gap <= 30) & (sure >= 0.85) & (sure > had + 0.15))
+        wins = ((gap <= 5 * second) & (sure > had)) | ((gap <= 30 * second) & (sure >= 0.85) & (sure > had + 0.15))
         return F.when(wins, x).otherwise(best)
 
     best = F.aggregate(F.slice("c", 2, 1 << 20), first, step)

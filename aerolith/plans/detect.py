@@ -55,7 +55,7 @@ def gps_faults(spark, sf_dir):
 def _incidents(spark, sf_dir):
     kind = F.when(F.col("msg_type") == "error", "ERR").when(F.col("msg_type") == "signup", "EV").otherwise("MODE")
     field = lambda sql: F.expr(sql).cast("string")
-    fields = F.create_map(F.lit("Subsys"), field("code % 32"), F.lit("Id"), field("code % 20"), F.lit("Mode"), field("code % 10"), F.lit("Reason"), field("code % 3"))
+    fields = F.create_map(F.lit("Subsys"), field("code % 32"), F.lit("ECode"), field("code % 4"), F.lit("Id"), field("code % 20"), F.lit("Mode"), field("code % 10"), F.lit("Reason"), field("code % 3"))
     return events(spark, sf_dir).select("log_id", "seq", "time_us", kind.alias("msg_type"), fields.alias("fields"))
 
 
@@ -107,7 +107,7 @@ QUERIES = {
     "vibration_faults": (vibration_faults, _verdict(_VIBE, " + ".join(f"CASE WHEN {a} > 60 THEN 0.2 WHEN {a} > 30 THEN 0.1 ELSE 0 END" for a in _AXES) + " + CASE WHEN clips > 0 THEN 0.3 ELSE 0 END + CASE WHEN clips > 100 THEN 0.2 ELSE 0 END", 5, 0.25, "'vibration_high'", [*[(f"{a} > 30", f"{a}_max") for a in _AXES], ("clips > 0", "vibe_clip")], "least(" + ", ".join(f"CASE WHEN {a} > 60 THEN f_{a} ELSE w_{a} END" for a in _AXES) + ")")),
     "gps_faults": (gps_faults, _verdict(_GPS, "CASE WHEN fix < 0.95 AND 1 - fix > 0.5 THEN 0.7 WHEN fix < 0.95 THEN 0.5 ELSE 0 END + CASE WHEN sats < 6 THEN 0.4 ELSE 0 END + CASE WHEN hdop > 5 THEN 0.4 WHEN hdop > 2 THEN 0.2 ELSE 0 END", 5, 0.3, "CASE WHEN fix < 0.95 AND 1 - fix > 0.5 THEN 'gps_loss' ELSE 'gps_quality_poor' END", [("fix < 0.95", "gps_fix"), ("sats < 6", "gps_nsats"), ("hdop > 2", "gps_hdop")], "coalesce(CASE WHEN fix < 0.95 THEN lost END, CASE WHEN sats < 6 THEN few END)")),
     "incident_counts": (incidents, f"WITH {_I} SELECT log_id, " + ", ".join(f"(count(*) FILTER (WHERE {c}))::DOUBLE AS {n}" for n, c in {"errors": "m = 'ERR'", "failsafes": f"m = 'ERR' AND sub IN {tuple(features.FAILSAFES)}", "mode_changes": "m = 'MODE'", "unexpected_modes": "m = 'MODE' AND lands AND code % 3 <> 0", "gps_lost": "m = 'EV' AND code % 20 = 19", "rc_lost": "m = 'MODE' AND lands AND code % 3 = 2", "radio_failsafe": "m = 'ERR' AND sub = 5"}.items()) + ", max((m = 'ERR' AND sub = 12)::INT)::DOUBLE AS crashes FROM i GROUP BY log_id"),
-    "error_labels": (error_labels, f"WITH {_I}, l AS (SELECT *, CASE sub {_LABELS} END AS label FROM i WHERE m = 'ERR') SELECT log_id, label, count(*) AS n, arg_min(time_us, seq) AS first_us FROM l WHERE label IS NOT NULL GROUP BY ALL"),
+    "error_labels": (error_labels, f"WITH {_I}, l AS (SELECT *, CASE sub {_LABELS} END AS label FROM i WHERE m = 'ERR') SELECT log_id, label, count(*) AS n, arg_min(time_us, seq) AS first_us FROM l WHERE label IS NOT NULL AND (sub <> 11 OR code % 4 = 2) GROUP BY ALL"),
     "routed_rules": (routed_rules, f"WITH {flight._FEATURES} SELECT log_id, failure_type, round(confidence, 6) AS confidence FROM hits WHERE log_id % 3 = 0 OR failure_type IN ('power_instability', 'brownout') OR (log_id % 3 = 1 AND failure_type = 'gps_quality_poor')"),
     "subsystem_ranking": (subsystems, f"WITH {flight._FEATURES}, u AS (SELECT log_id, coalesce(CASE failure_type {_SUBS} END, 'Unknown') AS subsystem, max(round(confidence, 6)) AS likelihood FROM hits WHERE confidence > 0 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY likelihood DESC, subsystem) AS rank FROM u"),
 }

@@ -61,12 +61,16 @@ def nearest_point(spark, sf_dir):
     return series.nearest(left, right, "log_id", "time_us", "value", "at").select("log_id", "seq", F.round("nearest", 6).alias("nearest"))
 
 
-def arbitration(spark, sf_dir):
+def _candidates(spark, sf_dir):
+    """Hits with onsets: per log and kind of event the first time over 30, an hour of the log for a second of a flight."""
     e = events(spark, sf_dir).where("value > 30")
-    first = e.groupBy("log_id", F.col("msg_type").alias("label")).agg(F.min("time_us").alias("t"), F.round(F.max("value") / 1000, 6).alias("confidence"))
+    first = e.groupBy("log_id", F.col("msg_type").alias("failure_type")).agg(F.min("time_us").alias("t"), F.round(F.max("value") / 100, 6).alias("confidence"))
     begin = e.groupBy("log_id").agg(F.min("time_us").alias("t0"))
-    own = first.join(begin, "log_id").select("log_id", "label", ((F.col("t") - F.col("t0")) / 3.6e9 + 1).alias("onset"), "confidence")
-    return _rounded(series.arbitrated(own, "log_id"), "onset", "earliest")
+    return first.join(begin, "log_id").select("log_id", "failure_type", ((F.col("t") - F.col("t0")) / 3600 + 1e6).alias("onset"), "confidence")
+
+
+def arbitration(spark, sf_dir):
+    return _rounded(series.arbitrated(_candidates(spark, sf_dir).withColumnRenamed("failure_type", "label"), "log_id"), "onset", "earliest")
 
 
 def lookup(spark, sf_dir):
@@ -87,8 +91,8 @@ def feature_rows(spark, sf_dir):
     of = lambda kind, fn: F.coalesce(fn(F.when(F.col("msg_type") == kind, v)), F.lit(0.0))
     return e.groupBy("log_id").agg(
         of("view", F.max).alias("vibe_x_max"), of("click", F.max).alias("vibe_y_max"), of("purchase", F.max).alias("vibe_z_max"), F.count_if(v > 80).cast("double").alias("vibe_clip"),
-        (of("signup", F.avg) / 10).alias("gps_hdop"), F.countDistinct("code").cast("double").alias("gps_nsats"), F.avg((v > 1).cast("double")).alias("gps_fix"), F.lit(0.0).alias("gps_lost"),
-        ((of("error", F.max) - of("error", F.min)) / 40).alias("volt_range"), (of("error", F.min) + 8).alias("volt_min"), F.lit(5.0).alias("vcc_min"), F.lit(1.0).alias("volt_margin"), F.lit(0.03).alias("volt_sag"))
+        (of("signup", F.avg) / 10).alias("gps_hdop"), F.countDistinct("code").cast("double").alias("gps_nsats"), F.countDistinct("code").cast("double").alias("gps_nsats_min"), F.avg((v > 1).cast("double")).alias("gps_fix"), F.lit(0.0).alias("gps_lost"),
+        ((of("error", F.max) - of("error", F.min)) / 40).alias("volt_range"), (of("error", F.min) + 8).alias("volt_min"), F.lit(5.0).alias("vcc_min"), F.lit(1.0).alias("volt_margin"), F.lit(0.03).alias("volt_sag"), ((of("error", F.max) - of("error", F.min)) / 80).alias("volt_std"), of("purchase", F.max).alias("curr_max"))
 
 
 def rules_fired(spark, sf_dir):
@@ -124,15 +128,17 @@ _FEATURES = _E + """, f AS (SELECT log_id, coalesce(max(value) FILTER (WHERE msg
  count(*) FILTER (WHERE value > 80) AS clip, coalesce(avg(value) FILTER (WHERE msg_type = 'signup'), 0) / 10 AS hdop, count(DISTINCT code) AS nsats, avg((value > 1)::INT) AS fix,
  (coalesce(max(value) FILTER (WHERE msg_type = 'error'), 0) - coalesce(min(value) FILTER (WHERE msg_type = 'error'), 0)) / 40 AS vr, coalesce(min(value) FILTER (WHERE msg_type = 'error'), 0) + 8 AS vm, max(value) AS m, count(*) AS n FROM e GROUP BY log_id),
 r AS (SELECT log_id, 'vibration_high' AS failure_type, least(1, (CASE WHEN x > 60 THEN 0.2 WHEN x > 30 THEN 0.1 ELSE 0 END) + (CASE WHEN y > 60 THEN 0.2 WHEN y > 30 THEN 0.1 ELSE 0 END) + (CASE WHEN z > 60 THEN 0.2 WHEN z > 30 THEN 0.1 ELSE 0 END) + (CASE WHEN clip > 0 THEN 0.3 ELSE 0 END) + (CASE WHEN clip > 100 THEN 0.2 ELSE 0 END)) AS c, 0.7 AS crit, greatest(x, y, z) > 30 OR clip > 0 AS gate FROM f
- UNION ALL SELECT log_id, 'gps_quality_poor', least(1, (CASE WHEN hdop > 2 THEN 0.4 ELSE 0 END) + (CASE WHEN nsats > 0 AND nsats < 6 THEN 0.5 ELSE 0 END) + (CASE WHEN fix < 0.95 THEN 0.6 ELSE 0 END)), 0.7, hdop > 0 OR nsats > 0 FROM f
- UNION ALL SELECT log_id, 'power_instability', least(1, (CASE WHEN vr > 2 THEN 0.5 ELSE 0 END) + (CASE WHEN vm > 0 AND vm < 10 THEN 0.3 ELSE 0 END)), 2, true FROM f),
-hits AS (SELECT log_id, failure_type, c::DOUBLE AS confidence, CASE WHEN c > crit THEN 'critical' WHEN c > 0.3 THEN 'warning' ELSE 'info' END AS severity FROM r WHERE gate AND c > 0)"""
+ UNION ALL SELECT log_id, 'gps_quality_poor', least(1, (CASE WHEN hdop > 2 THEN 0.4 ELSE 0 END) + (CASE WHEN nsats > 0 AND nsats < 6 THEN 0.5 ELSE 0 END) + (CASE WHEN fix < 0.95 THEN 0.6 ELSE 0 END)), 0.7, hdop <> 0 OR nsats <> 0 OR fix <> 0 FROM f
+ UNION ALL SELECT log_id, 'power_instability', least(1, (CASE WHEN vr > 2 THEN 0.5 ELSE 0 END) + (CASE WHEN vm > 0 AND vm < 10 THEN 0.3 ELSE 0 END) + (CASE WHEN vr / 2 > 0.8 AND z > 20 THEN 0.15 ELSE 0 END)), 2, true FROM f),
+hits AS (SELECT log_id, failure_type, c::DOUBLE AS confidence, CASE WHEN c > crit THEN 'critical' WHEN c > 0.3 OR failure_type = 'power_instability' THEN 'warning' ELSE 'info' END AS severity FROM r WHERE gate AND c > 0)"""
 _MERGED = _FEATURES + """, ml AS (SELECT log_id, CASE WHEN n % 2 = 0 THEN 'vibration_high' ELSE 'ekf_failure' END AS failure_type, least(1, m / 100) AS confidence FROM f),
 pair AS (SELECT coalesce(a.log_id, b.log_id) AS log_id, coalesce(a.failure_type, b.failure_type) AS failure_type,
  CASE WHEN a.confidence IS NOT NULL AND b.confidence IS NOT NULL THEN 0.65 * b.confidence + 0.35 * a.confidence ELSE 0.85 * coalesce(a.confidence, b.confidence) END AS confidence,
  CASE WHEN a.confidence IS NOT NULL AND b.confidence IS NOT NULL THEN 'rule+ml' WHEN a.confidence IS NOT NULL THEN 'rule' ELSE 'ml' END AS method
  FROM hits a FULL JOIN ml b ON a.log_id = b.log_id AND a.failure_type = b.failure_type),
-merged AS (SELECT log_id, failure_type, round(confidence, 6) AS confidence, method FROM pair WHERE confidence >= 0.45)"""
+merged AS (SELECT log_id, failure_type, round(confidence, 6) AS confidence, method, CASE WHEN confidence > 0.6 THEN 'critical' WHEN confidence > 0.3 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN confidence >= 0.7 THEN 'confirmed' ELSE 'uncertain' END AS reason FROM pair WHERE confidence >= 0.45)"""
+
+_CANDIDATES = _E + """, o AS (SELECT * FROM e WHERE value > 30), c AS (SELECT f.log_id, failure_type, (t - t0) / 3600 + 1e6 AS onset, confidence FROM (SELECT log_id, msg_type AS failure_type, min(time_us) AS t, round(max(value) / 100, 6) AS confidence FROM o GROUP BY ALL) f JOIN (SELECT log_id, min(time_us) AS t0 FROM o GROUP BY 1) b ON f.log_id = b.log_id)"""
 
 QUERIES = {
     "series_stats": (series_stats, f"WITH {_E} SELECT log_id, round(avg(value), 6) AS mean, round(max(value), 6) AS max, round(min(value), 6) AS min, round(stddev_pop(value), 6) AS std, round(max(value) - min(value), 6) AS range, arg_max(time_us, (value, -seq)) AS max_time, coalesce(arg_min(time_us, seq) FILTER (WHERE value > 90), -1)::DOUBLE AS onset FROM e GROUP BY log_id"),
@@ -144,12 +150,14 @@ QUERIES = {
     "window_slices": (window_slices, f"WITH {_E}, s AS (SELECT log_id, min(time_us) AS a, max(time_us) AS z FROM e GROUP BY log_id), w AS (SELECT log_id, a, unnest(range(0, greatest(0, (z - a - 172800000000) // 86400000000) + 1)) AS win FROM s) SELECT w.log_id, win AS \"window\", count(*) AS n, count(DISTINCT msg_type) AS families FROM w JOIN e ON e.log_id = w.log_id AND time_us - a >= win * 86400000000 AND time_us - a < win * 86400000000 + 172800000000 GROUP BY ALL HAVING families >= 3"),
     "downsample": (downsample, f"WITH {_E}, r AS (SELECT log_id, seq, row_number() OVER (PARTITION BY log_id ORDER BY time_us, seq) - 1 AS i, count(*) OVER (PARTITION BY log_id) AS n FROM e) SELECT log_id, seq FROM r WHERE i % greatest(1, n // 10) = 0"),
     "nearest_point": (nearest_point, f"WITH {_E}, p AS (SELECT a.log_id, a.seq, b.value, row_number() OVER (PARTITION BY a.log_id, a.seq ORDER BY abs(a.time_us - b.time_us) NULLS LAST, b.time_us, b.seq) AS n FROM e a LEFT JOIN e b ON a.log_id = b.log_id AND b.msg_type = 'view' WHERE a.msg_type = 'error') SELECT log_id, seq, round(value, 6) AS nearest FROM p WHERE n = 1"),
-    "onset_arbitration": (arbitration, None),
+    "onset_arbitration": (arbitration, f"""WITH {_CANDIDATES}, g AS (SELECT log_id, list({{'o': onset, 'm': -confidence, 'l': failure_type}} ORDER BY onset, -confidence, failure_type) AS c FROM c GROUP BY log_id),
+b AS (SELECT log_id, c[1].o AS earliest, list_reduce(c, lambda b, x: CASE WHEN (x.o - c[1].o <= 5e6 AND -x.m > -b.m) OR (x.o - c[1].o <= 3e7 AND -x.m >= 0.85 AND -x.m > -b.m + 0.15) THEN x ELSE b END) AS r FROM g)
+SELECT log_id, r.l AS root_cause, round(r.o, 6) AS onset, -r.m AS confidence, round(earliest, 6) AS earliest FROM b"""),
     "code_lookup": (lookup, "SELECT coalesce(n_name, 'UNKNOWN_' || k) AS name, count(*) AS n FROM (SELECT json_extract_string(props, '$.k')::INT AS k FROM events) LEFT JOIN nation ON k = n_nationkey GROUP BY 1"),
     "channel_spread": (channel_spread, "WITH s AS (SELECT l_orderkey, max(l_quantity) - min(l_quantity) AS d, min(l_quantity) AS lo, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_custkey AS log_id, round(avg(d), 6) AS spread_mean, round(max(d), 6) AS spread_max, round(avg((n >= 4 AND lo > 10)::INT), 6) AS all_high FROM s JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"),
     "rules_fired": (rules_fired, f"WITH {_FEATURES} SELECT log_id, failure_type, round(confidence, 6) AS confidence, severity FROM hits"),
     "fused_diagnoses": (fused, f"WITH {_MERGED} SELECT * FROM merged"),
-    "decisions": (decided, f"""WITH {_MERGED}, k AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY confidence DESC, CASE method WHEN 'rule+ml' THEN 0 WHEN 'rule' THEN 1 ELSE 2 END, failure_type) AS rank FROM merged),
+    "decisions": (decided, f"""WITH {_MERGED}, k AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY confidence DESC, CASE method WHEN 'rule+ml' THEN 0 WHEN 'ml' THEN 1 ELSE 2 END, CASE failure_type WHEN 'vibration_high' THEN 5 ELSE 4 END DESC, failure_type) AS rank FROM merged),
 t AS (SELECT log_id, max(confidence) FILTER (WHERE rank = 1) AS c, max(method) FILTER (WHERE rank = 1) AS method, max(failure_type) FILTER (WHERE rank = 1) AS failure_type, max(confidence) FILTER (WHERE rank = 2) AS second, count(*) FILTER (WHERE confidence >= 0.5) AS strong FROM k GROUP BY log_id),
 q AS (SELECT f.log_id, failure_type, c, concat_ws(',', CASE WHEN c < 0.65 THEN 'low_confidence' END, CASE WHEN c - second < 0.15 THEN 'close_second' END, CASE WHEN strong >= 2 THEN 'several_strong' END, CASE WHEN method = 'ml' AND c < 0.75 THEN 'model_only' END) AS reasons FROM f LEFT JOIN t USING (log_id))
 SELECT log_id, CASE WHEN c IS NULL THEN 'healthy' WHEN reasons <> '' THEN 'uncertain' ELSE 'confirmed' END AS status, failure_type, c AS confidence, reasons FROM q"""),
