@@ -53,3 +53,110 @@ def gates(metrics: DataFrame, targets: DataFrame) -> DataFrame:
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
+def outcomes(truth: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """Each truth row with `outcome`: ok, EXTRACTION_FAILED (no features, or not extracted) or DIAGNOSIS_FAILED.
+
+    features: key, extracted, diagnosed.
+    """
+    rows = truth.join(features.select(key, "extracted", "diagnosed", F.lit(True).alias("_there")), key, "left")
+    failed = F.col("_there").isNull() | ~F.coalesce("extracted", F.lit(False))
+    return rows.withColumn("outcome", F.when(failed, "EXTRACTION_FAILED").when(~F.coalesce("diagnosed", F.lit(False)), "DIAGNOSIS_FAILED").otherwise("ok")).drop("_there", "extracted", "diagnosed")
+
+
+def run_counters(rows: DataFrame) -> DataFrame:
+    """Counts of a run by outcome; failed diagnoses were extracted, but no part of the total."""
+    n = lambda x: F.count_if(F.col("outcome") == x)
+    return rows.agg((n("ok") + n("EXTRACTION_FAILED")).alias("total"), n("ok").alias("extracted"), n("EXTRACTION_FAILED").alias("failed_extractions"), n("DIAGNOSIS_FAILED").alias("failed_diagnoses"))
+
+
+def confusions(results: DataFrame, key: str, truth: str, predicted: str, most: int | None = None) -> DataFrame:
+    """Rows whose sets of labels differ: key, missed, added (sorted); with `most` the first ones, as a report shows them."""
+    out = results.where(F.array_sort(F.array_distinct(truth)) != F.array_sort(F.array_distinct(predicted)))
+    out = out.select(key, F.array_sort(F.array_except(truth, predicted)).alias("missed"), F.array_sort(F.array_except(predicted, truth)).alias("added"))
+    return out if most is None else out.orderBy(key).limit(most)
+
+
+def class_bins(probabilities: DataFrame, bins: int = 10) -> DataFrame:
+    """Per class and half-open bin of (class, p, hit): n, confidence, accuracy. A p of 1 falls out of all bins."""
+    rows = probabilities.where((F.col("p") >= 0) & (F.col("p") < 1)).withColumn("bin", F.floor(F.col("p") * bins).cast("int"))
+    return rows.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("confidence"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
+
+
+def class_error(probabilities: DataFrame, bins: int = 10) -> DataFrame:
+    """Mean over classes of the calibration error of each; rows out of all bins count in the number of rows."""
+    size = probabilities.groupBy("class").agg(F.count(F.lit(1)).alias("rows"))
+    gap = class_bins(probabilities, bins).groupBy("class").agg(F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))).alias("gap"))
+    return size.join(gap, "class", "left").agg(F.avg(F.coalesce("gap", F.lit(0.0)) / F.col("rows")).alias("ece"), F.count(F.lit(1)).alias("classes"))
+
+
+def review_rate(decisions: DataFrame) -> DataFrame:
+    """Share of decisions that are uncertain or want a person."""
+    return decisions.agg(F.coalesce(F.avg(((F.col("status") == "uncertain") | F.coalesce("needs_review", F.lit(False))).cast("double")), F.lit(0.0)).alias("abstention"))
+
+
+def false_criticals(results: DataFrame, truth: str, severities: str) -> DataFrame:
+    """Of healthy logs the share with a critical diagnosis, and how many there are of both."""
+    own = results.where(F.array_contains(truth, "healthy"))
+    bad = F.array_contains(severities, "critical")
+    return own.agg(F.count(F.lit(1)).alias("healthy"), F.count_if(bad).alias("critical"), F.coalesce(F.avg(bad.cast("double")), F.lit(0.0)).alias("rate"))
+
+
+def critical_audit(rows: DataFrame) -> DataFrame:
+    """False criticals over a reference set, in which logs that could not be read count as healthy and calm; rows: readable, critical."""
+    return rows.agg(F.count(F.lit(1)).alias("logs"), F.count_if(~F.col("readable")).alias("errors"), F.coalesce(F.avg((F.col("readable") & F.col("critical")).cast("double")), F.lit(0.0)).alias("rate"))
+
+
+def calibration_report(results: DataFrame, decisions: DataFrame, truth: str, predicted: str, severities: str, confidence: str, ece: float = 0.08, rate: float = 0.10) -> DataFrame:
+    """One row: samples, healthy, ece (of the first diagnosis), abstention, false criticals, and whether both targets are met."""
+    top = results.where(F.size(predicted) > 0)
+    error = calibration_error(reliability(top, F.col(confidence), F.array_contains(F.col(truth), F.try_element_at(F.col(predicted), F.lit(1))))).select(F.coalesce("ece", F.lit(0.0)).alias("ece"))
+    out = results.agg(F.count(F.lit(1)).alias("samples")).join(F.broadcast(error)).join(F.broadcast(review_rate(decisions))).join(F.broadcast(false_criticals(results, truth, severities).select("healthy", F.col("rate").alias("false_critical_rate"))))
+    return out.withColumn("ece_met", F.col("ece") <= ece).withColumn("rate_met", F.col("false_critical_rate") <= rate)
+
+
+def label_rates(metrics: DataFrame, run: str) -> DataFrame:
+    """Per run and label the share of all predictions (tp + fp), or of the support where a run predicts nothing."""
+    whole = metrics.groupBy(run).agg(F.sum(F.col("tp") + F.col("fp")).alias("_p"), F.sum("support").alias("_s"))
+    total = F.when(F.col("_p") > 0, F.col("_p")).otherwise(F.col("_s"))
+    return metrics.join(whole, run).where(total > 0).select(run, "label", ((F.col("tp") + F.col("fp")) / total).alias("rate"))
+
+
+def engine_scores(results: DataFrame, engine: str, truth: str, predicted: str, labels: DataFrame) -> DataFrame:
+    """Per engine: macro F1 over labels that occur or were predicted, any match, top 1, exact match. One job for all engines."""
+    t, p = F.array_contains(truth, F.col("label")), F.array_contains(predicted, F.col("label"))
+    rows = results.select(engine, truth, predicted).join(F.broadcast(labels))
+    counts = rows.groupBy(engine, "label").agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn")).where("tp + fp + fn > 0")
+    macro = counts.groupBy(engine).agg(F.avg(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("macro_f1"))
+    top = F.coalesce(F.array_contains(truth, F.try_element_at(F.col(predicted), F.lit(1))), F.lit(False))
+    shares = {"any_match": F.arrays_overlap(truth, predicted), "top1": top, "exact_match": F.array_sort(truth) == F.array_sort(predicted)}
+    return results.groupBy(engine).agg(*[F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(n) for n, c in shares.items()]).join(macro, engine, "left")
+
+
+def first_class(rows: DataFrame, flags: list[str], none: str = "healthy") -> DataFrame:
+    """rows with `class`, the first of the 0/1 columns that is set."""
+    return rows.withColumn("class", F.coalesce(*[F.when(F.col(c) == 1, c) for c in flags], F.lit(none)))
+
+
+def labels_over(probabilities: DataFrame, key: str, thresholds: DataFrame, shown: int = 3) -> DataFrame:
+    """Classifier labels that reach their own threshold (label, threshold; else 0.5), the `shown` surest of each log."""
+    own = probabilities.join(F.broadcast(thresholds), "label", "left").where(F.col("p") >= F.coalesce("threshold", F.lit(0.5)))
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("p"), "label"))).where(F.col("place") <= shown).select(key, "label", "p", "place")
+
+
+def batch_status(chosen: DataFrame, logs: DataFrame, key: str) -> DataFrame:
+    """HEALTHY, WARNING or CRITICAL of each log, by its first diagnosis (place, failure_type, confidence, severity)."""
+    first = chosen.where("place = 1").select(key, "failure_type", "confidence", "severity")
+    status = F.when(F.col("failure_type").isNull(), "HEALTHY").when(F.col("severity") == "critical", "CRITICAL").otherwise("WARNING")
+    return logs.select(key).join(first, key, "left").withColumn("status", status)
+
+
+def clusters(first: DataFrame, label: str, key: str, listed: int = 1000) -> DataFrame:
+    """Incidents by their first diagnosis: n, logs (sorted, the first `listed`), place by size.
+
+    A label's list is cut to `listed` names, as a report shows them; n counts all. There are as many rows as labels.
+    """
+    rows = first.withColumn("_at", F.row_number().over(Window.partitionBy(label, F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)))
+    out = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(F.when(F.col("_at") <= listed, F.col(key)))), 1, listed).alias("logs"))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), label)))

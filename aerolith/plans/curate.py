@@ -31,7 +31,8 @@ def priority_union(spark, sf_dir):
 
 
 def leak_check(spark, sf_dir):
-    return curation.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), "text", "text", "item_id").select("item_id", "sha256")
+    d = _t(spark, sf_dir, "documents")
+    return curation.leaks(d.where("source <> 'src0'"), d.where("source = 'src0'"), "text", "text", "doc_id").select("doc_id", "sha256")
 
 
 def unseen_holdout(spark, sf_dir):
@@ -139,11 +140,6 @@ def imputed(spark, sf_dir):
     return curation.median_imputed(e, ["value"]).agg(F.round(F.sum("value"), 4).alias("total"), F.count("value").alias("n"))
 
 
-def clusters(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer")
-    return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.min("c_name").alias("first"), F.sort_array(F.collect_set("c_nationkey"))[0].alias("least_nation"))
-
-
 def windows(spark, sf_dir):
     e = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = incremental.windowed(e, "ts", "event_type", "value", "2 days", "1 day")
@@ -168,7 +164,7 @@ _QUOTE = "replace(replace(replace(replace(replace(replace(regexp_replace(html, '
 QUERIES = {
     "dedup_by_hash": (dedup_by_hash, "WITH f AS (SELECT source || '/' || doc_id AS path, sha256(text) AS sha256 FROM documents) SELECT sha256, arg_min(path, (length(path), path)) AS canonical, count(*) AS copies FROM f GROUP BY sha256"),
     "priority_union": (priority_union, "WITH f AS (SELECT doc_id, sha256(text) AS sha256, CASE lang WHEN 'de' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS priority FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY priority, doc_id) AS n FROM f) SELECT doc_id, sha256, priority FROM k WHERE n = 1"),
-    "leak_check": (leak_check, "SELECT item_id, sha256(text) AS sha256 FROM benchmark WHERE text IN (SELECT text FROM documents)"),
+    "leak_check": (leak_check, "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE source = 'src0' AND text IN (SELECT text FROM documents WHERE source <> 'src0')"),
     "unseen_holdout": (unseen_holdout, "WITH f AS (SELECT doc_id, source, sha256(text) AS sha256 FROM documents) SELECT min(doc_id) AS doc_id, sha256 FROM f WHERE source IN ('src1', 'src2', 'src3') AND sha256 NOT IN (SELECT sha256 FROM f WHERE source = 'src0') GROUP BY sha256"),
     "copy_names": (copy_names, "WITH p AS (SELECT p_partkey, p_brand, sha256(p_type) AS sha FROM part), r AS (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY sha) AS n FROM p) SELECT p_partkey, CASE WHEN n = 1 THEN p_brand || '.bin' ELSE p_brand || '_' || left(sha, 8) || '.bin' END AS target FROM r"),
     "manifest_union": (manifests, "SELECT 'customers' AS manifest, c_mktsegment AS url, count(*) AS n, min(c_name) AS first_file FROM customer GROUP BY 2 UNION ALL SELECT 'suppliers', s_name, count(*), min(s_name) FROM supplier GROUP BY 2"),
@@ -187,6 +183,5 @@ QUERIES = {
     "similar_cases": (similar, "WITH p AS (SELECT a.vec_id, b.vec_id AS case_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, case_id)::INT AS rank FROM p WHERE cosine > 0.2) SELECT * FROM k WHERE rank <= 3"),
     "stratified_split": (split, "WITH p AS (SELECT lang, percent_rank() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR)) < 0.2 AS in_test FROM documents) SELECT lang, in_test, count(*) AS n FROM p GROUP BY ALL"),
     "median_imputed": (imputed, "WITH v AS (SELECT CASE WHEN event_type <> 'error' THEN value END AS v FROM events) SELECT round(sum(coalesce(v, (SELECT median(v) FROM v))), 4) AS total, count(*) AS n FROM v"),
-    "incident_clusters": (clusters, "SELECT c_mktsegment, count(*) AS n, min(c_name) AS first, min(c_nationkey) AS least_nation FROM customer GROUP BY 1"),
     "sliding_windows": (windows, "WITH w AS (SELECT event_type, value, epoch_us(date_trunc('day', ts)) - k * 86400000000 AS start_us FROM events, unnest([0, 1]) AS u(k)) SELECT start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL"),
 }

@@ -17,7 +17,7 @@ def _t(spark, sf_dir, name):
 def _onset_hits(spark, sf_dir):
     """Hits per log and kind of event with an onset: kinds stand for labels, found by a rule, the model or both."""
     label = F.expr("CASE failure_type WHEN 'click' THEN 'thrust_loss' WHEN 'view' THEN 'vibration_high' WHEN 'purchase' THEN 'ekf_failure' WHEN 'signup' THEN 'rc_failsafe' ELSE 'gps_quality_poor' END")
-    own = flight._candidates(spark, sf_dir).withColumn("confidence", F.round("confidence", 2)).withColumn("failure_type", label)
+    own = flight._candidates(spark, sf_dir).withColumn("confidence", F.least(F.lit(1.0), F.floor(F.col("confidence") * 100) / 100)).withColumn("failure_type", label)
     method = F.expr("CASE CAST(round(confidence * 100) AS INT) % 3 WHEN 0 THEN 'rule' WHEN 1 THEN 'ml' ELSE 'rule+ml' END")
     severity = F.when(F.col("confidence") > 0.6, "critical").when(F.col("confidence") > 0.3, "warning").otherwise("info")
     # of every third log no onset is known
@@ -112,8 +112,8 @@ def explained(spark, sf_dir):
     return out.select("log_id", F.to_json(F.struct("rule", "model", "hypotheses", "final", "reason")).alias("record"))
 
 
-_H = flight._CANDIDATES + """, h AS (SELECT log_id, CASE failure_type WHEN 'click' THEN 'thrust_loss' WHEN 'view' THEN 'vibration_high' WHEN 'purchase' THEN 'ekf_failure' WHEN 'signup' THEN 'rc_failsafe' ELSE 'gps_quality_poor' END AS failure_type, round(confidence, 2) AS confidence,
- CASE round(round(confidence, 2) * 100)::INT % 3 WHEN 0 THEN 'rule' WHEN 1 THEN 'ml' ELSE 'rule+ml' END AS method, CASE WHEN round(confidence, 2) > 0.6 THEN 'critical' WHEN round(confidence, 2) > 0.3 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN log_id % 3 = 0 THEN -1 ELSE onset END AS onset FROM c)"""
+_H = flight._CANDIDATES + """, h AS (SELECT log_id, CASE failure_type WHEN 'click' THEN 'thrust_loss' WHEN 'view' THEN 'vibration_high' WHEN 'purchase' THEN 'ekf_failure' WHEN 'signup' THEN 'rc_failsafe' ELSE 'gps_quality_poor' END AS failure_type, least(1.0, floor(confidence * 100) / 100)::DOUBLE AS confidence,
+ CASE round(least(1.0, floor(confidence * 100) / 100) * 100)::INT % 3 WHEN 0 THEN 'rule' WHEN 1 THEN 'ml' ELSE 'rule+ml' END AS method, CASE WHEN least(1.0, floor(confidence * 100) / 100) > 0.6 THEN 'critical' WHEN least(1.0, floor(confidence * 100) / 100) > 0.3 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN log_id % 3 = 0 THEN -1 ELSE onset END AS onset FROM c)"""
 _K = _H + """, k AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY confidence DESC, CASE method WHEN 'rule+ml' THEN 0 WHEN 'ml' THEN 1 ELSE 2 END, CASE failure_type WHEN 'thrust_loss' THEN 6 WHEN 'vibration_high' THEN 5 WHEN 'rc_failsafe' THEN 2 ELSE 4 END DESC, failure_type) AS rank FROM h)"""
 _SEL = _K + """, g AS (SELECT log_id, list({'o': onset, 'm': -confidence, 'l': failure_type} ORDER BY onset, -confidence, failure_type) AS c FROM h WHERE onset > 0 GROUP BY log_id),
 b AS (SELECT log_id, (list_reduce(c, lambda b, x: CASE WHEN (x.o - c[1].o <= 5e6 AND -x.m > -b.m) OR (x.o - c[1].o <= 3e7 AND -x.m >= 0.85 AND -x.m > -b.m + 0.15) THEN x ELSE b END)).l AS cause FROM g),

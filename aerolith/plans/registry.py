@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curate, detect, flight, hybrid, telemetry
+from . import curate, detect, flight, hybrid, imports, reports, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = flight.QUERIES | curate.QUERIES | telemetry.QUERIES | detect.QUERIES | hybrid.QUERIES
+_ALL = flight.QUERIES | curate.QUERIES | telemetry.QUERIES | detect.QUERIES | hybrid.QUERIES | imports.QUERIES | reports.QUERIES
 flagship = flight.flagship
 
 
