@@ -40,9 +40,23 @@ def upserted(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return held.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def stratified(df: DataFrame, key: Column, label: str, share: float) -> DataFrame:
-    """in_test for about `share` of each label, chosen by the hash of the key alone."""
-    return df.withColumn("in_test", F.percent_rank().over(Window.partitionBy(label).orderBy(key)) < share)
+def stratified(df: DataFrame, key: Column, label: str, share: float, prefix: int = 4) -> DataFrame:
+    """in_test for the rows of each label whose hash, a hex string, is among the least `share`, by percent rank.
+
+    Counts by the hash's first digits tell in which of 16**prefix cells the cut falls; only that cell's rows are ranked.
+    """
+    rows = df.withColumn("_k", key).withColumn("_cell", F.substring("_k", 1, prefix))
+    counts = rows.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    own = Window.partitionBy(label)
+    cells = counts.withColumn("_to", F.sum("_c").over(own.orderBy("_cell"))).withColumn("_n", F.sum("_c").over(own)).withColumn("_before", F.col("_to") - F.col("_c"))
+    # ranks from 0; the cut is at share * (n - 1)
+    cut = F.when(F.col("_n") > 1, share * (F.col("_n") - 1)).otherwise(F.lit(1.0))
+    cells = cells.select(F.col(label).alias("_l"), "_cell", "_before", cut.alias("_cut"), F.when(F.col("_to") - 1 < cut, True).when(F.col("_before") >= cut, False).alias("_sure"))
+    marked = rows.join(cells.withColumnRenamed("_cell", "_d"), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_cell") == F.col("_d")))
+    sure = marked.where("_sure is not null").withColumn("in_test", F.col("_sure"))
+    rank = F.rank().over(Window.partitionBy(label, "_cell").orderBy("_k")) - 1
+    open_ = marked.where("_sure is null").withColumn("in_test", F.col("_before") + rank < F.col("_cut"))
+    return sure.unionByName(open_).drop("_k", "_cell", "_l", "_d", "_before", "_cut", "_sure")
 
 
 def common_classes(df: DataFrame, label: str, least: int) -> DataFrame:
@@ -50,17 +64,31 @@ def common_classes(df: DataFrame, label: str, least: int) -> DataFrame:
     return df.join(counts.select(label), label, "left_semi")
 
 
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """The median of a column's values: approximate ranks tell between which values it is, only those are sorted."""
+    v = F.col(column).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
+    n, ends = rows.agg(F.count(F.lit(1)), F.percentile_approx("v", [0.499, 0.501], 10_000)).first()
+    if not n:
+        return None
+    low, high = ends
+    below, within = rows.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+    first, last = (n - 1) // 2, n // 2
+    if not (below <= first and last < below + within):
+        low, high, below = float("-inf"), float("inf"), 0
+    middle = rows.where(F.col("v").between(low, high)).orderBy("v").offset(first - below).limit(last - first + 1).collect()
+    return sum(r.v for r in middle) / len(middle)
+
+
 def median_imputed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls become the column's exact median."""
-    medians = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(medians))
-    for c in columns:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_m_{c}")))
-    return out.drop(*[f"_m_{c}" for c in columns])
+    """Nulls become the column's exact median; a column without values stays as it is."""
+    found = {c: exact_median(df, c) for c in columns}
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in found.items() if m is not None})
 
 
 def resolved_names(files: DataFrame, name: str, sha: str) -> DataFrame:
     """Target names without collisions: from the second content of a name on, stem_sha8.ext."""
-    rank = F.dense_rank().over(Window.partitionBy(name).orderBy(sha))
+    first = files.groupBy(name).agg(F.min(sha).alias("_first"))
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)?$", 1)
-    return files.withColumn("target", F.when(rank == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.substring(sha, 1, 8), ext)))
+    other = F.concat(stem, F.lit("_"), F.substring(sha, 1, 8), ext)
+    return files.join(first, name).withColumn("target", F.when(F.col(sha) == F.col("_first"), F.col(name)).otherwise(other)).drop("_first")
