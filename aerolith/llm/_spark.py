@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A key with over 1/HOT_SHARE of all rows is hot, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: Rows of two numbers that are broadcast at most.
+FEW = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,12 +107,22 @@ def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, tota
     return left.unionByName(right)
 
 
-def rows_left(docs: DataFrame, gone: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
-    """docs without the rows whose id and hash of the text gone has (_gone_id, _gone_hash); once: and each id and text once.
+def rows_left(docs: DataFrame, gone: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", twins: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose id and hash of the text gone has (_gone_id, _gone_hash); of each that twins has, too, one.
 
-    All columns of docs come back as they were, whatever their names.
+    All columns of docs come back as they were, whatever their names. Ids and hashes are broadcast up to
+    FEW of them, and joined by a shuffle beyond that.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(F.col(id_col).alias("_own_id"), F.xxhash64(text_col).alias("_own_hash"), row.alias("_row"))
-    left = keyed.join(gone.distinct(), F.col("_own_id").eqNullSafe(F.col("_gone_id")) & (F.col("_own_hash") == F.col("_gone_hash")), "left_anti")
-    return (left.dropDuplicates(["_own_id", "_own_hash"]) if once else left).select("_row.*")
+    same = F.col("_own_id").eqNullSafe(F.col("_gone_id")) & (F.col("_own_hash") == F.col("_gone_hash"))
+
+    def small(df: DataFrame) -> DataFrame:
+        df = checkpointed(df.distinct())
+        return F.broadcast(df) if df.count() <= FEW else df
+
+    left = keyed.join(small(gone), same, "left_anti")
+    if twins is not None:
+        twins = small(twins)
+        left = left.join(twins, same, "left_anti").unionByName(left.join(twins, same, "left_semi").dropDuplicates(["_own_id", "_own_hash"]))
+    return left.select("_row.*")

@@ -40,7 +40,7 @@ from ._spark import bucketed, checkpointed, forgotten, pieces, released, table,
 from ._words import NOT_SPACE, batches, by_text, words
 
 FOLDS, HELD_OUT = 5, 1
-CHUNK_BYTES, BUCKET_BYTES = 24 << 20, 24 << 20
+CHUNK_BYTES, BUCKET_BYTES = 14 << 20, 24 << 20
 SWEEPS, LOCAL, BURN, SAMPLES = 3, 3, 2, 4
 STRENGTH = 1.0
 #: Dishes that are followed one by one, and customers that draw together.
@@ -257,7 +257,9 @@ class Gathered:
         tokens = to[tokens >> 32] << 32 | tokens & 0xFFFFFFFF
         counts = np.concatenate(self.counts)
         out = np.array([held_out(x) for x in self.ids], bool)
+        self.pairs.clear()
         pairs, inverse = np.unique(tokens, return_inverse=True)
+        del tokens
         trained = np.bincount(inverse, np.repeat(~out, counts), len(pairs)).astype(np.int64)
         word, context, bucket = pairs >> 32, hashed[pairs & 0xFFFFFFFF], bucket[order]
         sizes = np.array([len(x) for x in forms], np.int64)[order]
@@ -286,10 +288,14 @@ def gathered(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
             for a, b in batches(texts):
                 held.add(ids[a:b], texts[a:b])
                 if held.size >= chunk_bytes:
-                    yield held.rows(first + done)
-                    done, held = done + 1, Gathered(n_buckets)
+                    found, done, held = held.rows(first + done), done + 1, Gathered(n_buckets)
+                    # one by one, so that no more than a row of a chunk is copied at once
+                    yield from (found.slice(i, 1) for i in range(found.num_rows))
+                    del found
         if held.ids:
-            yield held.rows(first + done)
+            found = held.rows(first + done)
+            yield from (found.slice(i, 1) for i in range(found.num_rows))
+            del found
         del held
         released()
 
