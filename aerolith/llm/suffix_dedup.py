@@ -32,7 +32,8 @@ from ._grams import Anchors, anchors, fingerprints, gram_length
 from ._spark import pieces, released, table, trimmed, utf8, without
 
 WINDOW = 50
-CHUNK_BYTES = 8 << 20
+#: Text of a chunk, and of what a key range gets suffixes of, on average.
+CHUNK_BYTES, RANGE_BYTES = 5 << 20, 12 << 20
 _LAST = np.iinfo(np.int64).max
 #: Suffixes are ordered by the fingerprint of their first gram, big-endian, then by their bytes:
 #: so ranges of equal width hold equally many of them, whatever the language.
@@ -273,14 +274,15 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return cut[character]
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, characters: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES, characters: bool = False) -> DataFrame:
     """docs without text_col, and n_bytes, n_removed, n_spans (long), kept (binary: the bytes that stay).
 
+    range_bytes: text whose suffixes a key range gets on average; runs are cut by ranges, not by chunks.
     characters: kept leaves out the rest of a character that removal cuts in two; the counts don't
     change. Columns of docs that have one of these names are left out.
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)) + 64)).first()[0]
-    n = pieces(total, chunk_bytes)
+    n, ranges = pieces(total, chunk_bytes), pieces(total, range_bytes)
     rest = without(docs, text_col, "n_bytes", "n_removed", "n_spans", "kept", "_chunk", "_text", "_id")
     others = rest.columns
     base = docs.select(*[F.col(f"`{c}`") for c in others], F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("_chunk"))
@@ -291,7 +293,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     def keys_of(t: pa.Table) -> pa.Table:
         chunk = Chunk(t["_text"], _ids(t["_id"]), window)
         unique = np.unique(chunk.keys)
-        cut = list(_cuts(unique, n))
+        cut = list(_cuts(unique, ranges))
         return pa.table({"range": pa.array([x[0] for x in cut], pa.int32()), "_chunk": pa.array([t["_chunk"][0].as_py()] * len(cut), pa.int32()), "keys": pa.array([unique[a:b].tobytes() for _, a, b in cut], pa.binary())})
 
     @trimmed
@@ -330,8 +332,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         rows: list[tuple[int, int, int, bytes]] = []
         if t.num_rows and m.num_rows:
             chunk = Chunk(t["_text"], _ids(t["_id"]), window)
-            run, _, _ = run_of(chunk, _shared(chunk, m, n))
-            rows = [(r, t["_chunk"][0].as_py(), a, pack_run(run.take(np.arange(a, b)))) for r, a, b in _cuts(run.keys, n)]
+            run, _, _ = run_of(chunk, _shared(chunk, m, ranges))
+            rows = [(r, t["_chunk"][0].as_py(), a, pack_run(run.take(np.arange(a, b)))) for r, a, b in _cuts(run.keys, ranges)]
         cols = list(zip(*rows)) or [[], [], [], []]
         return pa.table({"range": pa.array(cols[0], pa.int32()), "_chunk": pa.array(cols[1], pa.int32()), "first": pa.array(cols[2], pa.int64()), "run": pa.array(cols[3], pa.binary())})
 
@@ -361,7 +363,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     def removed(t: pa.Table, told: pa.Table) -> pa.Table:
         chunk = Chunk(t["_text"], _ids(t["_id"]), window)
         kinds = np.asarray(told["range"].to_numpy(), np.int64) if told.num_rows else np.zeros(0, np.int64)
-        shared = _shared(chunk, told.filter(pa.array(kinds >= 0)), n) if told.num_rows else np.zeros(len(chunk.keys), bool)
+        shared = _shared(chunk, told.filter(pa.array(kinds >= 0)), ranges) if told.num_rows else np.zeros(len(chunk.keys), bool)
         masks = np.zeros(len(chunk.keys), np.uint64)
         if shared.any():
             run, at, entry = run_of(chunk, shared)

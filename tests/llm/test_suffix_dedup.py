@@ -45,13 +45,13 @@ def run(spark, rows, **how):
 
 def test_against_brute_force_in_many_chunks(spark):
     rows = texts()
-    assert run(spark, rows, chunk_bytes=1500) == brute(rows)
+    assert run(spark, rows, chunk_bytes=1500, range_bytes=1500) == brute(rows)
 
 
 def test_against_brute_force_in_one_chunk_and_other_window(spark):
     rows = texts(8)
     assert run(spark, rows) == brute(rows)
-    assert run(spark, rows, window=21, chunk_bytes=4000) == brute(rows, 21)
+    assert run(spark, rows, window=21, chunk_bytes=4000, range_bytes=4000) == brute(rows, 21)
 
 
 def test_every_window_has_one_anchor():
