@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from ._spark import bucketed, checkpointed, forgotten, pieces, released, table,
 from ._words import NOT_SPACE, batches, by_text, words
 
 FOLDS, HELD_OUT = 5, 1
-CHUNK_BYTES, BUCKET_BYTES = 14 << 20, 24 << 20
+CHUNK_BYTES, BUCKET_BYTES = 14 << 20, 18 << 20
 SWEEPS, LOCAL, BURN, SAMPLES = 3, 3, 2, 4
 STRENGTH = 1.0
 #: Dishes that are followed one by one, and customers that draw together.
@@ -179,8 +180,6 @@ class Bucket:
 
     def __init__(self, text, lengths, contexts, word, context, count):
         self.text, self.lengths, self.contexts, self.word, self.context, self.count = text, lengths, contexts, word, context, count
-        self.cells, self.begins = spelled(text, lengths.astype(np.int64))
-        self.different = None
 
     @staticmethod
     def of(packed: bytes) -> Bucket:
@@ -191,9 +190,15 @@ class Bucket:
     def packed(self) -> bytes:
         return packed_pairs(self.text, self.lengths, self.contexts, self.word, self.context, self.count)
 
+    @cached_property
+    def begins(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.lengths + 1)))
+
+    @cached_property
+    def different(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(spelled(self.text, self.lengths.astype(np.int64))[0], return_inverse=True)
+
     def different_cells(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.different is None:
-            self.different = np.unique(self.cells, return_inverse=True)
         return self.different
 
     def base(self, s: State) -> np.ndarray:
