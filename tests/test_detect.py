@@ -52,7 +52,7 @@ def test_gps_loss(spark):
 
 def test_vehicles_leave_rules_out(spark):
     rows = spark.createDataFrame([("a", "Rover", 90.0), ("b", "Copter", 90.0), ("c", None, 90.0)], "log string, kind string, vibe_x_max double")
-    rows = rows.select("*", *[F.lit(0.0).alias(c) for c in ("vibe_y_max", "vibe_z_max", "vibe_clip", "gps_hdop", "gps_nsats", "gps_fix", "gps_lost", "volt_range", "volt_min", "vcc_min", "volt_margin", "volt_sag")])
+    rows = rows.select("*", *[F.lit(0.0).alias(c) for c in ("vibe_y_max", "vibe_z_max", "vibe_clip", "gps_hdop", "gps_nsats", "gps_nsats_min", "gps_fix", "gps_lost", "volt_range", "volt_min", "vcc_min", "volt_margin", "volt_sag", "volt_std", "curr_max")])
     assert {r["log"] for r in diagnosis.rule_hits(rows, "log", vehicle="kind").collect()} == {"b", "c"}
 
 
