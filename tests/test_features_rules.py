@@ -45,7 +45,7 @@ def _fired(spark, **given):
         ({"mag_range": 900.0, "saturated": 0.05, "all_high": 0.25}, {"thrust_loss": (0.4, "warning")}),
         ({"ekf_vel_max": 1.6, "ekf_pos_max": 1.7}, {"ekf_failure": (0.9, "critical")}),
         ({"ekf_vel_max": 1.6}, {}),
-        ({"ekf_switches": 1.0}, {"ekf_failure": (0.2, "info")}),
+        ({"ekf_switches": 1.0}, {"ekf_failure": (0.2, "warning")}),
         ({"internal_error": 1.0}, {"mechanical_failure": (0.7, "warning")}),
         ({"long_loops": 200.0, "load_mean": 50.0}, {}),
         ({"radio_failsafe": 1.0, "rc_lost": 1.0}, {"rc_failsafe": (1.0, "critical")}),
