@@ -69,6 +69,17 @@ def unpack(packed: bytes, *types) -> list[np.ndarray]:
     return [np.ascontiguousarray(np.frombuffer(raw[e - s : e], np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for s, e, t in zip(sizes.tolist(), ends.tolist(), types)]
 
 
+def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and for each key its place among them; keys are sorted where they lie."""
+    order = np.argsort(keys)
+    keys[:] = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], at
+
+
 # ---------------------------------------------------------------- seating
 
 
@@ -227,13 +238,18 @@ class Bucket:
 # ---------------------------------------------------------------- chunks
 
 
+def pairs_of(tokens: np.ndarray) -> np.ndarray:
+    """Of each token of a chunk the token with its context; all texts end with their end, so that the last token is one."""
+    return tokens.astype(np.int64) << 32 | np.roll(tokens, 1)
+
+
 class Gathered:
-    """The documents of one chunk: tokens as pairs, pairs by bucket."""
+    """The documents of one chunk: tokens by rank, since frequent ones then take few bytes; pairs by bucket."""
 
     def __init__(self, n_buckets: int):
         self.n_buckets, self.size = n_buckets, 0
         self.forms: dict[bytes, int] = {b"": 0}
-        self.ids, self.counts, self.pairs = [], [], []
+        self.ids, self.counts, self.tokens = [], [], []
 
     def add(self, ids: list, texts: list[bytes]) -> None:
         w = words(texts, NOT_SPACE, lower=True)
@@ -243,10 +259,9 @@ class Gathered:
         # form 0 is the end of a text, and as a context its start
         token = np.zeros(len(w.codes) + len(texts), np.int64)
         token[place] = own[w.codes] if len(w.codes) else 0
-        last = np.concatenate(([0], token[:-1]))
         self.ids += ids
         self.counts.append(n + 1)
-        self.pairs.append(token << 32 | last)
+        self.tokens.append(token.astype(np.uint32))
         self.size += len(w.data) + 16 * len(texts)
 
     def rows(self, chunk: int) -> pa.RecordBatch:
@@ -256,19 +271,22 @@ class Gathered:
         hashed = np.fromiter(map(xxhash.xxh64_intdigest, forms), np.uint64, len(forms))
         bucket = (hashed % np.uint64(self.n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        to = np.empty(len(forms), np.int64)
+        to = np.empty(len(forms), np.uint32)
         to[order] = np.arange(len(forms))
-        tokens = np.concatenate(self.pairs)
-        tokens = to[tokens >> 32] << 32 | tokens & 0xFFFFFFFF
+        tokens = to[np.concatenate(self.tokens)]
         counts = np.concatenate(self.counts)
         out = np.array([held_out(x) for x in self.ids], bool)
-        self.pairs.clear()
-        pairs, inverse = np.unique(tokens, return_inverse=True)
+        self.tokens.clear()
+        often = np.argsort(-np.bincount(tokens, minlength=len(forms)), kind="stable").astype(np.uint32)
+        rank = np.empty(len(forms), np.uint32)
+        rank[often] = np.arange(len(forms))
+        rows = [(chunk, -1, pack(counts.astype(np.int64), out, often, rank[tokens]), self.ids)]
+        pairs, at = places(pairs_of(tokens))
         del tokens
-        trained = np.bincount(inverse, np.repeat(~out, counts), len(pairs)).astype(np.int64)
-        word, context, bucket = pairs >> 32, hashed[pairs & 0xFFFFFFFF], bucket[order]
+        trained = np.bincount(at, np.repeat(~out, counts), len(pairs)).astype(np.int64)
+        del at
+        word, context, bucket = pairs >> 32, hashed[order[pairs & 0xFFFFFFFF]], bucket[order]
         sizes = np.array([len(x) for x in forms], np.int64)[order]
-        rows = [(chunk, -1, pack(counts.astype(np.int64), out, inverse.astype(np.uint32)), self.ids)]
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
             i, j = np.searchsorted(word, [a, z])
@@ -308,22 +326,31 @@ def gathered(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
     return rows.withColumn("key", F.when(F.col("bucket") < 0, F.col("chunk")).otherwise(F.col("bucket").cast("long")))
 
 
-def joined(parts: list[Bucket]) -> tuple[Bucket, list[np.ndarray], list[np.ndarray]]:
+def joined(packed: list[bytes]) -> tuple[Bucket, list[np.ndarray], list[np.ndarray]]:
     """All parts of a bucket as one; for each part its words and its pairs in the whole."""
     forms: dict[bytes, int] = {}
-    contexts, at = np.unique(np.concatenate([p.contexts for p in parts]), return_inverse=True)
-    of_words, keys, begin = [], [], 0
-    for p in parts:
+    contexts, of_words, of_pairs, counts, begin = [], [], [], [], 0
+    for x in packed:
+        p = Bucket.of(x)
         ends = np.cumsum(p.lengths).tolist()
         raw = p.text.tobytes()
-        own = np.array([forms.setdefault(raw[a:z], len(forms)) for a, z in zip([0, *ends], ends)], np.int64)
+        own = np.array([forms.setdefault(raw[a:z], len(forms)) for a, z in zip([0, *ends], ends)], np.int32)
         of_words.append(own)
-        keys.append(own[p.word] << 32 | at[begin + p.context])
+        of_pairs.append((own[p.word], (begin + p.context).astype(np.int32)))
+        counts.append(p.count.astype(np.uint32))
+        contexts.append(p.contexts)
         begin += len(p.contexts)
-    pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(inverse, np.concatenate([p.count for p in parts]), len(pairs)).astype(np.int64)
+    contexts, at = places(np.concatenate(contexts))
+    bounds = np.cumsum([0, *(len(x) for x in counts)])
+    keys = np.empty(bounds[-1], np.int64)
+    for i, (word, context) in enumerate(of_pairs):
+        keys[bounds[i] : bounds[i + 1]] = word.astype(np.int64) << 32 | at[context]
+    of_pairs.clear()
+    pairs, inverse = places(keys)
+    del keys, at
+    count = np.bincount(inverse, np.concatenate(counts), len(pairs)).astype(np.int64)
     whole = Bucket(np.frombuffer(b"".join(forms), np.uint8), np.array([len(x) for x in forms], np.int64), contexts, pairs >> 32, pairs & 0xFFFFFFFF, count)
-    return whole, of_words, np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+    return whole, of_words, np.split(inverse, bounds[1:-1])
 
 
 def _sums(rows: DataFrame) -> dict[str, dict[int, int]]:
@@ -443,22 +470,21 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     asked = rows.where("bucket >= 0").select("key", "bucket", "chunk", "packed")
 
     def merge(t: pa.Table) -> pa.Table:
-        b, _, _ = joined([Bucket.of(x) for x in t["packed"].to_pylist()])
+        b, _, _ = joined(t["packed"].to_pylist())
         return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "packed": pa.array([b.packed()], pa.binary())})
 
     buckets = bucketed(asked.groupBy("key").applyInArrow(trimmed(merge), "bucket int, packed binary"), "bucket", n_buckets, "pitman_yor_buckets")
     state, totals, n, v = fitted(buckets, n_buckets, seed)
 
     def answer(t: pa.Table, around: pa.Table) -> pa.Table:
-        parts = [Bucket.of(x) for x in t["packed"].to_pylist()]
-        b, of_words, of_pairs = joined(parts)
+        b, of_words, of_pairs = joined(t["packed"].to_pylist())
         mean = np.zeros(len(b.count))
         for i, (_, _, p) in enumerate(b.sweeps(state, *_totals_of(around), BURN + SAMPLES, np.random.default_rng([seed, t["bucket"][0].as_py()]))):
             if i >= BURN:
                 mean += p / SAMPLES
         logs = np.log10(np.maximum(mean, 1e-300)).astype(np.float32)
         counts = np.bincount(b.word, b.count, len(b.lengths)).astype(np.int64)
-        packed = [pack(logs[q], counts[w][p.word]) for p, w, q in zip(parts, of_words, of_pairs)]
+        packed = [pack(logs[q], counts[w]) for w, q in zip(of_words, of_pairs)]
         return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "packed": pa.array(packed, pa.binary())})
 
     def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
@@ -468,10 +494,12 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
         base = np.log10((known + 0.5) / (n + 0.5 * (v + 1)))
         out: list[list] = [[] for _ in range(7)]
         for packed, ids in zip(t["packed"].to_pylist(), t["ids"].to_pylist()):
-            counts, away, pair = unpack(packed, np.int64, bool, np.uint32)
+            counts, away, often, token = unpack(packed, np.int64, bool, np.uint32, np.uint32)
+            token = often[token]
+            _, pair = places(pairs_of(token))
             bounds = np.concatenate(([0], np.cumsum(counts)))
             add = lambda x: np.add.reduceat(x, bounds[:-1])
-            columns = (ids, away.tolist(), counts.tolist(), by_text(known[pair] > 0, bounds).tolist(), [n] * len(ids), add(base[pair]).tolist(), add(logs[pair].astype(np.float64)).tolist())
+            columns = (ids, away.tolist(), counts.tolist(), by_text(known[token] > 0, bounds).tolist(), [n] * len(ids), add(base[token]).tolist(), add(logs[pair].astype(np.float64)).tolist())
             for o, c in zip(out, columns):
                 o += c
         return pa.table([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
@@ -480,7 +508,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     replies = asked.groupBy("key").cogroup(totals.withColumn("key", F.col("bucket").cast("long")).groupBy("key")).applyInArrow(trimmed(answer), "chunk long, bucket int, packed binary")
     schema = T.StructType([T.StructField(c, k) for c, k in zip(names, (T.LongType(), T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()))])
-    return rows.where("bucket < 0").select("key", "packed", "ids").groupBy("key").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
+    return rows.where("bucket < 0").select("key", "packed", "ids").groupBy("key").cogroup(replies.groupBy("chunk")).applyInArrow(trimmed(finish), schema)
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
