@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ans, balance, decontaminate, html_text, packing, pitman_yor, quality_rules, simhash, suffix_dedup, warc
+from . import ans, balance, codes, decontaminate, html_text, packing, pitman_yor, quality_rules, simhash, suffix_dedup, toxicity, warc, whitening
 
-_MODULES = [suffix_dedup, quality_rules, simhash, packing, ans, decontaminate, balance, warc, pitman_yor, html_text]
+_MODULES = [suffix_dedup, quality_rules, simhash, packing, ans, decontaminate, balance, warc, pitman_yor, html_text, toxicity, codes, whitening]
 
 
 def queries() -> dict:
