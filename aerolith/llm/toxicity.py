@@ -14,8 +14,9 @@ most of the gain is lost. Words so found often enough are the next dictionary, t
 nearest to its end. That is repeated ROUNDS times. The toxic dictionary is these words before the
 ordinary dictionary's content, so both see the same ordinary prose, and ordinary windows gain nothing.
 
-The fit reads at most DOCS labelled documents of each class and fold and WINDOWS windows of each
-(smallest hashes first), whatever the size of the table; all documents are scored by whole texts.
+The fit reads at most DOCS labelled documents of each class and fold (smallest hashes first), whatever
+the size of the table, and at most WINDOWS windows at once reach the trainer; all documents are scored by
+whole texts.
 Labels, lang, source and id are never inputs of a score.
 
 Edge cases: a null or empty text has no windows and gets the score of a text without gains; repeated
@@ -40,10 +41,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ._spark import released, table, utf8
+from ._spark import checkpointed, released, table, utf8
 
-#: Documents of a class and fold that the fit reads at most, and windows of them.
-DOCS, WINDOWS = 6_000, 150_000
+#: Documents of a class and fold that the fit reads at most, and windows that the trainer gets at once.
+DOCS, WINDOWS = 4_000, 60_000
 #: Bytes of a window when scored and when learned from, most of each dictionary's content.
 WINDOW, LEARNED, ORDINARY, TOXIC = 48, 40, 96 << 10, 16 << 10
 #: Share of toxic windows that start a dictionary; bytes that a window has to gain; rounds; how often
@@ -124,8 +125,8 @@ def _trained(samples: list[bytes], size: int, **how) -> bytes:
     return b"".join(samples)[-size:]
 
 
-def _narrowed(parts: list[bytes], ordinary: bytes, toxic: bytes) -> bytes:
-    """The words that make windows gain, as far as found TIMES times, the most frequent last."""
+def narrowed(parts: list[bytes], ordinary: bytes, toxic: bytes) -> Counter[bytes]:
+    """The words that make windows gain, and how often."""
     words: Counter[bytes] = Counter()
     for part, gain in zip(parts, gains(parts, ordinary, toxic)):
         own = part[1:].split(b" ")
@@ -135,22 +136,12 @@ def _narrowed(parts: list[bytes], ordinary: bytes, toxic: bytes) -> bytes:
         least = min(range(len(own)), key=left.__getitem__)
         if gain - left[least] >= GAIN - 1:
             words[b" " + own[least]] += 1
-    return b"".join(w for n, w in sorted((n, w) for w, n in words.items()) if n >= TIMES)[-TOXIC:]
+    return words
 
 
-def dictionaries(ordinary: list[bytes], toxic: tuple[list[bytes], list[bytes]]) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and the toxic dictionary, from windows of ordinary text and of two folds of toxic text."""
-    base = _trained(ordinary, ORDINARY)
-    plain, heads = compressor(base), []
-    for parts in toxic:
-        cost = np.array([len(plain.compress(x)) / (len(x) + 8) for x in parts])
-        hard = [x for x, c in zip(parts, cost) if c >= np.quantile(cost, 1 - HARD)]
-        heads.append(_trained(hard, TOXIC // 2, k=16, d=6))
-    for _ in range(ROUNDS):
-        heads = [_narrowed(parts, base, other) for parts, other in zip(toxic, heads[::-1])]
-    # what both folds found comes last; words of one are kept before it
-    words = Counter(w for head in heads for w in head.split(b" ") if w)
-    return base, b"".join(b" " + w for n, w in sorted((n, w) for w, n in words.items()))[-TOXIC:]
+def head(words: dict[bytes, int]) -> bytes:
+    """The content of a toxic dictionary: the words, the most frequent last."""
+    return b"".join(w for _, w in sorted((n, w) for w, n in words.items()))[-TOXIC:]
 
 
 def calibrated(rows: np.ndarray, toxic: np.ndarray) -> tuple[list[float], list[float], list[float]]:
@@ -204,6 +195,42 @@ def _measured(docs: DataFrame, names: list[str], ordinary: bytes, toxic: bytes)
     return docs.mapInArrow(run, schema)
 
 
+def toxic_dictionary(parts: DataFrame, ordinary: bytes) -> bytes:
+    """The content of the toxic dictionary, from windows (fold 0 or 1, part as bytes) of toxic texts: tasks find the words."""
+
+    def costly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cost = [len(compressor(ordinary).compress(x)) / (len(x) + 8) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cost, pa.float64())], ["fold", "part", "cost"])
+
+    def found(heads: list[bytes]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fold, every = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                for k in (0, 1):
+                    # each fold is searched with what the other one found
+                    words = narrowed([x for x, f in zip(every, fold) if f == k], ordinary, heads[1 - k])
+                    yield pa.RecordBatch.from_pydict({"fold": pa.array([k] * len(words), pa.int32()), "word": pa.array(list(words), pa.binary()), "n": pa.array(list(words.values()), pa.int64())})
+
+        return run
+
+    costs = checkpointed(parts.mapInArrow(costly, "fold int, part binary, cost double"))
+    heads = []
+    for k in (0, 1):
+        own = costs.where(F.col("fold") == k)
+        bound = own.agg(F.percentile_approx("cost", 1 - HARD)).first()[0]
+        hard = own.where(F.col("cost") >= bound).orderBy(F.xxhash64("part"), "part").limit(WINDOWS).select("part").toArrow() if bound is not None else None
+        heads.append(_trained(hard["part"].to_pylist(), TOXIC // 2, k=16, d=6) if hard is not None else b"")
+    words: Counter[bytes] = Counter()
+    for _ in range(ROUNDS):
+        # of a bounded sample, so are the words
+        rows = parts.mapInArrow(found(heads), "fold int, word binary, n long").groupBy("fold", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= TIMES).collect()
+        own = [{bytes(r.word): r.n for r in rows if r.fold == k} for k in (0, 1)]
+        heads = [head(w) for w in own]
+        words = Counter(own[0]) + Counter(own[1])
+    return head(words)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model of the labelled rows of docs; labels: id, 0 or 1. What reaches the driver is bounded by DOCS and WINDOWS."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("toxic"))
@@ -215,12 +242,11 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
             chosen = own if chosen is None else chosen.unionByName(own)
     # at most 5 * DOCS rows
     texts = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("toxic", "fold", utf8(text_col).alias("text"))
-    parts: dict[tuple[int, int], list[bytes]] = {}
-    every = _cut(texts.where("fold < 2 and not (fold = 1 and toxic = 0)"))
-    for kind, fold in ((0, 0), (1, 0), (1, 1)):
-        rows = every.where((F.col("toxic") == kind) & (F.col("fold") == fold)).orderBy("place", "part").limit(WINDOWS).select("part")
-        parts[kind, fold] = rows.toArrow()["part"].to_pylist()
-    ordinary, toxic = dictionaries(parts[0, 0], (parts[1, 0], parts[1, 1])) if all(parts.values()) else (b"".join(parts[0, 0])[-ORDINARY:], b"")
+    every = checkpointed(_cut(texts.where("fold < 2 and not (fold = 1 and toxic = 0)")))
+    plain = every.where("toxic = 0").orderBy("place", "part").limit(WINDOWS).select("part").toArrow()["part"].to_pylist()
+    bad = every.where("toxic = 1").select("fold", "part")
+    ordinary = _trained(plain, ORDINARY)
+    toxic = toxic_dictionary(bad, ordinary) if plain else b""
     seen = _measured(texts.where("fold = 2").select("toxic", "text"), ["toxic"], ordinary, toxic).toArrow()
     rows = np.array(seen["features"].to_pylist(), float).reshape(-1, _FEATURES)
     return Model(ordinary, toxic, *calibrated(rows, seen["toxic"].to_numpy().astype(float)))
