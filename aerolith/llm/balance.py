@@ -5,7 +5,9 @@ partial partitions; the two of the widest spread are combined in opposite order,
 one with the emptiest of the other, until one partition is left. That is done in two levels. Groups
 are dealt by hash to buckets, and each bucket differences its groups into bundles of three grades of
 size; then the bundles of all buckets, and the groups too large for a bundle, are differenced into
-the shards. How many bundles and large groups there are is bounded by parameters, not by the data.
+the shards. Where there are more than MOST_BUCKETS buckets, their bundles are in turn dealt to buckets and
+bundled, as often as it takes, so how many bundles and large groups come together is bounded by parameters,
+not by the data.
 
 Edge cases: a null text has no bytes and crc 0, and null texts are one group; with fewer groups than
 shards some shards stay empty; repeated rows each have a slot; a third of all rows in one group make
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from ._spark import checkpointed, join_hot, pieces, table, utf8
 
 SHARDS, OVERHEAD = 40, 16
-#: Groups of a bucket on average; most buckets; bundles of each grade, all buckets together; a group
+#: Groups of a bucket on average; most buckets whose bundles are differenced together; bundles of each grade, all buckets together; a group
 #: of over 1/LARGE of all bytes is no part of a bundle.
 BUCKET_GROUPS, MOST_BUCKETS, BUNDLES, LARGE = 4_000, 4096, 8192, 16_384
 #: Of each 64 groups, those that go to bundles of the second and of the third grade.
@@ -62,12 +64,12 @@ def differenced(sizes: list[int], k: int) -> list[int]:
 
 
 def shards_of_groups(groups: DataFrame, k: int) -> DataFrame:
-    """key, shard of each group; groups: key, bytes. One row per bundle and per large group comes to the driver."""
+    """key, shard of each group; groups: key, bytes. One row per bundle and per large group of the last level comes to the driver."""
     n, whole = groups.agg(F.count(F.lit(1)), F.sum("bytes")).first()
     if not n:
         return groups.select("key", F.lit(0).alias("shard"))
     large = F.col("bytes") > int(whole) // LARGE
-    buckets = min(MOST_BUCKETS, pieces(n, BUCKET_GROUPS))
+    buckets = pieces(n, BUCKET_GROUPS)
     per_grade = max(2, BUNDLES // buckets)
 
     def bundle(t: pa.Table) -> pa.Table:
@@ -84,6 +86,13 @@ def shards_of_groups(groups: DataFrame, k: int) -> DataFrame:
 
     small = groups.where(~large).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("long"))
     bundled = checkpointed(small.groupBy("bucket").applyInArrow(bundle, "key string, bytes long, bundle long"))
+    if buckets > MOST_BUCKETS:
+        # too many bundles to come together: each is a group of the next level, beside the large groups
+        above = bundled.groupBy("bundle").agg(F.sum("bytes").alias("bytes")).select(F.concat(F.lit("b"), F.col("bundle").cast("string")).alias("key"), "bytes")
+        above = checkpointed(above.unionByName(groups.where(large).select(F.concat(F.lit("g"), F.col("key")).alias("key"), "bytes")))
+        placed = checkpointed(shards_of_groups(above, k)).select(F.substring("key", 1, 1).alias("kind"), F.expr("substring(key, 2)").alias("key"), "shard")
+        of_bundle = placed.where("kind = 'b'").select(F.col("key").cast("long").alias("bundle"), "shard")
+        return bundled.join(of_bundle, "bundle").select("key", "shard").unionByName(placed.where("kind = 'g'").select("key", "shard"))
     sums = [(r.bundle, None, r.bytes) for r in bundled.groupBy("bundle").agg(F.sum("bytes").alias("bytes")).orderBy("bundle").collect()]
     alone = [(None, r.key, r.bytes) for r in groups.where(large).select("key", "bytes").orderBy("key").collect()]
     every = sums + alone

@@ -147,3 +147,20 @@ def test_scores_count_and_improve_on_the_base(spark, sf_dir):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (away[d], len(ws), sum(c[w] > 0 for w in ws), n)
         assert abs(r.base_score - base) < 1e-6 * abs(base) and r.score < 0
     assert sum(out[d].score for d in out if away[d]) > sum(out[d].base_score for d in out if away[d])
+
+
+def test_more_buckets_than_come_together_are_bundled_again(spark, monkeypatch):
+    import random
+
+    from aerolith.llm import balance
+
+    monkeypatch.setattr(balance, "BUCKET_GROUPS", 40)
+    monkeypatch.setattr(balance, "MOST_BUCKETS", 3)
+    monkeypatch.setattr(balance, "BUNDLES", 12)
+    monkeypatch.setattr(balance, "LARGE", 40)
+    pick = random.Random(7)
+    sizes = {f"k{i}": pick.randint(1, 900) for i in range(3000)} | {"large": 200_000, "b7": 150_000}
+    got = {r.key: r.shard for r in balance.shards_of_groups(spark.createDataFrame(list(sizes.items()), "key string, bytes long"), 5).collect()}
+    assert set(got) == set(sizes)
+    sums = [sum(v for k, v in sizes.items() if got[k] == s) for s in range(5)]
+    assert max(sums) - min(sums) < 0.04 * sum(sums) / 5
