@@ -6,7 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Thresholds of the rules.
-THRESHOLDS = {"vibe_warn": 30.0, "vibe_fail": 60.0, "clip_many": 100.0, "hdop": 2.0, "nsats": 6.0, "fix": 0.95, "volt_range": 2.0, "volt_min": 10.0, "vcc": 4.5, "margin": 0.5, "sag_warn": 0.05, "sag_fail": 0.08}
+THRESHOLDS = {"vibe_warn": 30.0, "vibe_fail": 60.0, "clip_many": 100.0, "hdop": 2.0, "nsats": 6.0, "fix": 0.95, "volt_range": 2.0, "volt_min": 10.0, "vcc": 4.5, "margin": 0.5, "sag_warn": 0.05, "sag_fail": 0.08, "mag_range": 600.0, "mag_std": 50.0, "spread": 400.0, "spread_mean": 200.0, "ekf_fail": 1.5, "long_loops": 50.0, "load": 80.0}
+
+
+# Names of thresholds in a table of them, and the name here.
+PUBLIC = {"vibe_max_warn": "vibe_warn", "vibe_max_fail": "vibe_fail", "gps_hdop_limit": "hdop", "gps_nsats_min": "nsats", "bat_volt_range_limit": "volt_range", "volt_min_absolute": "volt_min", "powr_vcc_min": "vcc", "mag_range_limit": "mag_range", "mag_std_limit": "mag_std", "motor_spread_limit": "spread", "spread_mean_limit": "spread_mean", "ekf_variance_fail": "ekf_fail", "long_loops_limit": "long_loops", "cpu_load_limit": "load"}
+
+
+def with_public(given: dict[str, float]) -> dict[str, float]:
+    """THRESHOLDS, replaced by those given under their public names; other names are ignored."""
+    return THRESHOLDS | {PUBLIC[n]: v for n, v in given.items() if n in PUBLIC}
 
 
 def _rule(label: str, gate: Column, parts: list[tuple[Column, float]], critical: float, floor: float = 0.0) -> Column:
@@ -53,15 +62,18 @@ ROUTES = {"rover": ["compass", "power_instability", "gps_quality_poor", "ekf", "
 SUBSYSTEMS = {"vibration_high": "Vibration/Mounts", "compass_interference": "Magnetics/EMI", "power_instability": "Power/Battery", "brownout": "Power/Battery", "gps_quality_poor": "GPS/Antenna", "motor_imbalance": "Propulsion/Motors", "thrust_loss": "Propulsion/Thrust", "pid_tuning_issue": "Control/PID", "mechanical_failure": "Hardware/Frame", "ekf_failure": "Navigation/EKF", "rc_failsafe": "Radio/Receiver"}
 
 
-def rule_hits(features: DataFrame, key: str, rules: dict | None = None, vehicle: str | None = None) -> DataFrame:
-    """One row per log and rule that fires; nulls in features count as 0. vehicle names a column of kinds by which rules are left out."""
+def rule_array(rules: dict | None = None, vehicle: str | None = None) -> Column:
+    """The rules that fire, as an array of structs. vehicle names a column of kinds by which rules are left out."""
     def routed(name: str, hit: Column) -> Column:
         without = [kind for kind, names in ROUTES.items() if name not in names]
         return hit if vehicle is None or not without else F.when(~F.coalesce(F.lower(vehicle), F.lit("")).isin(without), hit)
 
-    own = [routed(name, rule()) for name, rule in (rules or RULES).items()]
-    rows = features.fillna(0.0)
-    return rows.select(key, F.explode(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("h")).select(key, "h.*")
+    return F.filter(F.array(*[routed(name, rule()) for name, rule in (rules or RULES).items()]), lambda x: x.isNotNull())
+
+
+def rule_hits(features: DataFrame, key: str, rules: dict | None = None, vehicle: str | None = None) -> DataFrame:
+    """One row per log and rule that fires; nulls in features count as 0."""
+    return features.fillna(0.0).select(key, F.explode(rule_array(rules, vehicle)).alias("h")).select(key, "h.*")
 
 
 def subsystems(hits: DataFrame, key: str) -> DataFrame:

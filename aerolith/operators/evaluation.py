@@ -152,11 +152,11 @@ def batch_status(chosen: DataFrame, logs: DataFrame, key: str) -> DataFrame:
     return logs.select(key).join(first, key, "left").withColumn("status", status)
 
 
-def clusters(first: DataFrame, label: str, key: str, listed: int = 1000) -> DataFrame:
-    """Incidents by their first diagnosis: n, logs (sorted, the first `listed`), place by size.
+def clusters(first: DataFrame, label: str, key: str) -> DataFrame:
+    """Incidents by their first diagnosis, a row for each log: label, n (its logs), place (by n, then name), key.
 
-    A label's list is cut to `listed` names, as a report shows them; n counts all. There are as many rows as labels.
+    The labels, a few, are counted and placed; the logs stay rows, so a label may have any number of them.
     """
-    rows = first.withColumn("_at", F.row_number().over(Window.partitionBy(label, F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)))
-    out = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(F.when(F.col("_at") <= listed, F.col(key)))), 1, listed).alias("logs"))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), label)))
+    counts = first.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    placed = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), label)))
+    return first.select(label, key).join(F.broadcast(placed), label).select(label, "n", "place", key)

@@ -13,9 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.functions.columns import any_bit_unset, channels, magnitude, number
-
-from . import motors, series
+from aerolith.functions.columns import any_bit_unset, magnitude, number
 
 
 class Family(NamedTuple):
@@ -24,15 +22,16 @@ class Family(NamedTuple):
 
 
 def _value(field: str) -> Column:
-    return number(F.try_element_at("fields", F.lit(field)))
+    # one expression, as columns.number has it: building hundreds of columns call by call takes seconds
+    return F.expr(f"coalesce(nanvl(try_cast(try_element_at(fields, '{field}') AS double), CAST(NULL AS double)), 0D)")
 
 
 def _of(message: str, value: Column) -> Column:
-    return F.when(F.col("msg_type") == message, value)
+    return F.when(F.expr(f"msg_type = '{message}'"), value)
 
 
 def _present(message: str) -> Column:
-    return F.count_if(F.col("msg_type") == message) > 0
+    return F.expr(f"count_if(msg_type = '{message}') > 0")
 
 
 def _onset(message: str, holds: Column) -> Column:
@@ -153,28 +152,3 @@ def derived(features: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     made = {"thrust_weight": ratio(f("output_mean"), f("hover_ratio")), "resistance": ratio(f("volt_range"), f("curr_max")), "tracking": ratio(f("roll_error_max"), f("roll_std")), "ekf_health": f("ekf_vel_max") + f("ekf_pos_max") + f("ekf_hgt_max"), "motor_symmetry": ratio(f("spread_std"), f("output_mean")), "vibe_per_clip": ratio(f("vibe_z_max"), f("vibe_clip") + 1), "gps_reliability": ratio((1 - f("gps_flag_errors")) * f("gps_nsats_min"), f("gps_hdop"))}
     return features.withColumns(made)
-
-
-def complete(messages: DataFrame, logs: DataFrame | None = None) -> DataFrame:
-    """All that the rules read, one row per log: the families, motors, loss of thrust, switches, the first seconds, the voltage margin.
-
-    messages: log_id, seq, time_us, msg_type, fields. Onsets are in microseconds, -1 if none.
-    """
-    of = lambda *kinds: messages.where(F.col("msg_type").isin(*kinds))
-    samples = of("RCOU").select("log_id", "seq", "time_us", channels(F.col("fields")).alias("channels"))
-    altitudes = of("GPS").select("log_id", "seq", "time_us", _value("Alt").alias("altitude"))
-    motor = motors.motor_features(samples, "log_id", "time_us", "seq").drop("hover_ratio")
-    thrust = motors.thrust_loss(samples, altitudes, "log_id", "time_us", "seq", "altitude").select("log_id", F.col("onset").alias("thrust_onset"), F.lit(1.0).alias("thrust_descent"))
-    lanes = of("XKF4", "NKF4").select("log_id", "seq", "time_us", _value("PI").alias("lane"))
-    switches = series.change_count(lanes, "log_id", "lane", ["seq"]).select("log_id", F.col("changes").cast("double").alias("ekf_switches"))
-    tilt = of("ATT").select("log_id", "seq", "time_us", F.abs(_value("Roll") - _value("DesRoll")).alias("error"), F.greatest(F.abs(_value("Roll")), F.abs(_value("Pitch"))).alias("tilt"))
-    early = series.early_maximum(tilt, "log_id", F.col("error"), "time_us", "seq", 5.0, 1e300).select("log_id", F.col("early_max").alias("early_divergence"))
-    crash = series.early_maximum(tilt, "log_id", F.col("tilt"), "time_us", "seq", 0.0, 60.0).select("log_id", F.col("first_over").alias("time_to_crash"))
-    low = of("PARM").where(F.try_element_at("fields", F.lit("Name")) == "BATT_LOW_VOLT").groupBy("log_id").agg(F.max_by(_value("Value"), F.col("seq")).alias("_low"))
-    every = logs if logs is not None else messages.select("log_id").distinct()
-    out = extracted(messages, every)
-    for part in (motor, thrust, switches, early, crash, low):
-        out = out.join(part, "log_id", "left")
-    margin = F.when(F.col("_low") > 0, F.col("volt_min") - F.col("_low"))
-    out = out.withColumn("volt_margin", margin).withColumn("thrust_onset", F.coalesce("thrust_onset", F.lit(-1.0)))
-    return out.drop("_low").fillna(0.0)

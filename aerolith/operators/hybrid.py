@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import diagnosis, rules, series
-from .features import complete
+from .assembly import assembled
 
 SHOWN, STRONG, NEAR = 2, 0.70, 0.10
 # The feature that tells since when a failure shows.
@@ -26,9 +26,10 @@ OTHERWISE = "Review the log by hand."
 
 
 def gated(model: DataFrame, rule: DataFrame, scores: DataFrame, key: str) -> DataFrame:
-    """Classifier hits, but none of a log that no rule fires for and that is no outlier (scores: key, is_outlier)."""
-    plain = scores.where("not is_outlier").select(key).join(rule.select(key).distinct(), key, "left_anti")
-    return model.join(plain, key, "left_anti")
+    """Classifier hits of the logs that a rule fires for or that are outliers (scores: key, is_outlier); a log
+    without a score is none."""
+    kept = scores.where("is_outlier").select(key).unionByName(rule.select(key)).distinct()
+    return model.join(kept, key, "left_semi")
 
 
 def with_onsets(hits: DataFrame, features: DataFrame, key: str) -> DataFrame:
@@ -93,17 +94,109 @@ def explained(logs: DataFrame, rule: DataFrame, model: DataFrame, hits: DataFram
     return out.withColumn("reason", why)
 
 
+def _ranked(hits: Column) -> Column:
+    """hits, surest first, then found by both, by the model, by a rule, then by priority of the label, then its name."""
+    method = lambda x: F.when(x["method"] == "rule+ml", 0).when(x["method"] == "ml", 1).otherwise(2)
+    first = F.create_map(*[F.lit(x) for pair in diagnosis.PRIORITIES.items() for x in pair])
+    keyed = F.transform(hits, lambda x: F.struct((-x["confidence"]).alias("a"), method(x).alias("b"), (-F.coalesce(F.try_element_at(first, x["failure_type"]), F.lit(0))).alias("c"), x["failure_type"].alias("d"), x.alias("h")))
+    return F.transform(F.array_sort(keyed), lambda x: x["h"])
+
+
+def _least(hits: Column, label: Column) -> Column:
+    return F.array_min(F.transform(F.filter(hits, lambda h: h["failure_type"] == label), lambda h: h["confidence"]))
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """rows whose columns are computed once here: the optimiser doesn't merge what follows with what they are made of,
+    which would double nested expressions again and again."""
+    return rows.select(F.inline(F.array(F.struct(*[F.col(c) for c in rows.columns]))))
+
+
+def verdicts(features: DataFrame, model: DataFrame | None = None, scores: DataFrame | None = None, key: str = "log_id", least: float = 0.45, table: dict | None = None) -> DataFrame:
+    """All that is said of a log, in its one row: nothing is shuffled but the model's hits and scores.
+
+    features: of assembly.assembled, with vehicle and extracted; model: key, failure_type, confidence; scores: key,
+    is_outlier; table: the rules, if not rules.ALL. A log has at most as many hits as there are labels, so they are kept in arrays:
+
+    rules, model: the hits (the model's only behind the gate: of a log with a rule's hit or that is an outlier)
+    merged: 0.65 model + 0.35 rule, either alone 0.85, from `least` on, in order of rank; to nine digits, so that equal
+    sums are equal
+    hypotheses: all types with their onset, the timed ones first, then by confidence
+    final: what is reported, the root cause first; `why` tells how it was found
+    status: healthy, uncertain, confirmed, or not_extracted; reasons for doubt; batch: the status in a batch
+    """
+    one = "array<struct<failure_type: string, confidence: double>>"
+    rows = features.fillna(0.0).withColumn("_rules", F.when(F.coalesce("extracted", F.lit(True)), diagnosis.rule_array(table or rules.ALL, "vehicle")).otherwise(F.array()))
+    onsets = F.create_map(*[x for t, c in ONSETS.items() for x in (F.lit(t), F.col(c).cast("double"))])
+    rows = rows.select(key, "vehicle", "extracted", F.transform("_rules", lambda x: F.struct(x["failure_type"].alias("failure_type"), x["confidence"].cast("double").alias("confidence"), x["severity"].alias("severity"))).alias("rules"), onsets.alias("_onsets"))
+    if model is None:
+        rows = rows.withColumn("_told", F.array().cast(one))
+    else:
+        told = model.groupBy(key, "failure_type").agg(F.max("confidence").cast("double").alias("confidence")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("failure_type", "confidence"))).alias("_told"))
+        rows = rows.join(told, key, "left").withColumn("_told", F.coalesce("_told", F.array().cast(one)))
+    # nothing is said of a log that could not be extracted
+    rows = rows.withColumn("_told", F.when(F.coalesce("extracted", F.lit(True)), F.col("_told")).otherwise(F.array().cast(one)))
+    if scores is not None:
+        rows = rows.join(scores.groupBy(key).agg(F.max("is_outlier").alias("is_outlier")), key, "left")
+        rows = rows.withColumn("_told", F.when((F.size("rules") > 0) | F.coalesce("is_outlier", F.lit(False)), F.col("_told")).otherwise(F.array().cast(one)))
+    rows = _settled(rows)
+    kinds = F.array_sort(F.array_distinct(F.concat(F.transform("rules", lambda x: x["failure_type"]), F.transform("_told", lambda x: x["failure_type"]))))
+
+    def about(label: Column) -> Column:
+        rule, told = F.coalesce(_least(F.col("rules"), label), F.lit(0.0)), F.coalesce(_least(F.col("_told"), label), F.lit(0.0))
+        return F.struct(label.alias("failure_type"), rule.alias("rule"), told.alias("model"), F.coalesce(F.try_element_at("_onsets", label), F.lit(-1.0)).alias("onset"))
+
+    def fused(x: Column) -> Column:
+        both = (x["rule"] > 0) & (x["model"] > 0)
+        c = F.round(F.least(F.lit(1.0), F.when(both, 0.65 * x["model"] + 0.35 * x["rule"]).otherwise(0.85 * F.greatest(x["rule"], x["model"]))), 9)
+        method = F.when(both, "rule+ml").when(x["rule"] > 0, "rule").otherwise("ml")
+        severity = F.when(c > 0.6, "critical").when(c > 0.3, "warning").otherwise("info")
+        return F.struct(x["failure_type"].alias("failure_type"), c.alias("confidence"), method.alias("method"), severity.alias("severity"), x["onset"].alias("onset"), F.round(F.greatest(x["rule"], x["model"]), 9).alias("alone"))
+
+    rows = _settled(rows.withColumn("_all", F.transform(F.transform(kinds, about), fused)))
+    merged = _ranked(F.filter("_all", lambda x: x["confidence"] >= least))
+    late = lambda x: F.when(x["onset"] > 0, x["onset"]).otherwise(F.lit(float("inf")))
+    sure = lambda x: F.when(x["confidence"] >= least, x["confidence"]).otherwise(x["alone"])
+    stories = F.array_sort(F.transform("_all", lambda x: F.struct(late(x).alias("a"), (-sure(x)).alias("b"), x["failure_type"].alias("failure_type"), x["method"].alias("method"), x["onset"].alias("onset"), sure(x).alias("confidence"))))
+    rows = _settled(rows.withColumn("merged", merged).withColumn("hypotheses", F.transform(stories, lambda x: F.struct(*[x[c].alias(c) for c in ("failure_type", "method", "onset", "confidence")]))))
+    # those with an onset, by onset, then by rank
+    timed = F.array_sort(F.filter(F.transform("merged", lambda x, i: F.struct(x["onset"].alias("a"), (-x["confidence"]).alias("b"), i.alias("i"), x.alias("h"))), lambda x: x["a"] > 0))
+    rows = _settled(rows.withColumn("_timed", F.when(F.size("merged") > 1, F.transform(timed, lambda x: x["h"])).otherwise(F.array())))
+    first, second = F.get("_timed", F.lit(0)), F.get("_timed", F.lit(1))
+
+    def step(best: Column, x: Column) -> Column:
+        gap = x["onset"] - first["onset"]
+        wins = ((gap <= 5e6) & (x["confidence"] > best["confidence"])) | ((gap <= 30e6) & (x["confidence"] >= 0.85) & (x["confidence"] > best["confidence"] + 0.15))
+        return F.when(wins, x).otherwise(best)
+
+    rows = _settled(rows.withColumn("_cause", F.when(F.size("_timed") > 0, F.aggregate("_timed", first, step))))
+    cause, top = F.col("_cause"), F.get("merged", F.lit(0))
+    leader = F.coalesce(cause, top)
+    hard = lambda x: (x["method"] == "rule") & (x["severity"] == "critical")
+    near = lambda x: (top["confidence"] - x["confidence"] <= NEAR) & ((x["method"] == "rule") | (x["confidence"] >= STRONG))
+    others = F.filter("merged", lambda x: (x["failure_type"] != leader["failure_type"]) & (hard(x) | (cause.isNull() & near(x))))
+    rows = _settled(rows.withColumn("final", F.when(F.size("merged") > 0, F.slice(F.concat(F.array(leader), others), 1, SHOWN)).otherwise(F.array())))
+    ahead = F.format_string("%s %.1f s before %s", cause["failure_type"], (second["onset"] - first["onset"]) / 1e6, second["failure_type"])
+    why = F.when(cause.isNotNull() & second.isNotNull(), ahead).when(cause.isNotNull(), "earliest onset").when(F.size("merged") > 0, "surest").otherwise("nothing is sure enough")
+    a, b = F.get("final", F.lit(0)), F.get("final", F.lit(1))
+    strong = F.size(F.filter("final", lambda x: x["confidence"] >= 0.5)) > 1
+    doubts = F.filter(F.array(F.when(a["confidence"] < 0.65, "low_confidence"), F.when(a["confidence"] - b["confidence"] < 0.15, "close_second"), F.when(strong, "several_strong"), F.when((a["method"] == "ml") & (a["confidence"] < 0.75), "model_only")), lambda x: x.isNotNull())
+    status = F.when(~F.coalesce("extracted", F.lit(True)), "not_extracted").when(a.isNull(), "healthy").when(F.size(doubts) > 0, "uncertain").otherwise("confirmed")
+    batch = F.when(~F.coalesce("extracted", F.lit(True)), "ERROR").when(a.isNull(), "HEALTHY").when(a["severity"] == "critical", "CRITICAL").otherwise("WARNING")
+    return _settled(rows.select(key, "vehicle", "extracted", status.alias("status"), batch.alias("batch"), a["failure_type"].alias("failure_type"), a["confidence"].alias("confidence"), F.when(a.isNull(), F.array().cast("array<string>")).otherwise(doubts).alias("reasons"), why.alias("why"), cause.isNotNull().alias("arbitrated"), "rules", F.col("_told").alias("model"), "merged", "hypotheses", "final"))
+
+
+def reported(rows: DataFrame, key: str = "log_id") -> DataFrame:
+    """A row for each reported diagnosis of verdicts, with its place and advice."""
+    out = rows.select(key, "arbitrated", "why", F.posexplode("final").alias("place", "h"))
+    out = out.select(key, (F.col("place") + 1).alias("place"), *[F.col(f"h.{c}").alias(c) for c in ("failure_type", "confidence", "method", "severity", "onset")], (F.col("arbitrated") & (F.col("place") == 0)).alias("arbitrated"), "why")
+    return advised(out)
+
+
 def diagnosed(messages: DataFrame, model: DataFrame | None = None, scores: DataFrame | None = None, logs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The whole way from messages: the decision per log, and the reported diagnoses with advice.
+    """The whole way from messages: the row of verdicts of each log, and the reported diagnoses with advice.
 
     model: classifier hits (log_id, failure_type, confidence); scores: outliers (log_id, is_outlier).
     """
-    rows = complete(messages, logs)
-    found = diagnosis.rule_hits(rows, "log_id", rules.ALL)
-    if model is None:
-        model = found.select("log_id", "failure_type", "confidence").limit(0)
-    elif scores is not None:
-        model = gated(model, found, scores, "log_id")
-    hits = with_onsets(diagnosis.merged(found, model, "log_id"), rows, "log_id")
-    chosen = advised(selected(hits, "log_id"))
-    return diagnosis.decisions(chosen, rows, "log_id"), chosen
+    rows = verdicts(assembled(messages, logs), model, scores)
+    return rows, reported(rows)

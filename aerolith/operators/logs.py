@@ -11,7 +11,7 @@ from aerolith.functions.columns import number
 BOOT_WORDS = {"copter": "Copter", "plane": "Plane", "rover": "Rover", "sub": "Sub"}
 PARAMETERS = [("FRAME_CLASS", "Copter"), ("SKID_STEER_OUT", "Rover"), ("CRUISE_SPEED", "Rover"), ("Q_ENABLE", "Plane"), ("SURFACE_DEPTH", "Sub"), ("WPNAV_SPEED_DN", "Sub")]
 # Families that two kinds of vehicle are not asked for.
-LEFT_OUT = {"Rover": ["vibration", "motors", "attitude", "control"], "Sub": ["gps", "motors", "control", "vibration"]}
+LEFT_OUT = {"Rover": ["vibration", "motors", "control", "spectrum"], "Sub": ["gps", "motors", "control", "spectrum"]}
 # How an error shows on the timeline, by the code of its subsystem.
 ERROR_EVENTS = {3: ("Compass Error", "critical"), 5: ("Radio Failsafe", "critical"), 6: ("Battery Failsafe", "critical"), 11: ("GPS Glitch", "warning"), 12: ("Crash Detected", "crash"), 16: ("EKF Check Failed", "critical"), 17: ("EKF Failsafe", "crash"), 25: ("Thrust Loss", "critical"), 29: ("Vibration Failsafe", "critical")}
 
@@ -53,12 +53,13 @@ def facts(messages: DataFrame, families: int = 3) -> DataFrame:
 
 def routed_features(features: DataFrame, vehicle: str, columns: dict[str, list[str]]) -> DataFrame:
     """features with 0 in the columns of families that the log's vehicle is not asked for; columns: of each family."""
-    out = features
+    made = {}
     for family, names in columns.items():
         kinds = [k for k, left in LEFT_OUT.items() if family in left]
-        for c in names if kinds else []:
-            out = out.withColumn(c, F.when(F.coalesce(F.col(vehicle), F.lit("")).isin(kinds), F.lit(0.0)).otherwise(F.col(c)))
-    return out
+        if kinds:
+            gone = F.coalesce(F.col(vehicle), F.lit("")).isin(kinds)
+            made |= {c: F.when(gone, F.lit(0.0)).otherwise(F.col(c)) for c in names}
+    return features.withColumns(made)
 
 
 def rescaled(df: DataFrame, key: str, column: str, limit: float, by: float = 100.0) -> DataFrame:

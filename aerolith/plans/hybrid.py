@@ -98,13 +98,6 @@ def damage_rules(spark, sf_dir):
     return hits.groupBy("failure_type", "severity", F.round("confidence", 4).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def diagnosed(spark, sf_dir):
-    """The whole way from messages to decisions: features, thirteen rules, fusion, onsets, arbitration."""
-    decided, chosen = hybrid.diagnosed(_messages(spark, sf_dir), flight._model_hits(spark, sf_dir))
-    first = chosen.where("place = 1").select("log_id", "arbitrated", "why", "advice")
-    return decided.withColumn("reasons", F.array_join("reasons", ",")).join(first, "log_id", "left")
-
-
 def explained(spark, sf_dir):
     model, hits = flight._model_hits(spark, sf_dir), _onset_hits(spark, sf_dir)
     rule = diagnosis.rule_hits(flight.feature_rows(spark, sf_dir), "log_id")
@@ -149,12 +142,11 @@ UNION ALL SELECT log_id, fin, 4611686018427387904, 'end', 'Log End', 'crash' FRO
 t AS (SELECT u.log_id, round((time_us - origin) / 1e6, 2) AS t, u.kind, label, severity, seq FROM u JOIN o ON u.log_id = o.log_id WHERE origin IS NOT NULL)
 SELECT log_id, t, kind, label, severity, row_number() OVER (PARTITION BY log_id ORDER BY t, seq, kind) AS place FROM t"""),
     "rescaled_series": (rescaled_series, f"WITH {flight._E}, m AS (SELECT log_id, max(value) AS top, sum(value) AS s FROM e GROUP BY 1) SELECT log_id, round(CASE WHEN top > 400 THEN s / 100 ELSE s END, 6) AS total FROM m"),
-    "routed_columns": (routed_columns, "WITH o AS (SELECT o_totalprice AS p, ['Copter', 'Rover', 'Sub'][o_orderkey % 3 + 1] AS vehicle FROM orders) SELECT vehicle, round(sum(CASE WHEN vehicle = 'Copter' THEN p ELSE 0 END), 2) AS vibe, round(sum(p / 2), 2) AS mag FROM o GROUP BY vehicle"),
+    "routed_columns": (routed_columns, "WITH o AS (SELECT o_totalprice AS p, ['Copter', 'Rover', 'Sub'][o_orderkey % 3 + 1] AS vehicle FROM orders) SELECT vehicle, round(sum(CASE WHEN vehicle <> 'Rover' THEN p ELSE 0 END), 2) AS vibe, round(sum(p / 2), 2) AS mag FROM o GROUP BY vehicle"),
     "damage_rules": (damage_rules, f"""WITH l AS (SELECT l_quantity AS q, l_discount AS d, l_extendedprice AS p, l_partkey % 1000 AS k FROM lineitem), f AS (SELECT {_ROW} FROM l), {_RULES},
 x AS (SELECT *, greatest(ekf_vel_max, ekf_pos_max, ekf_mag_max) AS worst, (ekf_vel_max > 1.5)::INT + (ekf_pos_max > 1.5)::INT + (ekf_mag_max > 1.5)::INT AS fails, (ekf_vel_max > 1.05 AND ekf_vel_max <= 1.5)::INT + (ekf_pos_max > 1.05 AND ekf_pos_max <= 1.5)::INT + (ekf_mag_max > 1.05 AND ekf_mag_max <= 1.5)::INT AS warns FROM f),
 y AS (SELECT 'ekf_failure' AS failure_type, greatest(CASE WHEN worst > 2.25 THEN 0.85 WHEN worst > 1.5 THEN 0.65 ELSE 0 END, CASE WHEN warns >= 2 THEN 0.55 ELSE 0 END, CASE WHEN fails >= 2 THEN 0.9 ELSE 0 END) + (CASE WHEN ekf_switches > 0 THEN 0.2 ELSE 0 END) + (CASE WHEN ekf_bad > 0.1 THEN 0.1 ELSE 0 END) AS c FROM x WHERE (worst > 1.05 OR ekf_switches > 0 OR ekf_bad >= 0.1) AND (fails >= 2 OR ekf_switches > 0 OR worst >= 2.25)),
 h AS (SELECT failure_type, least(1, c)::DOUBLE AS c, CASE WHEN coalesce(hard, false) OR least(1, c) > crit THEN 'critical' WHEN failure_type = 'compass_interference' AND c <= 0.5 THEN 'info' ELSE 'warning' END AS severity FROM r UNION ALL SELECT failure_type, least(1, c)::DOUBLE, CASE WHEN least(1, c) >= 0.8 THEN 'critical' ELSE 'warning' END FROM y WHERE c > 0)
 SELECT failure_type, severity, round(c, 4) AS confidence, count(*) AS n FROM h GROUP BY ALL"""),
-    "diagnosed": (diagnosed, None),
     "explained": (explained, None),
 }

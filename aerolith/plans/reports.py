@@ -106,7 +106,7 @@ def batch_status(spark, sf_dir):
 
 def incident_clusters(spark, sf_dir):
     chosen = hybrid.selected(_onset_hits(spark, sf_dir), "log_id").where("place = 1")
-    return evaluation.clusters(chosen, "failure_type", "log_id").withColumn("logs", F.array_join(F.transform("logs", lambda x: x.cast("string")), ","))
+    return evaluation.clusters(chosen, "failure_type", "log_id")
 
 
 def analysis_records(spark, sf_dir):
@@ -160,8 +160,8 @@ c AS (SELECT engine, label, count(*) FILTER (WHERE list_contains(truth, label) A
 a AS (SELECT engine, avg(list_has_any(truth, predicted)::INT) AS any_match, avg(coalesce(list_contains(truth, predicted[1]), false)::INT) AS top1, avg((list_sort(truth) = list_sort(predicted))::INT) AS exact_match FROM e GROUP BY 1) SELECT a.engine, round(any_match, 6) AS any_match, round(top1, 6) AS top1, round(exact_match, 6) AS exact_match, round(macro_f1, 6) AS macro_f1 FROM a LEFT JOIN f ON a.engine = f.engine"""),
     "first_classes": (first_classes, "SELECT CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'quality' ELSE 'healthy' END AS class, count(*) AS n FROM labels GROUP BY 1"),
     "labels_over": (labels_over, "WITH l AS (SELECT l_orderkey, l_returnflag || l_linestatus || l_linenumber AS label, l_quantity / 50 AS p FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY p DESC, label) AS place FROM l WHERE p >= CASE label WHEN 'NO1' THEN 0.2 WHEN 'AF1' THEN 0.9 WHEN 'RF2' THEN 0.7 ELSE 0.5 END) SELECT l_orderkey, label, p, place FROM k WHERE place <= 3"),
-    "batch_status": (batch_status, None),
-    "incident_clusters": (incident_clusters, f"WITH {_SEL} SELECT failure_type, count(*) AS n, string_agg(log_id::VARCHAR, ',' ORDER BY log_id) AS logs, row_number() OVER (ORDER BY count(*) DESC, failure_type) AS place FROM w WHERE place = 1 GROUP BY failure_type"),
+    "batch_status": (batch_status, "WITH " + _SEL.replace(" FROM h)", " FROM h WHERE confidence < 0.9)").replace("FROM h WHERE onset > 0", "FROM h WHERE confidence < 0.9 AND onset > 0") + ", a AS (SELECT DISTINCT log_id FROM h) SELECT CASE WHEN w.failure_type IS NULL THEN 'HEALTHY' WHEN severity = 'critical' THEN 'CRITICAL' ELSE 'WARNING' END AS status, count(*) AS n FROM a LEFT JOIN (SELECT * FROM w WHERE place = 1) w USING (log_id) GROUP BY 1"),
+    "incident_clusters": (incident_clusters, f"WITH {_SEL}, io AS (SELECT failure_type, log_id FROM w WHERE place = 1), it AS (SELECT failure_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, failure_type) AS place FROM io GROUP BY failure_type) SELECT failure_type, n, place, log_id FROM it JOIN io USING (failure_type)"),
     "analysis_records": (analysis_records, None),
     "class_splits": (class_splits, "SELECT o_orderpriority || strftime(o_orderdate, '%Y-%m-%d') AS class, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 2"),
     "upserted_labels": (upserted_labels, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels"),

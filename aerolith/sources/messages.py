@@ -15,6 +15,30 @@ def read_messages(spark: SparkSession, path: str, families: list[str] | None = N
     return rows.where(F.col("msg_type").isin(families)) if families else rows
 
 
+def read_logs(spark: SparkSession, path: str, families: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Logs below path, a file each, and their messages: every file is a log, also one that can't be read or is empty.
+
+    logs: log_id (the file's name without its suffix), path, size_bytes, n and counts (messages, by family). The
+    families are filtered at the scan; a file that is no Parquet file gives no messages and n 0.
+    """
+    name = lambda column: F.regexp_extract(column, r"([^/]+?)(\.[^./]*)?$", 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size_bytes"))
+    rows = spark.read.schema(MESSAGES).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path)
+    rows = rows.where(F.col("msg_type").isin(families)) if families else rows
+    rows = rows.withColumn("log_id", name(F.col("_metadata.file_path")))
+    each = rows.groupBy("log_id", "msg_type").agg(F.count(F.lit(1)).alias("n")).groupBy("log_id").agg(F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("msg_type", "n")))).alias("counts"))
+    logs = files.withColumn("log_id", name(F.col("path"))).join(each, "log_id", "left")
+    return logs.select("log_id", "path", "size_bytes", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("counts", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))).alias("counts")), rows
+
+
+def thresholds(table: DataFrame, most: int = 1000) -> dict[str, float]:
+    """A table of thresholds (name, value), the last of a name in order of its value; at most `most` rows are read."""
+    rows = table.groupBy("name").agg(F.max(F.col("value").cast("double")).alias("value")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} thresholds")
+    return {r["name"]: r["value"] for r in rows if r["value"] is not None}
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A table with a header, all strings; a missing file is empty."""
     schema = ", ".join(f"`{c}` string" for c in columns)

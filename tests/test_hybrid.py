@@ -53,9 +53,14 @@ def test_messages_become_a_decision(spark):
     rows += [(3, 1, None, "MSG", {"Message": "none"})]
     messages = spark.createDataFrame(rows, "log_id long, seq long, time_us long, msg_type string, fields map<string,string>")
     decided, chosen = hybrid.diagnosed(messages)
-    status = {r.log_id: (r.status, r.failure_type) for r in decided.collect()}
-    assert status[2] == ("healthy", None) and status[3] == ("healthy", None) and status[1][1] in ("thrust_loss", "vibration_high")
-    assert {r.failure_type for r in chosen.where("log_id = 1").collect()} <= {"thrust_loss", "vibration_high"}
+    rows = {r.log_id: r for r in decided.collect()}
+    assert (rows[2].status, rows[2].failure_type, rows[2].batch) == ("healthy", None, "HEALTHY")
+    assert (rows[3].status, rows[3].batch, rows[3].hypotheses) == ("not_extracted", "ERROR", [])
+    # vibration: 3 x 0.2 + 0.3 + 0.2, at most 1; thrust: 0.45 + 0.25, as its run begins at time 0, which is no onset
+    one = rows[1]
+    assert [(h.failure_type, h.onset, h.confidence) for h in one.hypotheses] == [("vibration_high", 0.0, 0.85), ("thrust_loss", 0.0, 0.595)]
+    assert (one.status, one.failure_type, one.batch, one.why) == ("confirmed", "vibration_high", "CRITICAL", "surest")
+    assert [(r.place, r.failure_type, round(r.confidence, 4)) for r in chosen.where("log_id = 1").orderBy("place").collect()] == [(1, "vibration_high", 0.85)]
     facts = {r.log_id: r for r in logs.facts(messages).collect()}
     assert facts[1].duration == 19.0 and not facts[3].extracted and facts[3].vehicle == "Unknown"
     assert len(rules.ALL) == 13
