@@ -189,9 +189,14 @@ def manual_labels(document: DataFrame, column: str) -> DataFrame:
     return own.where(F.trim(F.coalesce("v.label", F.lit(""))) != "").select("name", F.lower("v.label").alias("label"), safe_confidence(F.col("v.confidence")).alias("confidence"))
 
 
-def relabelled(rows: DataFrame, hits: DataFrame, key: str, symptoms: list[str], least: float = 0.65) -> DataFrame:
-    """rows (key, labels) in which a symptom, or no label, gives way to the surest rule over `least`."""
-    best = hits.where(F.col("confidence") > least).groupBy(key).agg(F.min_by("failure_type", F.struct(-F.col("confidence"), F.col("failure_type"))).alias("_best"))
+# Labels that are symptoms, and the causes that may take their place.
+SYMPTOMS = ["mechanical_failure", "rc_failsafe", "ekf_failure", "crash_unknown"]
+CAUSES = ["vibration_high", "compass_interference", "power_instability"]
+
+
+def relabelled(rows: DataFrame, hits: DataFrame, key: str, symptoms: list[str] = SYMPTOMS, least: float = 0.65) -> DataFrame:
+    """rows (key, labels) in which a symptom, or no label, gives way to the surest physical cause that a rule is sure of by over `least`."""
+    best = hits.where((F.col("confidence") > least) & F.col("failure_type").isin(CAUSES)).groupBy(key).agg(F.min_by("failure_type", F.struct(-F.col("confidence"), F.col("failure_type"))).alias("_best"))
     own = rows.join(best, key, "left")
     weak = (F.size("labels") == 0) | F.exists("labels", lambda x: x.isin(symptoms))
     changed = weak & F.col("_best").isNotNull()

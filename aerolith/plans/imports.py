@@ -190,7 +190,7 @@ def manual_labels(spark, sf_dir):
 def relabelled_rows(spark, sf_dir):
     hits = flight.fused(spark, sf_dir).select("log_id", "failure_type", "confidence")
     rows = hits.select("log_id").distinct().withColumn("labels", F.when(F.col("log_id") % 3 == 0, F.array(F.lit("crash_unknown"))).when(F.col("log_id") % 3 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("ekf_failure"))))
-    return imports.relabelled(rows, hits, "log_id", ["crash_unknown"]).select("log_id", F.array_join("labels", ",").alias("labels"), "changed")
+    return imports.relabelled(rows, hits, "log_id").select("log_id", F.array_join("labels", ",").alias("labels"), "changed")
 
 
 def boundary_errors(spark, sf_dir):
@@ -242,7 +242,7 @@ i AS (SELECT unnest([CASE WHEN NOT found THEN 'missing_manifest_row' END, CASE W
     "rare_labels": (rare_labels, f"WITH {_SQL}, v AS (SELECT unnest({_VALID}) AS label), n AS (SELECT {_LABEL} AS label, count(*) AS n FROM m GROUP BY 1) SELECT v.label, coalesce(n, 0) AS n FROM v LEFT JOIN n ON v.label = n.label WHERE coalesce(n, 0) < 10"),
     "build_report": (build_report, f"WITH {_CAT} SELECT CASE WHEN status <> 'downloaded' THEN 'not_downloaded' WHEN category = 'excluded_synthetic' THEN 'synthetic' WHEN mapped IS NULL THEN 'no_label' ELSE 'processed' END AS outcome, count(*) AS n FROM c GROUP BY 1"),
     "manual_labels": (manual_labels, "SELECT c_name AS name, lower(c_mktsegment) AS label, CASE WHEN c_custkey % 4 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM customer WHERE c_custkey % 3 <> 0"),
-    "relabelled_rows": (relabelled_rows, f"WITH {flight._MERGED}, b AS (SELECT log_id, arg_min(failure_type, (-confidence, failure_type)) AS best FROM merged WHERE confidence > 0.65 GROUP BY 1) SELECT DISTINCT m.log_id, CASE WHEN m.log_id % 3 < 2 AND best IS NOT NULL THEN best WHEN m.log_id % 3 = 0 THEN 'crash_unknown' WHEN m.log_id % 3 = 1 THEN '' ELSE 'ekf_failure' END AS labels, m.log_id % 3 < 2 AND best IS NOT NULL AS changed FROM merged m LEFT JOIN b ON m.log_id = b.log_id"),
+    "relabelled_rows": (relabelled_rows, f"WITH {flight._MERGED}, b AS (SELECT log_id, arg_min(failure_type, (-confidence, failure_type)) AS best FROM merged WHERE confidence > 0.65 AND failure_type IN ('vibration_high', 'compass_interference', 'power_instability') GROUP BY 1) SELECT DISTINCT m.log_id, CASE WHEN best IS NOT NULL THEN best WHEN m.log_id % 3 = 0 THEN 'crash_unknown' WHEN m.log_id % 3 = 1 THEN '' ELSE 'ekf_failure' END AS labels, best IS NOT NULL AS changed FROM merged m LEFT JOIN b ON m.log_id = b.log_id"),
     "boundary_errors": (boundary_errors, f"WITH {_SQL}, u AS (SELECT unnest(string_split(raw, ' ')) AS x FROM m) SELECT 'unknown label ' || x AS error, count(*) AS n FROM u WHERE x NOT IN ('Crash', 'Vibration', 'healthy', 'unknown') GROUP BY 1 UNION ALL SELECT 'simulated source', count(*) FROM m WHERE source <> ''"),
     "page_attachments": (page_attachments, f"WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages), u AS (SELECT DISTINCT page_id, CASE WHEN h = '' THEN '' WHEN regexp_matches(h, '^https?://') THEN h WHEN starts_with(h, '//') THEN 'https:' || h WHEN starts_with(h, '/') THEN '{BASE}' || h ELSE '{BASE}/' || h END AS url FROM h) SELECT page_id, coalesce(nullif(lower(regexp_extract(url, '\\.([A-Za-z0-9]{{1,4}})([?#].*)?$', 1)), ''), 'none') AS kind, count(*) AS n, min(url) AS first FROM u GROUP BY ALL"),
     "expert_blocks": (expert_blocks, f"WITH {_EXPERT} SELECT thread, upper(username) AS label, quote FROM x"),
