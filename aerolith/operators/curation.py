@@ -14,6 +14,39 @@ def by_hash(files: DataFrame, path: str, content: str) -> DataFrame:
     return files.select(F.col(path).alias("_p"), sha.alias("sha256")).groupBy("sha256").agg(F.min_by("_p", F.struct(F.length("_p"), F.col("_p"))).alias("canonical"), F.count(F.lit(1)).alias("copies"))
 
 
+def copy_paths(files: DataFrame, path: str, content: str) -> DataFrame:
+    """The other paths of contents that occur more than once, a row for each: sha256, canonical, path."""
+    own = files.select(F.col(path).alias("path"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
+    many = own.groupBy("sha256").agg(F.min_by("path", F.struct(F.length("path"), F.col("path"))).alias("canonical"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return own.join(many.drop("_n"), "sha256").where("path <> canonical").select("sha256", "canonical", "path")
+
+
+def union_skips(sets: dict[str, DataFrame], key: str) -> DataFrame:
+    """What priority_union keeps and skips of each set: set, kept, skipped. Sums by key, so no key's rows meet in one task."""
+    names = list(sets)
+    every = reduce(DataFrame.unionByName, [s.select(F.col(key).alias("_k"), F.lit(i).alias("_i")) for i, s in enumerate(sets.values())])
+    per = every.groupBy("_k").agg(F.min("_i").alias("_first"), *[F.count_if(F.col("_i") == i).alias(f"_n{i}") for i in range(len(names))])
+    sums = per.agg(*[F.count_if(F.col("_first") == i).alias(f"_k{i}") for i in range(len(names))], *[F.coalesce(F.sum(f"_n{i}"), F.lit(0)).alias(f"_n{i}") for i in range(len(names))])
+    rows = F.array(*[F.struct(F.lit(n).alias("set"), F.col(f"_k{i}").alias("kept"), (F.col(f"_n{i}") - F.col(f"_k{i}")).alias("skipped")) for i, n in enumerate(names)])
+    return sums.select(F.inline(rows))
+
+
+def holdout(logs: DataFrame, manifest: DataFrame, trained: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A holdout of the logs (batch, name, position) of all batches but `trained`, and how it came about.
+
+    manifest: batch, name, sha, one row of each file. rows: batch, name, sha of the first log (by batch, position,
+    name) of each content that no trained batch has. counts: selected, overlap (known or repeated contents) and missing
+    (not in the manifest of their batch). All are sums and minima by content, whatever number of logs share one.
+    """
+    old = manifest.where(F.col("batch").isin(trained)).select("sha").distinct().withColumn("_old", F.lit(True))
+    found = logs.where(~F.col("batch").isin(trained)).join(manifest.select("batch", "name", "sha"), ["batch", "name"], "left")
+    each = found.groupBy("sha").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("batch", "position", "name")).alias("_f")).join(old, "sha", "left")
+    taken = F.col("sha").isNotNull() & F.col("_old").isNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = each.agg(F.count_if(taken).alias("selected"), (total(F.when(F.col("sha").isNotNull(), F.col("_n"))) - F.count_if(taken)).alias("overlap"), total(F.when(F.col("sha").isNull(), F.col("_n"))).alias("missing"))
+    return each.where(taken).select("_f.batch", "_f.name", "sha"), counts
+
+
 def priority_union(sets: list[DataFrame], key: str, order: list[str]) -> DataFrame:
     """Union of sets, the first set first; of rows with one key the first stays. `priority` tells the set."""
     every = reduce(DataFrame.unionByName, [s.withColumn("priority", F.lit(i)) for i, s in enumerate(sets)])

@@ -46,6 +46,20 @@ def trend(rates: DataFrame, key: str, run: str, rate: str, samples: str, least_c
     return out.withColumn("delta", delta).withColumn("flagged", (F.abs(delta) >= least_change) & ((F.col("first_n") >= least_samples) | (F.col("last_n") >= least_samples)))
 
 
+def changes(rates: DataFrame, runs: DataFrame, label: str, run: str, rate: str, samples: str, least_change: float = 0.10, least_samples: int = 5) -> DataFrame:
+    """Labels of the first or the last run: first_rate, last_rate (0 where a run lacks the label), delta, rising.
+
+    runs: run, samples, one row of each; first and last are by the order of run. rising: up by `least_change`
+    or more, and one of the two runs has `least_samples`.
+    """
+    ends = runs.agg(F.min(run).alias("_a"), F.max(run).alias("_z"), F.min_by(samples, run).alias("_an"), F.max_by(samples, run).alias("_zn"))
+    own = rates.join(F.broadcast(ends)).where((F.col(run) == F.col("_a")) | (F.col(run) == F.col("_z")))
+    of = lambda end: F.coalesce(F.max(F.when(F.col(run) == F.col(end), F.col(rate))), F.lit(0.0))
+    out = own.groupBy(label).agg(of("_a").alias("first_rate"), of("_z").alias("last_rate"), F.max(F.greatest("_an", "_zn")).alias("_n"))
+    delta = F.col("last_rate") - F.col("first_rate")
+    return out.withColumn("delta", delta).withColumn("rising", (F.round(delta, 9) >= least_change) & (F.col("_n") >= least_samples)).drop("_n")
+
+
 def gates(metrics: DataFrame, targets: DataFrame) -> DataFrame:
     """Metrics (name, value) that fall below targets (name, target), or are missing."""
     return F.broadcast(targets).join(metrics, "name", "left").where("value is null or value < target")
@@ -108,6 +122,17 @@ def critical_audit(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("logs"), F.count_if(~F.col("readable")).alias("errors"), F.coalesce(F.avg((F.col("readable") & F.col("critical")).cast("double")), F.lit(0.0)).alias("rate"))
 
 
+def critical_details(rows: DataFrame, key: str, diagnoses: str) -> DataFrame:
+    """What is behind critical_audit, a row for each critical diagnosis of a healthy log and each log that could not be read.
+
+    rows: readable, diagnoses (array of failure_type, confidence, severity). Columns: key, finding (false_critical or
+    parse_error), failure_type, confidence.
+    """
+    bad = F.filter(diagnoses, lambda d: d["severity"] == "critical")
+    read = rows.where("readable").select(key, F.lit("false_critical").alias("finding"), F.inline(F.transform(bad, lambda d: F.struct(d["failure_type"].alias("failure_type"), d["confidence"].alias("confidence")))))
+    return read.unionByName(rows.where("not readable").select(key, F.lit("parse_error").alias("finding")), allowMissingColumns=True)
+
+
 def calibration_report(results: DataFrame, decisions: DataFrame, truth: str, predicted: str, severities: str, confidence: str, ece: float = 0.08, rate: float = 0.10) -> DataFrame:
     """One row: samples, healthy, ece (of the first diagnosis), abstention, false criticals, and whether both targets are met."""
     top = results.where(F.size(predicted) > 0)
@@ -123,6 +148,14 @@ def label_rates(metrics: DataFrame, run: str) -> DataFrame:
     return metrics.join(whole, run).where(total > 0).select(run, "label", ((F.col("tp") + F.col("fp")) / total).alias("rate"))
 
 
+def flat_rates(rows: DataFrame, run: str, predicted: str, top: str) -> DataFrame:
+    """Per run and label the share of its rows: by `predicted`, else by `top`, else healthy. Empty texts count as none."""
+    label = F.coalesce(F.nullif(F.col(predicted), F.lit("")), F.nullif(F.col(top), F.lit("")), F.lit("healthy"))
+    counts = rows.groupBy(run, label.alias("label")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = counts.groupBy(run).agg(F.sum("_n").alias("_t"))
+    return counts.join(whole, run).select(run, "label", (F.col("_n") / F.col("_t")).alias("rate"))
+
+
 def engine_scores(results: DataFrame, engine: str, truth: str, predicted: str, labels: DataFrame) -> DataFrame:
     """Per engine: macro F1 over labels that occur or were predicted, any match, top 1, exact match. One job for all engines."""
     t, p = F.array_contains(truth, F.col("label")), F.array_contains(predicted, F.col("label"))

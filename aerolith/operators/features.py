@@ -145,6 +145,15 @@ def error_labels(messages: DataFrame) -> DataFrame:
     return rows.toDF("log_id", "seq", "time_us", "label", "_counts").where("label is not null and _counts").groupBy("log_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min_by("time_us", "seq").alias("first_us"))
 
 
+def error_label_lists(messages: DataFrame) -> DataFrame:
+    """log_id and `labels`: those of error_labels, each once, in the order in which they first occur in the file."""
+    names = F.create_map(*[F.lit(x) for pair in ERROR_LABELS.items() for x in pair])
+    label = F.try_element_at(names, _value("Subsys").cast("int"))
+    rows = messages.where("msg_type = 'ERR'").select("log_id", "seq", label.alias("label"), ((_value("Subsys") != 11) | (_value("ECode") == 2)).alias("_counts"))
+    first = rows.where("label is not null and _counts").groupBy("log_id", "label").agg(F.min("seq").alias("_at"))
+    return first.groupBy("log_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "label"))), lambda x: x["label"]).alias("labels"))
+
+
 def derived(features: DataFrame) -> DataFrame:
     """features with seven ratios; where a divisor is 0, or a feature is absent, the ratio is 0."""
     own = set(features.columns)

@@ -84,6 +84,24 @@ def promoted(rows: DataFrame) -> DataFrame:
     return own.withColumn("level", F.when(F.col("confidence") >= 0.75, "high").otherwise("medium"))
 
 
+# The columns by which two rows of manifests are the same record.
+RECORD = ["manifest", "status", "label_raw", "source_type", "thread_url", "resolved_url"]
+
+
+def records(manifest: DataFrame, key: str, place: str) -> DataFrame:
+    """Rows of manifests, of those that agree in key and RECORD the first by place; nulls count as empty."""
+    same = [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in RECORD]
+    first = manifest.select(key, place, *same, F.struct(*manifest.columns).alias("_r")).groupBy(key, *[f"_{c}" for c in RECORD]).agg(F.min_by("_r", place).alias("_r"))
+    return first.select("_r.*")
+
+
+def best_record(manifest: DataFrame, key: str, priority: list[str], host: str, place: str) -> DataFrame:
+    """Of each key's downloaded records the best: by its manifest's place in `priority`, then with a thread of the host, then with a label, then by place."""
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(priority) for x in (n, i)]), F.col("manifest")), F.lit(99))
+    order = F.struct(rank, (~F.coalesce(F.col("thread_url"), F.lit("")).contains(host)).cast("int"), (F.coalesce(F.col("label_raw"), F.lit("")) == "").cast("int"), F.col(place))
+    return records(manifest, key, place).where("status = 'downloaded'").select(key, F.struct(*manifest.columns).alias("_r"), order.alias("_o")).groupBy(key).agg(F.min_by("_r", "_o").alias("_r")).select("_r.*")
+
+
 def provenance(files: DataFrame, manifest: DataFrame, expert: DataFrame, order: list[Column]) -> DataFrame:
     """Each hash of files (sha, name) with its best downloaded manifest row, by any of its names, and the expert of that row's thread.
 

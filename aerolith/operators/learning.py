@@ -88,6 +88,24 @@ def isolation_scores(rows: DataFrame, trees: DataFrame, columns: list[str]) -> D
     return rows.withColumn("score", score(F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(columns)])))
 
 
+def outliers(rows: DataFrame, key: str, columns: list[str], healthy: Column, trees: int = 200, sample: int = 256, share: float = 0.05, k: int = 5, seed: int = 42) -> DataFrame:
+    """key, anomaly_score (over 0: an outlier), is_outlier and the k farthest features of each row (see deviations).
+
+    Trees, means, deviations and the cut are those of the healthy rows: `share` of them lies beyond the cut, by
+    approximate rank (one in 10,000). Where no row is healthy nothing is known: score 0, no outlier, no deviations.
+    """
+    usual = rows.where(healthy)
+    moments = usual.agg(*[f(F.coalesce(F.col(c), F.lit(0.0))).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if moments["m0"] is None:
+        far = F.array().cast("array<struct<size: double, feature: string, value: double>>")
+        return rows.select(key, F.lit(0.0).alias("anomaly_score"), F.lit(False).alias("is_outlier"), far.alias("deviations"))
+    model = isolation_trees(usual, key, columns, trees, sample, seed)
+    scored = isolation_scores(rows, model, columns)
+    cut = scored.where(healthy).agg(F.percentile_approx("score", 1 - share, 10_000)).first()[0]
+    out = deviations(scored, columns, {c: moments[f"m{i}"] for i, c in enumerate(columns)}, {c: moments[f"s{i}"] for i, c in enumerate(columns)}, k)
+    return out.select(key, (F.col("score") - cut).alias("anomaly_score"), (F.col("score") > cut).alias("is_outlier"), "deviations")
+
+
 def deviations(rows: DataFrame, columns: list[str], means: dict[str, float], stds: dict[str, float], k: int = 5) -> DataFrame:
     """rows with `deviations`: the k features farthest from their mean in deviations, array<struct<size, feature, value>>."""
     each = [F.struct(F.abs((F.coalesce(F.col(c), F.lit(0.0)) - means[c]) / (stds[c] or 1.0)).alias("size"), F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]

@@ -51,6 +51,13 @@ def facts(messages: DataFrame, families: int = 3) -> DataFrame:
     return out.withColumn("extracted", ~((F.col("duration") == 0) & (F.col("families") < families)))
 
 
+def message_counts(messages: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """Per log: n (its messages), counts (by family). With `families` only those are in the counts; n is of all."""
+    each = messages.groupBy("log_id", "msg_type").agg(F.count(F.lit(1)).alias("n"))
+    kept = F.lit(True) if families is None else F.col("msg_type").isin(families)
+    return each.groupBy("log_id").agg(F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.when(kept & F.col("msg_type").isNotNull(), F.struct("msg_type", "n"))))).alias("counts"))
+
+
 def routed_features(features: DataFrame, vehicle: str, columns: dict[str, list[str]]) -> DataFrame:
     """features with 0 in the columns of families that the log's vehicle is not asked for; columns: of each family."""
     made = {}

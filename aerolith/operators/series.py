@@ -57,6 +57,12 @@ def slices(df: DataFrame, key: str, time: str, size: int, step: int) -> DataFram
     return rows.where(low <= high).withColumn("window", F.explode(F.sequence(low, high))).drop("_a", "_z")
 
 
+def with_slices(df: DataFrame, key: str, time: str, size: int, step: int) -> DataFrame:
+    """A log as a whole and its windows, as training takes them: each row with kind full and window null, and once per window with kind slice."""
+    whole = df.withColumn("kind", F.lit("full")).withColumn("window", F.lit(None).cast("long"))
+    return whole.unionByName(slices(df, key, time, size, step).withColumn("kind", F.lit("slice")))
+
+
 def downsampled(df: DataFrame, key: str, order: list[str], points: int) -> DataFrame:
     """Every max(1, n // points)-th row of each log."""
     own = Window.partitionBy(key)

@@ -159,7 +159,9 @@ def _points(words):
 
 
 _SCORES = ", ".join(f"{{'s': CASE WHEN {_points(ws)} > 0 THEN {_points(ws)} + x ELSE 0 END, 'o': {-i}, 'l': '{l}'}}" for i, (l, ws) in enumerate(_LEXICON.items()))
-_QUOTE = "replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+_REFERENCES = " ".join(f"WHEN '{r}' THEN '{c}'" for r, c in {"&amp;": "&", "&quot;": '"', "&middot;": "·", "&copy;": "©"}.items())
+_BARE = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+_READ = f"array_to_string(list_transform(list_zip(regexp_split_to_array({_BARE}, '{C.REFERENCE}'), regexp_extract_all({_BARE}, '{C.REFERENCE}')), lambda p: p[1] || CASE p[2] {_REFERENCES} ELSE coalesce(p[2], '') END), '')"
 
 QUERIES = {
     "dedup_by_hash": (dedup_by_hash, "WITH f AS (SELECT source || '/' || doc_id AS path, sha256(text) AS sha256 FROM documents) SELECT sha256, arg_min(path, (length(path), path)) AS canonical, count(*) AS copies FROM f GROUP BY sha256"),
@@ -169,7 +171,7 @@ QUERIES = {
     "copy_names": (copy_names, "WITH p AS (SELECT p_partkey, p_brand, sha256(p_type) AS sha FROM part), r AS (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY sha) AS n FROM p) SELECT p_partkey, CASE WHEN n = 1 THEN p_brand || '.bin' ELSE p_brand || '_' || left(sha, 8) || '.bin' END AS target FROM r"),
     "manifest_union": (manifests, "SELECT 'customers' AS manifest, c_mktsegment AS url, count(*) AS n, min(c_name) AS first_file FROM customer GROUP BY 2 UNION ALL SELECT 'suppliers', s_name, count(*), min(s_name) FROM supplier GROUP BY 2"),
     "best_provenance": (best_provenance, "WITH k AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'P') SELECT o_custkey, o_orderkey FROM k WHERE n = 1"),
-    "page_text": (page_text, f"SELECT page_id, sha256(trim(regexp_replace({_QUOTE}, '[ \\t\\r\\n]+', ' ', 'g'))) AS text_sha FROM pages"),
+    "page_text": (page_text, f"SELECT page_id, sha256(trim(regexp_replace(regexp_replace({_READ}, '{C.CITATION}', '', 'g'), '{C.SPACE}', ' ', 'g'))) AS text_sha FROM pages"),
     "page_urls": (page_urls, "SELECT page_id, CASE WHEN regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) <> '' THEN 'https://' || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^(www|m)\\.', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') ELSE '' END AS url FROM pages"),
     "page_links": (page_links, "SELECT href, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE regexp_matches(href, '^/T') GROUP BY href"),
     "file_kinds": (file_kinds, "SELECT CASE WHEN c = '' THEN 'empty' WHEN starts_with(lower(left(c, 16)), '<!doctype') OR starts_with(lower(left(c, 16)), '<html') THEN 'html' ELSE 'binlike' END AS kind, count(*) AS n FROM (SELECT text AS c FROM documents UNION ALL SELECT html FROM pages) GROUP BY 1"),

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembled, curate, detect, flight, hybrid, imports, learn, reports, telemetry
+from . import assembled, curate, detect, flight, hybrid, imports, learn, mined, reports, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = flight.QUERIES | curate.QUERIES | telemetry.QUERIES | detect.QUERIES | hybrid.QUERIES | imports.QUERIES | reports.QUERIES | assembled.QUERIES | learn.QUERIES
+_ALL = flight.QUERIES | curate.QUERIES | telemetry.QUERIES | detect.QUERIES | hybrid.QUERIES | imports.QUERIES | reports.QUERIES | assembled.QUERIES | learn.QUERIES | mined.QUERIES
 flagship = flight.flagship
 
 

@@ -52,6 +52,12 @@ def feature_tables(matrix: DataFrame, labels: DataFrame, path: str, batch: str)
     write_batch(labels.join(matrix.select("log_id"), "log_id", "left_semi"), f"{path}/labels", batch)
 
 
+def write_benchmark(tables: dict[str, DataFrame], path: str, batch: str) -> None:
+    """The tables of a benchmark run (overall, per_label, confusion, errors, ...) as JSON lines below path, the batch a part of each."""
+    for name, rows in tables.items():
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(f"{path}/{name}")
+
+
 def append_known(cases: DataFrame, path: str, key: str) -> None:
     """Appends cases with an `id` known_001, known_002, ..., on from those that the table has, without gaps.
 
