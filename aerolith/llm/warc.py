@@ -8,8 +8,9 @@ entries in sorted runs of bounded length (URL key, time, page id). The runs are
 range merges its pieces of all runs with a loser tree to its part of the global order of captures.
 
 Edge cases: null html is an empty payload, and equal to an empty one; a null url has an empty key and
-target; a null page id is written as -1, comes before all others and reads back as null; repeated rows
-are captures of their own: the first of an id is the response, the others refer to it.
+target; a null page id is written as `none`, reads back as null, comes before all others in the index
+and is the response only where no row of its payload has an id; repeated rows are captures of their own:
+one of an id is the response, that with the first url, and the others refer to it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,20 @@ BLANK = "\r\n\r\n"
 FILE_RECORDS, RUN_ENTRIES, RANGE_ENTRIES, PER_BOUND = 20_000, 50_000, 50_000, 64
 #: The first capture, and the seconds from one page id to the next: pages have no time of their own.
 EPOCH, STEP_SECONDS = datetime(2024, 1, 1, tzinfo=UTC), 1
-_NONE = -1
+_NONE = "none"
+
+
+def _urn(page_id: int | None) -> str:
+    return f"<urn:page:{_NONE if page_id is None else page_id}>"
+
+
+def _id_of(urn: str) -> int | None:
+    return None if urn[10:-1] == _NONE else int(urn[10:-1])
+
+
+def _place(key: str, captured: str, page_id: int | None) -> tuple[str, str, bool, int]:
+    """The order of captures: by URL key, time and page id, those without an id first."""
+    return key, captured, page_id is not None, page_id or 0
 
 
 def url_key(url: str | None) -> str:
@@ -45,52 +59,51 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(labels))}{'' if port in (':80', ':443') else port}){(path or '/').lower()}{query.lower()}" if host else ""
 
 
-def _date(page_id: int) -> str:
+def _date(page_id: int | None) -> str:
     # page ids beyond what a calendar holds share its last days
-    return (EPOCH + timedelta(seconds=(max(page_id, 0) % 200_000_000_000) * STEP_SECONDS)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return (EPOCH + timedelta(seconds=(max(page_id or 0, 0) % 200_000_000_000) * STEP_SECONDS)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
-    """A record without the blank line that ends it."""
-    kind = "response" if refers_to is None else "revisit"
+def record(page_id: int | None, url: str, payload: bytes, digest: str, size: int, revisit: bool = False, refers_to: int | None = None) -> bytes:
+    """A record without the blank line that ends it; a revisit tells which page's response has its payload."""
+    kind = "revisit" if revisit else "response"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {size}{BLANK}".encode()
-    block = http + (payload if refers_to is None else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {url}", f"WARC-Date: {_date(page_id)}", f"WARC-Payload-Digest: sha1:{digest}"]
-    if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+    block = http + (b"" if revisit else payload)
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Target-URI: {url}", f"WARC-Date: {_date(page_id)}", f"WARC-Payload-Digest: sha1:{digest}"]
+    if revisit:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + BLANK.encode() + block
 
 
 def write(pages: DataFrame, path: str, *, file_records: int = FILE_RECORDS) -> None:
     """Writes a record for each row of pages (page_id, url, html) to gzip archives in path."""
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(_NONE)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), utf8("html").alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), utf8("html").alias("payload"))
     rows = rows.withColumn("key", F.concat(F.sha1("payload"), F.lit("-"), F.octet_length("payload").cast("string")))
-    keys = rows.select("page_id", "key")
-    facts = checkpointed(keys.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    each = rows.groupBy("key", "page_id", "url").agg(F.count(F.lit(1)).alias("c"))
+    response = F.min_by(F.struct("page_id", "url", "c"), F.struct(F.col("page_id").isNull(), "page_id", "url"))
+    facts = each.groupBy("key").agg(F.sum("c").alias("n"), response.alias("r")).where("n > 1")
+    facts = checkpointed(facts.select("key", "n", F.col("r.page_id").alias("first"), F.col("r.url").alias("first_url"), F.col("r.c").alias("copies")))
     joined = join_hot(rows, facts, ["key"], "n", rows.count())
+    own = F.coalesce(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("url") == F.col("first_url")), F.lit(False))
+    columns = ("page_id", "url", "payload", "first", "revisit")
+    marked = joined.where(~own | (F.col("copies") == 1)).withColumn("revisit", F.col("n").isNotNull() & ~own).select(*columns)
+    if not facts.where("copies > 1").isEmpty():
+        # of rows that agree in everything one is the response: they are brought together before they are counted out again
+        twins = joined.where(own & (F.col("copies") > 1)).groupBy("key", "page_id", "url", "first", "copies").agg(F.any_value("payload").alias("payload"))
+        out = twins.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).repartition("key", "i")
+        marked = marked.unionByName(out.withColumn("revisit", F.col("i") > 1).select(*columns))
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page_id, url, payload, first, again in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for page_id, url, payload, first, revisit in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 clean = re.sub(r"[\r\n]+", " ", url)
-                out.append(record(page_id, clean, payload, digest, len(payload), first if first is not None and (first != page_id or again) else None).decode())
+                out.append(record(page_id, clean, payload, digest, len(payload), revisit, first).decode())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    # of repeated rows of one id, one is the first
-    twins = keys.groupBy("key", "page_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").groupBy("key").agg(F.min("page_id").alias("page_id"))
-    firsts = facts.join(twins, "key").where("page_id = first").select("key", "first")
-    if firsts.isEmpty():
-        marked = joined.withColumn("again", F.lit(False))
-    else:
-        from pyspark.sql import Window
-
-        own = joined.join(firsts.withColumnRenamed("first", "_t"), "key", "left")
-        twin = own.where("page_id = _t").withColumn("again", F.row_number().over(Window.partitionBy("key").orderBy("url")) > 1)
-        marked = own.where("_t is null or page_id <> _t").withColumn("again", F.lit(False)).unionByName(twin)
-    marked.select("page_id", "url", "payload", "first", "again").mapInArrow(text, "value string").write.option("maxRecordsPerFile", file_records).option("lineSep", BLANK).option("compression", "gzip").text(path)
+    marked.mapInArrow(text, "value string").write.option("maxRecordsPerFile", file_records).option("lineSep", BLANK).option("compression", "gzip").text(path)
 
 
 def records(pieces_of_file: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, int, dict[str, str], bytes]]:
@@ -145,18 +158,18 @@ def read(spark: SparkSession, path: str, *, run_entries: int = RUN_ENTRIES) -> D
         task, runs, held = TaskContext.get().partitionId(), 0, []
 
         def run() -> pa.RecordBatch:
-            held.sort(key=lambda x: (x[1], x[2], x[0]))
+            held.sort(key=lambda x: _place(x[1], x[2], x[0]))
             columns = [pa.array(c, t) for c, t in zip(zip(*held), types)]
             return pa.RecordBatch.from_arrays([*columns, pa.array([f"{task}-{runs}"] * len(held)), pa.array(np.arange(len(held)))], [*names, "run", "at"])
 
         for file, number, head, block in records(parts()):
-            page_id = int(head["WARC-Record-ID"][10:-1])
+            page_id = _id_of(head["WARC-Record-ID"])
             http, _, payload = block.partition(BLANK.encode())
             digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
             size = int(re.search(rb"Content-Length: (\d+)", http)[1])
             target = None
             if head["WARC-Type"] == "revisit":
-                target = int(head["WARC-Refers-To"][10:-1])
+                target = _id_of(head["WARC-Refers-To"])
             elif len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                 raise ValueError(f"{file}: record {number} doesn't have the payload that it tells of")
             held.append((page_id, url_key(head["WARC-Target-URI"]), head["WARC-Date"], head["WARC-Type"], size, digest, target, file.rsplit("/", 1)[-1], number))
@@ -203,7 +216,7 @@ def capture_index(entries: DataFrame, *, range_entries: int = RANGE_ENTRIES) ->
     n = pieces(total, range_entries)
     share = min(1.0, n * PER_BOUND / max(total, 1))
     looked = entries.where(F.pmod(F.xxhash64("page_id", "url_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("url_key", "captured", "page_id") if n > 1 else None
-    keys = sorted((r.url_key, r.captured, r.page_id) for r in looked.collect()) if looked is not None else []
+    keys = sorted(_place(r.url_key, r.captured, r.page_id) for r in looked.collect()) if looked is not None else []
     bounds = [keys[len(keys) * i // n] for i in range(1, n)] if len(keys) >= n else keys
     of_range = "range int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema)
 
@@ -212,12 +225,12 @@ def capture_index(entries: DataFrame, *, range_entries: int = RANGE_ENTRIES) ->
 
         for batch in batches:
             triples = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("url_key", "captured", "page_id")))
-            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(bounds, x) for x in triples], pa.int32()), *batch.columns], ["range", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(bounds, _place(*x)) for x in triples], pa.int32()), *batch.columns], ["range", *batch.schema.names])
 
     def merge(t: pa.Table) -> pa.Table:
         t = t.sort_by([("run", "ascending"), ("at", "ascending")])
         run = t["run"].to_pylist()
-        keys = list(zip(t["url_key"].to_pylist(), t["captured"].to_pylist(), t["page_id"].to_pylist()))
+        keys = list(map(_place, t["url_key"].to_pylist(), t["captured"].to_pylist(), t["page_id"].to_pylist()))
         cut = [i for i, x in enumerate(run) if not i or x != run[i - 1]] + [len(run)]
         order = [cut[r] + i for r, i in merged_order([keys[a:b] for a, b in zip(cut, cut[1:])])]
         return t.take(pa.array(order)).append_column("rank", pa.array(np.arange(len(order))))
@@ -230,7 +243,7 @@ def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
     found = capture_index(checkpointed(read(spark, path)))
-    return found.select(F.nullif("page_id", F.lit(_NONE).cast("long")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range", "rank")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range", "rank")
 
 
 QUERIES = {"op1_capture_index": op1_capture_index}

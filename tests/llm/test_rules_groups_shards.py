@@ -1,3 +1,6 @@
+import base64
+import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -116,17 +119,41 @@ def test_differencing_beats_dealing_and_keeps_groups(spark):
 
 
 def test_archives_round_trip(spark, tmp_path):
-    pages = [(3, "http://www.A.com/x", "same"), (1, "https://b.org:443/?q=1#f", "same"), (2, None, None), (9, "u", ""), (5, "http://c.de/p", "a\r\n\r\nb\r\n\r\n"), (6, "http://c.de/p", "WARC/1.1\r\n\r\n\r\n"), (7, "http://a.com/x", "é\0"), (None, "n", "alone"), (8, "r", "twice"), (8, "r", "twice")]
+    pages = [(3, "http://www.A.com/x", "same"), (1, "https://b.org:443/?q=1#f", "same"), (2, None, None), (9, "u", ""), (5, "http://c.de/p", "a\r\n\r\nb\r\n\r\n"), (6, "http://c.de/p", "WARC/1.1\r\n\r\n\r\n"), (7, "http://a.com/x", "é\0"), (None, "n", "alone"), (-1, "m", "below"), (None, "m", "below"), (12, "m", "below"), (8, "r", "twice"), (8, "r", "twice")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     warc.write(df, str(tmp_path / "w"), file_records=3)
     found = warc.capture_index(warc.read(spark, str(tmp_path / "w"), run_entries=2), range_entries=3).collect()
-    rows = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in found if r.page_id != 8)
-    assert rows == [(-1, 5, "response", None), (1, 4, "response", None), (2, 0, "response", None), (3, 4, "revisit", 1), (5, 10, "response", None), (6, 14, "response", None), (7, 3, "response", None), (9, 0, "revisit", 2)]
+    rows = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in found if r.page_id != 8), key=str)
+    assert rows == sorted([(None, 5, "response", None), (-1, 5, "response", None), (None, 5, "revisit", -1), (12, 5, "revisit", -1), (1, 4, "response", None), (2, 0, "response", None), (3, 4, "revisit", 1), (5, 10, "response", None), (6, 14, "response", None), (7, 3, "response", None), (9, 0, "revisit", 2)], key=str)
     assert sorted((r.record_type, r.refers_to) for r in found if r.page_id == 8) == [("response", None), ("revisit", 8)]
-    order = [(r.url_key, r.captured, r.page_id) for r in sorted(found, key=lambda r: (r.range, r.rank))]
+    order = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in sorted(found, key=lambda r: (r.range, r.rank))]
     assert order == sorted(order)
 
 
+def test_captures_equal_brute_force(spark, tmp_path):
+    pick = random.Random(4)
+    pages = [(pick.choice([None, -1, *range(30)]), pick.choice([None, "http://a.org/1", "b.org", "http://c.org"]), pick.choice([None, "", "x", "y" * 70_000, "z\r\n\r\n", "hot", "hot", "hot"])) for _ in range(400)] + [(None, "b.org", "no id")] * 3
+    df = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, `KEY2` string")
+    warc.write(df, str(tmp_path / "w"), file_records=50)
+    found = warc.capture_index(warc.read(spark, str(tmp_path / "w"), run_entries=30), range_entries=70).collect()
+    groups = defaultdict(list)
+    for page_id, url, text in pages:
+        groups[(text or "").encode()].append((page_id is None, page_id or 0, url or "", page_id))
+    want = []
+    for payload, own in groups.items():
+        own.sort(key=lambda x: x[:3])
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        want += [(x[3], len(payload), digest, "revisit" if i else "response", own[0][3] if i else None) for i, x in enumerate(own)]
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found], key=str) == sorted(want, key=str)
+    order = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in sorted(found, key=lambda r: (r.range, r.rank))]
+    assert order == sorted(order)
+
+
+def test_no_pages_give_no_captures(spark, tmp_path):
+    warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert warc.capture_index(warc.read(spark, str(tmp_path / "w"))).count() == 0
+
+
 def test_main_text_of_pages():
     page = "<html><body><nav><a href=/>Home</a></nav><article><h1>T &amp; U</h1><p>One <b>two</b>.<p>Three<br>four<script>x()</script></article><div class='comments'>no</div><footer>f</footer></body></html>"
     assert list(html_text.main_texts([page, None, ""], None)) == ["Home" and "T & U One two. Three four", "", ""]
