@@ -285,7 +285,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     n, ranges = pieces(total, chunk_bytes), pieces(total, range_bytes)
     rest = without(docs, text_col, "n_bytes", "n_removed", "n_spans", "kept", "_chunk", "_text", "_id")
     others = rest.columns
-    base = docs.select(*[F.col(f"`{c}`") for c in others], F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("_chunk"))
+    base = docs.select(*[F.col(f"`{c}`") for c in others], F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int").alias("_chunk"))
     chunked = base.repartition(n, "_chunk")
     chunks = chunked.groupBy("_chunk")
 

@@ -54,6 +54,16 @@ def test_against_brute_force_in_one_chunk_and_other_window(spark):
     assert run(spark, rows, window=21, chunk_bytes=4000, range_bytes=4000) == brute(rows, 21)
 
 
+def test_rows_without_an_id_and_of_one_id_against_brute_force(spark):
+    rows = texts(5) + [(None, t) for _, t in texts(6)] + [(7, t) for _, t in texts(9)]
+    # a null id counts as larger than all
+    big = [(float("inf") if d is None else d, t) for d, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = suffix_dedup.dedup(df, chunk_bytes=1500, range_bytes=1500).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()
+    got = sorted((float("inf") if r[0] is None else r[0], *r[1:]) for r in out)
+    assert got == brute(big)
+
+
 def test_every_window_has_one_anchor():
     r = np.random.default_rng(1)
     data = r.integers(97, 100, 5000).astype(np.uint8)
