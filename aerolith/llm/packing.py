@@ -4,8 +4,9 @@ Method: bins are filled one after another. The longest piece left opens a bin; a
 program over a bitset of reachable fill levels, fed with the lengths still available, finds the
 fullest combination for the rest of the bin, and its pieces are removed. Pieces are spread at random
 over groups of bounded size that are packed independently, so the work is spread and a group wastes
-part of one bin of thousands. Which pieces a group has depends on their ids alone, and a group
-orders its pieces, so a repeated task gives the same answer.
+part of one bin of thousands. Which pieces a group has depends on their documents' ids and their
+tokens, so rows that share an id, or have none, spread like others; a group orders its pieces by the
+same, and those that agree in all can take each other's place, so a repeated task gives the same answer.
 
 Edge cases: a null or empty text has its end id only; repeated rows are packed as often as they
 occur; null ids are packed like others.
@@ -140,7 +141,7 @@ def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     cut = token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(cut, groups_for(docs), keys=["doc_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(cut, groups_for(docs), keys=["doc_id", "piece", "length", "ids_crc32"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
