@@ -178,7 +178,9 @@ def write(docs: DataFrame, path: str, *, tokenizer: str = BYTE_LEVEL, end_id: in
             yield row()
         released()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text")).repartitionByRange(n, "_id").sortWithinPartitions("_id")
+    ordered = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    # rows of one id, or of none, are cut by the hash of their text; so ties have an order that a repeated task keeps
+    ordered = ordered.repartitionByRange(n, "_id", "_hash").sortWithinPartitions("_id", "_hash").drop("_hash")
     ordered.mapInArrow(coded, _SCHEMA).write.parquet(path)
 
 

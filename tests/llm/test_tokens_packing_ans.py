@@ -1,11 +1,12 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from aerolith.llm import ans, packing
 from aerolith.llm._tokens import BYTE_LEVEL, WORD_LEVEL, Encoder, encoder, resolved
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 ODD = ["Größe. naïve, ſtr İstanbul!! ĳ ŉ x*** ###a b.c Ça’s élan;: × ÷", "THE End.", "a  b\n\n c \t d ", " \n x", "it's don't 'tis 12345 a1b2", "foo  bar　\n z", "<|endoftext|> x <|startoftext|>", "É́ ß ſ Σ ΣΑΣ", "", " ", "\n", "a\x1cb", "tab\tx\r\ny", "end   ", "​x y", "x\x0b\x0cy  \x0bz", "a\x01b c", "x \x01 y", "  lead", "\0", "word " * 3000]
@@ -85,6 +86,15 @@ def test_documents_are_packed_whole(spark):
     assert packing.packed_documents(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_spread_over_groups(spark):
+    df = spark.createDataFrame([(None, "word " * n) for n in range(1, 300)] + [(5, "other " * n) for n in range(1, 300)], "doc_id long, text string")
+    cut = packing.token_pieces(df).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    rows = packing.pack(cut, 8, keys=["doc_id", "piece", "length", "ids_crc32"]).collect()
+    for d in (None, 5):
+        groups = Counter(r.sequence_id >> 36 for r in rows if r.doc_id == d)
+        assert len(groups) == 8 and max(groups.values()) < 80 and sum(groups.values()) == 299
+
+
 def test_segments_round_trip_and_notice_damage():
     r = np.random.default_rng(5)
     for n, spread in ((1, 1), (5, 3), (1000, 50000), (70000, 300), (50000, 2)):
@@ -117,5 +127,15 @@ def test_files_give_back_every_document(spark, tmp_path):
         assert (rows[d].start, rows[d].n_tokens, bytes(rows[d].ids)) == (start, len(ids), ids.tobytes())
         start += len(ids)
     assert len(rows) == len(docs)
+    same = spark.createDataFrame([(i if i % 3 == 2 else None if i % 3 else 7, f"text {i} " * 40) for i in range(150)], "doc_id long, text string")
+    ans.write(same, str(tmp_path / "c"), part_bytes=4000)
+    found = ans.read(spark, str(tmp_path / "c")).orderBy("start").collect()
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
+    ids = [r.doc_id for r in found]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0)) and ids.count(None) == 50
+    assert sorted(bytes(r.ids) for r in found) == sorted(np.array(t.encode(f"text {i} " * 40, add_special_tokens=False).ids + [2], "<u4").tobytes() for i in range(150))
+    # rows without an id are in many parts
+    parts = spark.read.parquet(str(tmp_path / "c")).selectExpr("part", "hex(null_ids) like 'F%' as nulls").where("nulls").select("part").distinct().count()
+    assert parts > 1
     ans.write(df.limit(0), str(tmp_path / "b"))
     assert ans.read(spark, str(tmp_path / "b")).count() == 0
