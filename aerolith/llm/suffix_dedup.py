@@ -34,6 +34,9 @@ from ._spark import pieces, released, table, trimmed, utf8, without
 WINDOW = 50
 #: Text of a chunk, and of what a key range gets suffixes of, on average.
 CHUNK_BYTES, RANGE_BYTES = 5 << 20, 12 << 20
+#: Larger chunks find more suffixes settled inside and so send fewer, but a worker needs more memory; rows of the
+#: query are an id and a text, those of the pipeline whole documents.
+QUERY_CHUNK_BYTES = 8 << 20
 _LAST = np.iinfo(np.int64).max
 #: Suffixes are ordered by the fingerprint of their first gram, big-endian, then by their bytes:
 #: so ranges of equal width hold equally many of them, whatever the language.
@@ -417,7 +420,7 @@ def _none(fields: list[T.StructField]) -> pa.Table:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup(docs, chunk_bytes=QUERY_CHUNK_BYTES).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
