@@ -86,6 +86,25 @@ def test_near_groups_equal_brute_force_however_blocks_and_groups_are_cut(spark,
     assert len(set(label[:96])) > 8 and len(set(label[96:104])) == 1
 
 
+@pytest.mark.parametrize("block", [100_000, 700])
+def test_near_candidates_come_from_fingerprints_alone(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2, (3000, 256), dtype=np.uint8)
+    # 300 pairs that differ as sets at 0.8 do, and a large group of near copies; all others are unrelated
+    bits[1:600:2] = bits[0:600:2] ^ (rng.random((300, 256)) < 0.15)
+    bits[1000:1400] = bits[1000] ^ (rng.random((400, 256)) < 0.05)
+    values = np.packbits(bits, axis=1).view(np.int64).tolist()
+    prints = spark.createDataFrame([(k + 1, *v) for k, v in enumerate(values)], "fp long, s0 long, s1 long, s2 long, s3 long")
+    label = list(range(3001))
+    for a, b in near_sets.candidates(prints, block=block).collect():
+        x, y = sorted((label[a], label[b]))
+        label = [x if z == y else z for z in label]
+    want = {k: 1000 if 1000 <= k < 1400 else k - k % 2 if k < 600 else k for k in range(3000)}
+    assert [label[k + 1] for k in range(3000)] == [want[k] + 1 for k in range(3000)]
+
+
 def test_near_dedup_of_no_rows_and_with_columns_of_like_names(spark):
     a = prose(1)
     docs = spark.createDataFrame([(1, a, "x", "y", "z"), (2, a, "x", "y", "z"), (None, None, "p", None, "q")], "doc_id long, text string, _gone_id string, _row string, fp string")
