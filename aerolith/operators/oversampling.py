@@ -1,20 +1,20 @@
 """More rows for small classes: new ones between a row and one of its nearest neighbours in its class.
 
-Each class is dealt by a hash to blocks of bounded size, and each block of rows is held against each block of
-the same class, so no class is in one task. How many new rows a row gives, which neighbour and how far towards
+The different vectors of a class are dealt by a hash to blocks of bounded size, and each two blocks of a class meet in a
+task of their own, so no class is in one task, and copies of a vector are searched for and found as one. How many new rows a row gives, which neighbour and how far towards
 it are hashes of its key, so a task run again gives the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NEIGHBOURS, BLOCK = 5, 2048
+NEIGHBOURS, BLOCK = 5, 4096
+#: Queries of a block that are multiplied at once, and parts in which the keys of one vector are gathered.
+STRIP, SALTS = 256, 32
 
 
 def _uniform(*parts: Column) -> Column:
@@ -33,34 +33,67 @@ def numbered(rows: DataFrame, group: str, key: str, name: str = "at", cell: int
     return out.withColumn(name, F.col("_before") + F.col("_in")).drop("_cell", "_g", "_d", "_before", "_in")
 
 
+def _closest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, id, distance) of the k ids closest to each row of x; those of row i of y are ids[first[i] : first[i + 1]].
+
+    Products of matrices choose, with what rounding may hide; distances are then summed as they are written."""
+    own, others = (x**2).sum(1), (y**2).sum(1)
+    d = own[:, None] - 2 * x @ y.T + others[None]
+    d[np.isnan(d)] = np.inf
+    m = min(k, len(y))
+    slack = 1e-9 * (own + np.max(others, initial=0.0, where=np.isfinite(others)))
+    r, c = np.nonzero(d <= (np.partition(d, m - 1, axis=1)[:, m - 1] + slack)[:, None])
+    exact = np.zeros(len(r))
+    for j in range(x.shape[1]):
+        diff = x[r, j] - y[c, j]
+        exact += diff * diff
+    n = first[c + 1] - first[c]
+    at = np.repeat(first[c] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    r, exact, found = np.repeat(r, n), np.repeat(np.sqrt(exact), n), ids[at]
+    order = np.lexsort((found, exact, r))
+    r, exact, found = r[order], exact[order], found[order]
+    best = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+    return r[best], found[best], exact[best]
+
+
 def nearest_in_class(rows: DataFrame, key: str, label: str, vector: str, k: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
     """label, key, neighbour, place (from 1): the k nearest others of each row's class, ties by key. Keys are integers."""
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.select(F.col(label).alias("_l"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"), F.struct(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).alias("_s"))
-    packed = dealt.groupBy("_l", "_b").agg(F.collect_list("_s").alias("_r"))
-    side = lambda n: packed.select("_l", F.col("_b").alias(f"_b{n}"), F.col("_r.k").alias(f"ids{n}"), F.col("_r.v").alias(f"rows{n}"))
-    pairs = side(1).join(side(2).withColumnRenamed("_l", "_m"), F.col("_l").eqNullSafe(F.col("_m")))
-    spread = pairs.select("_l", "ids1", "rows1", "ids2", "rows2")
-
-    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for label_, i1, r1, i2, r2 in zip(*(part[c] for c in ("_l", "ids1", "rows1", "ids2", "rows2"))):
-                x, y, ids, others = np.vstack(r1), np.vstack(r2), np.asarray(i1), np.asarray(i2)
-                order = np.argsort(others, kind="stable")
-                y, others = y[order], others[order]
-                for at in range(0, len(x), 256):
-                    own = x[at : at + 256]
-                    d = ((own[:, None, :] - y[None, :, :]) ** 2).sum(2) if x.shape[1] <= 16 else np.maximum((own**2).sum(1)[:, None] - 2 * own @ y.T + (y**2).sum(1)[None], 0)
-                    d = np.round(d, 9)
-                    d[ids[at : at + 256, None] == others[None]] = np.inf
-                    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    rows_ = np.repeat(np.arange(len(own)), near.shape[1])
-                    found = pd.DataFrame({"label": label_, "key": ids[at : at + 256][rows_], "neighbour": others[near.ravel()], "d": d[rows_, near.ravel()]})
-                    yield found[np.isfinite(found["d"])]
-
-    found = spread.mapInPandas(best, f"label {rows.schema[label].dataType.simpleString()}, key long, neighbour long, d double")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("d", "neighbour"))
-    return found.withColumn("place", place).where(F.col("place") <= k).select("label", "key", "neighbour", "place")
+    own = rows.select(F.col(label).alias("_l"), F.col(key).cast("long").alias("_k"), F.transform(vector, lambda x: x.cast("double")).alias("_v")).where("_k IS NOT NULL AND _v IS NOT NULL")
+    # a vector is known by two hashes
+    own = own.withColumns({"_a": F.xxhash64("_v"), "_h": F.xxhash64(F.lit(1), F.col("_v"))})
+    # itself, as often as it is there, is left out at the end
+    most = k + (own.groupBy("_l", "_k").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1)
+    some = own.groupBy("_l", "_a", "_h", F.pmod(F.xxhash64("_k"), F.lit(SALTS)).alias("_s")).agg(F.first("_v").alias("_v"), F.slice(F.sort_array(F.collect_list("_k")), 1, most).alias("_i"))
+    vectors = some.groupBy("_l", "_a", "_h").agg(F.first("_v").alias("_v"), F.slice(F.sort_array(F.flatten(F.collect_list("_i"))), 1, most).alias("_i"))
+    blocks = vectors.groupBy(F.col("_l").alias("_m")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    dealt = vectors.join(blocks, F.col("_l").eqNullSafe(F.col("_m"))).withColumn("_b", F.pmod("_a", "_n").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    pairs = dealt.select("_l", F.least("_b", "_o").alias("_p"), F.greatest("_b", "_o").alias("_q"), "_b", "_a", "_h", "_v", "_i")
+
+    def best(t: pa.Table) -> pa.Table:
+        lists = t["_i"].combine_chunks()
+        values, keys, b = t["_v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1), lists.flatten().to_numpy(), t["_b"].to_numpy()
+        first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        p, q = np.flatnonzero(b == t["_p"][0].as_py()), np.flatnonzero(b == t["_q"][0].as_py())
+        out = []
+        for x, y in [(p, q)] if t["_p"][0] == t["_q"][0] else [(p, q), (q, p)]:
+            if not len(x) or not len(y):
+                continue
+            n = first[y + 1] - first[y]
+            bounds = np.concatenate(([0], np.cumsum(n)))
+            ids = keys[np.repeat(first[y] - bounds[:-1], n) + np.arange(int(bounds[-1]))]
+            for i in range(0, len(x), STRIP):
+                r, found, d = _closest(values[x[i : i + STRIP]], values[y], ids, bounds, most)
+                out.append((x[i + r], found, d))
+        at, found, d = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"_l": t["_l"].combine_chunks().take(pa.array(at)), "_a": t["_a"].to_numpy()[at], "_h": t["_h"].to_numpy()[at], "neighbour": found, "d": d})
+
+    schema = pairs.select("_l", "_a", "_h").schema.add("neighbour", "long").add("d", "double")
+    found = pairs.groupBy("_l", "_p", "_q").applyInArrow(best, schema)
+    near = found.groupBy("_l", "_a", "_h").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "neighbour"))), 1, most).alias("_near"))
+    near = near.withColumnRenamed("_l", "_m")
+    each = own.drop("_v").join(near, ["_a", "_h"]).where(F.col("_l").eqNullSafe(F.col("_m"))).select("_l", "_k", F.explode(F.slice(F.filter("_near", lambda x: x["neighbour"] != F.col("_k")), 1, k)).alias("_x"))
+    place = F.row_number().over(Window.partitionBy("_k").orderBy("_x.d", "_x.neighbour"))
+    return each.withColumn("place", place).where(F.col("place") <= k).select(F.col("_l").alias("label"), F.col("_k").alias("key"), F.col("_x.neighbour").alias("neighbour"), "place")
 
 
 def oversampled(rows: DataFrame, key: str, label: str, vector: str, k: int = NEIGHBOURS, seed: int = 42) -> DataFrame:

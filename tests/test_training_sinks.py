@@ -106,6 +106,22 @@ def test_neighbours_and_new_rows(spark):
     assert sorted(map(str, new)) == sorted(map(str, oversampling.oversampled(df.repartition(7), "id", "class", "v", k=4).where("copy > 0").collect()))
 
 
+def test_neighbours_are_ordered_by_the_exact_distance_and_copies_count_by_id(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    # distances far below 1e-9 when squared, copies of one vector, and a class of one
+    rows = [(k, k % 2, [1 + 1e-6 * rng.random() for _ in range(20)]) for k in range(60)]
+    rows += [(100 + k, 0, rows[0][2]) for k in range(40)] + [(200, 7, [1.0] * 20)]
+    df = spark.createDataFrame(rows, "id long, class int, v array<double>")
+    want = set()
+    for i, c, v in rows:
+        near = sorted((math.sqrt(sum((a - b) * (a - b) for a, b in zip(v, w))), j) for j, d, w in rows if d == c and j != i)[:3]
+        want |= {(c, i, j, place + 1) for place, (_, j) in enumerate(near)}
+    assert {tuple(r) for r in oversampling.nearest_in_class(df, "id", "class", "v", k=3, block=11).collect()} == want
+
+
 def test_numbers_have_no_gaps(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 3)
     got = oversampling.numbered(df, "g", "id", cell=90).groupBy("g").agg(F.min("at").alias("a"), F.max("at").alias("z"), F.countDistinct("at").alias("n"), F.count(F.lit(1)).alias("m")).collect()
