@@ -106,6 +106,15 @@ def test_neighbours_and_new_rows(spark):
     assert sorted(map(str, new)) == sorted(map(str, oversampling.oversampled(df.repartition(7), "id", "class", "v", k=4).where("copy > 0").collect()))
 
 
+def test_texts_are_read_once_for_all_fits(spark, sf_dir):
+    from aerolith.plans import learn
+
+    train, test = learn._fitted(spark, sf_dir)
+    for rows in (train, test):
+        assert "InMemoryTableScan" in rows._jdf.queryExecution().executedPlan().toString()
+    assert train.count() + test.count() == learn._texts(spark, sf_dir).count()
+
+
 def test_neighbours_are_ordered_by_the_exact_distance_and_copies_count_by_id(spark):
     import math
     import random
