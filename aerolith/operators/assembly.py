@@ -130,8 +130,9 @@ def boot(messages: DataFrame) -> DataFrame:
     text = F.coalesce(F.try_element_at("fields", F.lit("Message")), F.lit(""))
     kind = F.coalesce(*[F.when(F.lower(text).contains(word), name) for word, name in facts.BOOT_WORDS.items()])
     words = F.split(text, " +")
-    own = messages.where("msg_type = 'MSG'").select("log_id", "seq", kind.alias("vehicle"), F.when(F.lower(words[0]).rlike("|".join(facts.BOOT_WORDS)), F.try_element_at(words, F.lit(2))).alias("version")).where("vehicle is not null")
-    return own.groupBy("log_id").agg(F.max_by(F.struct("vehicle", "version"), "seq").alias("_boot"))
+    own = messages.where("msg_type = 'MSG'").select("log_id", "seq", kind.alias("vehicle"), F.when(F.lower(words[0]).rlike("|".join(facts.BOOT_WORDS)), F.try_element_at(words, F.lit(2))).alias("version"))
+    # no filter: pushed below, it would make each text's map of fields anew for every word
+    return own.groupBy("log_id").agg(F.max_by(F.struct("vehicle", "version"), F.when(F.col("vehicle").isNotNull(), F.col("seq"))).alias("_boot"))
 
 
 @lru_cache
