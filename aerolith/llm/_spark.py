@@ -43,10 +43,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bucketed(df: DataFrame, column: str, n: int, name: str) -> DataFrame:
+#: Of tables whose rows are packed and large: sizes are looked at after each row, as a reader holds a row group at once and a writer, too.
+LARGE_ROWS = {"compression": "none", "parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def bucketed(df: DataFrame, column: str, n: int, name: str, options: dict | None = None) -> DataFrame:
     """df as a written table of n buckets by column: grouping by it afterwards moves none of its rows."""
     spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, column).option("path", shared_folder(spark, name)).saveAsTable(table_name)
+    df.write.options(**(options or {})).bucketBy(n, column).option("path", shared_folder(spark, name)).saveAsTable(table_name)
     return spark.table(table_name)
 
 
@@ -66,6 +70,21 @@ def forgotten(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """What runs inside moves between JVM and workers in Arrow batches of about this size, not of up to 64 MB.
+
+    Of a batch each task holds its buffers in the JVM, twice while they grow, and a copy in the worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def trimmed(work):
     """work, a function of Arrow tables, after which its worker gives memory back."""
 

@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of words `[^\x20\x09-\x0D]+`, and of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`.
 NOT_SPACE = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -40,6 +41,16 @@ def batches(texts: list[bytes], size: int = BATCH):
         i = j
 
 
+def sliced(batch: pa.RecordBatch, size: int = BATCH):
+    """Ids and texts, the first two columns of an Arrow batch, as batches cuts them: no more than a cut is copied at once."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right")))
+        yield tuple(batch.column(k).slice(i, j - i).to_pylist() for k in (0, 1))
+        i = j
+
+
 def words(texts: list[bytes], kind: np.ndarray, lower: bool) -> Words:
     bounds = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)

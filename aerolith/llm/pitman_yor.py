@@ -26,7 +26,7 @@ documents all words are spelled by the uniform distribution.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import bucketed, checkpointed, forgotten, pieces, released, table, trimmed, utf8
-from ._words import NOT_SPACE, batches, by_text, words
+from ._spark import LARGE_ROWS, bucketed, checkpointed, forgotten, pieces, released, small_batches, table, trimmed, utf8
+from ._words import NOT_SPACE, by_text, sliced, words
 
 FOLDS, HELD_OUT = 5, 1
 CHUNK_BYTES, BUCKET_BYTES = 14 << 20, 18 << 20
@@ -90,7 +90,7 @@ def tables(customers: np.ndarray, discount: float, strength: np.ndarray, rng: np
     with a / (a + s + 1 - discount * t) and so on: how many come until one does is beta-geometric, and drawn as such
     for all dishes at once. The few with most tables are followed customer by customer, which is the same law.
     """
-    out = np.minimum(customers, 1).astype(np.int64)
+    out = (customers > 0).astype(np.int64)
     at = np.flatnonzero(customers > 1)
     seated = np.ones(len(at))
     with np.errstate(divide="ignore", over="ignore"):
@@ -162,16 +162,19 @@ def discount_of(counts: np.ndarray) -> float:
 
 
 def spelled(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of all words with their ends, and where each word's begin."""
+    """Cells of all words with their ends, and where each word's begin; 257**3 cells fit 32 bits."""
     ends = np.cumsum(lengths + 1)
     begins = np.concatenate(([0], ends))
-    symbol = np.full(int(begins[-1]), START, np.int64)
+    symbol = np.full(int(begins[-1]), START, np.int32)
     symbol[np.arange(len(text)) + np.repeat(np.arange(len(lengths)), lengths)] = text
-    one = np.concatenate(([START], symbol[:-1]))
-    two = np.concatenate(([START, START], symbol[:-2]))[: len(symbol)]
+    one, two = np.full_like(symbol, START), np.full_like(symbol, START)
+    one[1:], two[2:] = symbol[:-1], symbol[:-2]
     # before a word stands the end of the one before it, which is START; two back from its first byte is START by rule
     two[begins[:-1]] = START
-    return (two * CONTEXTS + one) * CONTEXTS + symbol, begins
+    for x in (one, symbol):
+        two *= CONTEXTS
+        two += x
+    return two, begins
 
 
 class State:
@@ -183,7 +186,7 @@ class State:
 
 def packed_pairs(text, lengths, contexts, word, context, count) -> bytes:
     """A bucket's arrays; word is sorted, and kept by its steps."""
-    return pack(text, lengths.astype(np.uint32), contexts, *[x.astype(np.uint32) for x in (np.diff(word, prepend=0), context, count)])
+    return pack(text, lengths.astype(np.uint32), contexts, *[x.astype(np.uint32) for x in (np.diff(word, prepend=word.dtype.type(0)), context, count)])
 
 
 class Bucket:
@@ -195,8 +198,8 @@ class Bucket:
     @staticmethod
     def of(packed: bytes) -> Bucket:
         text, lengths, contexts, *pairs = unpack(packed, np.uint8, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32)
-        step, context, count = (x.astype(np.int64) for x in pairs)
-        return Bucket(text, lengths.astype(np.int64), contexts, np.cumsum(step), context, count)
+        step, context, count = pairs
+        return Bucket(text, lengths.astype(np.int64), contexts, np.cumsum(step, dtype=np.int32), context.astype(np.int32), count)
 
     def packed(self) -> bytes:
         return packed_pairs(self.text, self.lengths, self.contexts, self.word, self.context, self.count)
@@ -207,7 +210,7 @@ class Bucket:
 
     @cached_property
     def different(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(spelled(self.text, self.lengths.astype(np.int64))[0], return_inverse=True)
+        return places(spelled(self.text, self.lengths.astype(np.int64))[0])
 
     def different_cells(self) -> tuple[np.ndarray, np.ndarray]:
         return self.different
@@ -219,20 +222,35 @@ class Bucket:
         spelled_ = np.exp(np.add.reduceat(logs, self.begins[:-1])) if len(self.lengths) else np.zeros(0)
         return np.where(np.bincount(self.word, self.count, len(self.lengths)) > 0, spelled_, s.unseen)
 
-    def sweeps(self, s: State, n1: np.ndarray, t1: np.ndarray, n: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """n seatings: tables of pairs, tables of words, probability of each pair; n1, t1: customers and tables of the contexts."""
+    def sweeps(self, s: State, n1: np.ndarray, t1: np.ndarray, n: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[], np.ndarray]]]:
+        """n seatings: tables of pairs, tables of words, what gives the probability of each pair; n1, t1: customers and tables of the contexts."""
         d1, d0 = s.discounts
         base = self.base(s)
         customers = np.bincount(self.word, np.minimum(self.count, 1), len(self.lengths)).astype(np.int64)
         word_tables = np.minimum(customers, 1)
-        new_context = STRENGTH + d1 * t1[self.context]
+        new_context = d1 * t1[self.context]
+        new_context += STRENGTH
+
+        def likely() -> np.ndarray:
+            out = d1 * own
+            np.subtract(self.count, out, out=out)
+            part = p[self.word]
+            part *= new_context
+            out += part
+            np.add(n1[self.context], STRENGTH, out=part)
+            out /= part
+            return out
+
         for _ in range(n):
             p = (customers - d0 * word_tables + (STRENGTH + d0 * s.t0) * base) / (STRENGTH + s.n0)
-            own = tables(self.count, d1, new_context * p[self.word], rng)
+            strength = p[self.word]
+            strength *= new_context
+            own = tables(self.count, d1, strength, rng)
+            del strength
             customers = np.bincount(self.word, own, len(self.lengths)).astype(np.int64)
             word_tables = tables(customers, d0, (STRENGTH + d0 * s.t0) * base, rng)
             p = (customers - d0 * word_tables + (STRENGTH + d0 * s.t0) * base) / (STRENGTH + s.n0)
-            yield own, word_tables, (self.count - d1 * own + new_context * p[self.word]) / (STRENGTH + n1[self.context])
+            yield own, word_tables, likely
 
 
 # ---------------------------------------------------------------- chunks
@@ -243,6 +261,28 @@ def pairs_of(tokens: np.ndarray) -> np.ndarray:
     return tokens.astype(np.int64) << 32 | np.roll(tokens, 1)
 
 
+def counted(tokens: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of pairs_of in order, as tokens and contexts, and how often each occurs where trained is set.
+
+    One array is sorted where it lies: a token has 32 bits of it, its context 31, and trained the last one.
+    """
+    keys = tokens.astype(np.int64)
+    keys <<= 32
+    low = np.roll(tokens, 1)
+    low <<= np.uint32(1)
+    low |= trained
+    keys |= low
+    del low
+    keys.sort()
+    trained = (keys & 1).astype(np.uint8)
+    keys >>= 1
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    keys = keys[at]
+    return (keys >> 31).astype(np.uint32), (keys & 0x7FFFFFFF).astype(np.uint32), np.add.reduceat(trained, at, dtype=np.uint32)
+
+
 class Gathered:
     """The documents of one chunk: tokens by rank, since frequent ones then take few bytes; pairs by bucket."""
 
@@ -264,10 +304,15 @@ class Gathered:
         self.tokens.append(token.astype(np.uint32))
         self.size += len(w.data) + 16 * len(texts)
 
-    def rows(self, chunk: int) -> pa.RecordBatch:
+    def rows(self, chunk: int) -> pa.Table:
+        return pa.Table.from_batches(self.parts(chunk))
+
+    def parts(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        """The chunk's rows one by one, each packed when it is asked for; what was gathered is given up on the way."""
         import xxhash
 
         forms = list(self.forms)
+        self.forms.clear()
         hashed = np.fromiter(map(xxhash.xxh64_intdigest, forms), np.uint64, len(forms))
         bucket = (hashed % np.uint64(self.n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -280,21 +325,19 @@ class Gathered:
         often = np.argsort(-np.bincount(tokens, minlength=len(forms)), kind="stable").astype(np.uint32)
         rank = np.empty(len(forms), np.uint32)
         rank[often] = np.arange(len(forms))
-        rows = [(chunk, -1, pack(counts.astype(np.int64), out, often, rank[tokens]), self.ids)]
-        pairs, at = places(pairs_of(tokens))
+        row = lambda bucket, packed, ids: pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([packed], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], ["chunk", "bucket", "packed", "ids"])
+        yield row(-1, pack(counts.astype(np.int64), out, often, rank[tokens]), self.ids)
+        del often, rank
+        word, context, trained = counted(tokens, np.repeat(~out, counts))
         del tokens
-        trained = np.bincount(at, np.repeat(~out, counts), len(pairs)).astype(np.int64)
-        del at
-        word, context, bucket = pairs >> 32, hashed[order[pairs & 0xFFFFFFFF]], bucket[order]
+        bucket = bucket[order]
         sizes = np.array([len(x) for x in forms], np.int64)[order]
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
-            i, j = np.searchsorted(word, [a, z])
+            i, j = np.searchsorted(word, np.array([a, z], np.uint32))
             text = np.frombuffer(b"".join(forms[k] for k in order[a:z].tolist()), np.uint8)
-            contexts, at = np.unique(context[i:j], return_inverse=True)
-            rows.append((chunk, int(bucket[a]), packed_pairs(text, sizes[a:z], contexts, word[i:j] - a, at, trained[i:j]), None))
-        c = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.list_(pa.int64()))], ["chunk", "bucket", "packed", "ids"])
+            contexts, at = np.unique(hashed[order[context[i:j]]], return_inverse=True)
+            yield row(int(bucket[a]), packed_pairs(text, sizes[a:z], contexts, word[i:j] - np.uint32(a), at, trained[i:j]), None)
 
 
 def gathered(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
@@ -307,18 +350,14 @@ def gathered(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
         first, done = TaskContext.get().partitionId() << 24, 0
         held = Gathered(n_buckets)
         for batch in rows:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                held.add(ids[a:b], texts[a:b])
+            for ids, texts in sliced(batch):
+                held.add(ids, texts)
+                del ids, texts
                 if held.size >= chunk_bytes:
-                    found, done, held = held.rows(first + done), done + 1, Gathered(n_buckets)
-                    # one by one, so that no more than a row of a chunk is copied at once
-                    yield from (found.slice(i, 1) for i in range(found.num_rows))
-                    del found
+                    yield from held.parts(first + done)
+                    done, held = done + 1, Gathered(n_buckets)
         if held.ids:
-            found = held.rows(first + done)
-            yield from (found.slice(i, 1) for i in range(found.num_rows))
-            del found
+            yield from held.parts(first + done)
         del held
         released()
 
@@ -326,7 +365,7 @@ def gathered(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
     return rows.withColumn("key", F.when(F.col("bucket") < 0, F.col("chunk")).otherwise(F.col("bucket").cast("long")))
 
 
-def joined(packed: list[bytes]) -> tuple[Bucket, list[np.ndarray], list[np.ndarray]]:
+def joined(packed: Iterable[bytes]) -> tuple[Bucket, list[np.ndarray], list[np.ndarray]]:
     """All parts of a bucket as one; for each part its words and its pairs in the whole."""
     forms: dict[bytes, int] = {}
     contexts, of_words, of_pairs, counts, begin = [], [], [], [], 0
@@ -340,7 +379,11 @@ def joined(packed: list[bytes]) -> tuple[Bucket, list[np.ndarray], list[np.ndarr
         counts.append(p.count.astype(np.uint32))
         contexts.append(p.contexts)
         begin += len(p.contexts)
-    contexts, at = places(np.concatenate(contexts))
+    del p, x
+    every = np.concatenate(contexts)
+    contexts.clear()
+    contexts, at = places(every)
+    del every
     bounds = np.cumsum([0, *(len(x) for x in counts)])
     keys = np.empty(bounds[-1], np.int64)
     for i, (word, context) in enumerate(of_pairs):
@@ -348,8 +391,8 @@ def joined(packed: list[bytes]) -> tuple[Bucket, list[np.ndarray], list[np.ndarr
     of_pairs.clear()
     pairs, inverse = places(keys)
     del keys, at
-    count = np.bincount(inverse, np.concatenate(counts), len(pairs)).astype(np.int64)
-    whole = Bucket(np.frombuffer(b"".join(forms), np.uint8), np.array([len(x) for x in forms], np.int64), contexts, pairs >> 32, pairs & 0xFFFFFFFF, count)
+    count = np.bincount(inverse, np.concatenate(counts), len(pairs)).astype(np.uint32)
+    whole = Bucket(np.frombuffer(b"".join(forms), np.uint8), np.array([len(x) for x in forms], np.int64), contexts, (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), count)
     return whole, of_words, np.split(inverse, bounds[1:-1])
 
 
@@ -465,23 +508,28 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)) + 16)).first()[0]
     n_buckets = pieces(total, bucket_bytes)
     found = gathered(docs.select(F.col(id_col).cast("long"), utf8(text_col).alias("_text")), n_buckets, chunk_bytes)
-    rows = bucketed(found.repartition(n_buckets, "key"), "key", n_buckets, "pitman_yor_rows")
+    with small_batches(docs.sparkSession):
+        rows = bucketed(found.repartition(n_buckets, "key"), "key", n_buckets, "pitman_yor_rows", LARGE_ROWS)
     forgotten(docs)
     asked = rows.where("bucket >= 0").select("key", "bucket", "chunk", "packed")
 
     def merge(t: pa.Table) -> pa.Table:
-        b, _, _ = joined(t["packed"].to_pylist())
+        b, _, _ = joined(x.as_py() for x in t["packed"])
         return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "packed": pa.array([b.packed()], pa.binary())})
 
-    buckets = bucketed(asked.groupBy("key").applyInArrow(trimmed(merge), "bucket int, packed binary"), "bucket", n_buckets, "pitman_yor_buckets")
-    state, totals, n, v = fitted(buckets, n_buckets, seed)
+    with small_batches(docs.sparkSession):
+        buckets = bucketed(asked.groupBy("key").applyInArrow(trimmed(merge), "bucket int, packed binary"), "bucket", n_buckets, "pitman_yor_buckets", LARGE_ROWS)
+        state, totals, n, v = fitted(buckets, n_buckets, seed)
 
     def answer(t: pa.Table, around: pa.Table) -> pa.Table:
-        b, of_words, of_pairs = joined(t["packed"].to_pylist())
+        b, of_words, of_pairs = joined(x.as_py() for x in t["packed"])
         mean = np.zeros(len(b.count))
-        for i, (_, _, p) in enumerate(b.sweeps(state, *_totals_of(around), BURN + SAMPLES, np.random.default_rng([seed, t["bucket"][0].as_py()]))):
+        for i, (_, _, likely) in enumerate(b.sweeps(state, *_totals_of(around), BURN + SAMPLES, np.random.default_rng([seed, t["bucket"][0].as_py()]))):
             if i >= BURN:
-                mean += p / SAMPLES
+                p = likely()
+                p /= SAMPLES
+                mean += p
+                del p
         logs = np.log10(np.maximum(mean, 1e-300)).astype(np.float32)
         counts = np.bincount(b.word, b.count, len(b.lengths)).astype(np.int64)
         packed = [pack(logs[q], counts[w]) for w, q in zip(of_words, of_pairs)]
