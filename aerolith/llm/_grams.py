@@ -92,7 +92,7 @@ def _anchors_of_block(data: np.ndarray, bounds: np.ndarray, window: int) -> Anch
     return Anchors(at[index[begins]], starts[begins], starts[ends])
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, window: int, block: int = 1 << 20) -> Anchors:
+def anchors(data: np.ndarray, bounds: np.ndarray, window: int, block: int = 1 << 18) -> Anchors:
     """Anchors of the texts data[bounds[i]:bounds[i+1]]; no window crosses a bound."""
     parts, i = [], 0
     while i < len(bounds) - 1:
@@ -115,7 +115,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def fingerprints(data: np.ndarray, at: np.ndarray, k: int, block: int = 1 << 17) -> np.ndarray:
+def fingerprints(data: np.ndarray, at: np.ndarray, k: int, block: int = 1 << 14) -> np.ndarray:
     """64-bit fingerprints of the k bytes at each position."""
     width = -(-k // 8) * 8
     out = np.empty(len(at), np.uint64)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, join_hot, released, rows_left, table, utf8, without
+from ._spark import checkpointed, join_hot, released, rows_left, small_batches, table, utf8, without
 from ._words import NOT_SPACE, batches, by_text, words
 
 #: A rule: the two counts whose ratio it looks at, from where a document fails, and from where by far.
@@ -150,7 +150,8 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep; rows of one id are judged each by its own text. Edge cases are as above;
     other columns of docs, whatever their names, stay as they are."""
-    judged_ = judged(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_gone_hash")))
+    with small_batches(spark):
+        judged_ = judged(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_gone_hash")))
     return rows_left(docs, judged_.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), "_gone_hash"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import near_sets
 from ._links import by_component, distance, forest_within
-from ._spark import checkpointed, released, rows_left, table, utf8
+from ._spark import checkpointed, released, rows_left, small_batches, table, utf8
 from ._words import NOT_SPACE, batches, words
 
 SEED, RADIUS, WORDS = 42, 4, 4
@@ -161,7 +161,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of its rows of equal id and text, one. A row is known by its id and the hash of its text, so rows that
     merely share an id, or have none, are judged each by its own text. Other columns stay as they are."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    found = checkpointed(near_sets.grouped(docs.select(key.alias("_key"), "text")))
+    with small_batches(spark):
+        found = checkpointed(near_sets.grouped(docs.select(key.alias("_key"), "text")))
     twins = found.groupBy("_key").count().where("count > 1").select(F.col("_key.id").alias("_gone_id"), F.col("_key.hash").alias("_gone_hash"))
     gone = found.where("_key <> component_id").select(F.col("_key.id").alias("_gone_id"), F.col("_key.hash").alias("_gone_hash"))
     return rows_left(docs, gone, twins=twins)

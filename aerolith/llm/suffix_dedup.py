@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._grams import Anchors, anchors, fingerprints, gram_length
+from ._grams import Anchors, _slide, anchors, fingerprints, gram_length
 from ._spark import pieces, released, table, trimmed, utf8, without
 
 WINDOW = 50
@@ -37,6 +37,8 @@ CHUNK_BYTES, RANGE_BYTES = 5 << 20, 12 << 20
 #: Larger chunks find more suffixes settled inside and so send fewer, but a worker needs more memory; rows of the
 #: query are an id and a text, those of the pipeline whole documents.
 QUERY_CHUNK_BYTES = 8 << 20
+#: Suffixes whose bytes a chunk has spread out at once, and bytes of texts that are counted at once.
+PART, BLOCK = 1 << 15, 1 << 18
 _LAST = np.iinfo(np.int64).max
 #: Suffixes are ordered by the fingerprint of their first gram, big-endian, then by their bytes:
 #: so ranges of equal width hold equally many of them, whatever the language.
@@ -63,23 +65,20 @@ class Chunk:
         self.anchors = anchors(self.data, self.bounds, window)
         self.keys = fingerprints(self.data, self.anchors.at, gram_length(window))
 
-    def only(self, kept: np.ndarray) -> None:
-        self.anchors, self.keys = Anchors(*(x[kept] for x in self.anchors)), self.keys[kept]
-
-    def suffixes(self) -> Suffixes:
-        a, w = self.anchors, self.window
+    def suffixes(self, picked: np.ndarray) -> Suffixes:
+        a, w = Anchors(*(x[picked] for x in self.anchors)), self.window
         back = w - gram_length(w)
         padded = np.concatenate((np.zeros(back, np.uint8), self.data, np.zeros(w, np.uint8)))
         right, left = np.empty((len(a.at), w), np.uint8), np.empty((len(a.at), back), np.uint8)
-        for i in range(0, len(a.at), 1 << 16):
-            s = slice(i, i + (1 << 16))
+        for i in range(0, len(a.at), 1 << 12):
+            s = slice(i, i + (1 << 12))
             around = padded[a.at[s, None] + np.arange(back + w)]
             left[s], right[s] = around[:, :back], around[:, back:]
         n_right, n_left = a.last + w - a.at, a.at - a.first
         right[np.arange(w) >= n_right[:, None]] = 0
         left[np.arange(back)[::-1] >= n_left[:, None]] = 0
         owner = np.searchsorted(self.bounds, a.at, "right") - 1
-        return Suffixes(self.keys, right, n_right.astype(np.uint8), left, n_left.astype(np.uint8), self.ids[owner])
+        return Suffixes(self.keys[picked], right, n_right.astype(np.uint8), left, n_left.astype(np.uint8), self.ids[owner])
 
 
 class Suffixes:
@@ -252,6 +251,15 @@ def _cuts(sorted_keys: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
     yield from zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)])
 
 
+def _parts(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of neighbouring pieces, whose bounds the edges are, together: of no more than most, but for a larger piece."""
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + most, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def _ids(column) -> np.ndarray:
     return np.asarray(column.fill_null(_LAST).to_numpy(), np.int64)
 
@@ -267,20 +275,47 @@ def _shared(chunk: Chunk, marks: pa.Table, n: int) -> np.ndarray:
     return flags[inverse]
 
 
-def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """gone, and the other bytes of each UTF-8 character that it cuts."""
-    if not gone.any():
-        return gone
-    character = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)
-    cut = np.zeros(int(character[-1]) + 1, bool)
-    cut[character[gone]] = True
-    return cut[character]
+def _gone(spots: np.ndarray, masks: np.ndarray, length: int, window: int) -> np.ndarray:
+    """Which of the bytes are in a window that masks tells of: bit d of a mask is the window d bytes before its spot."""
+    at = np.flatnonzero(masks)
+    spots, masks = spots[at], masks[at]
+    begins = np.zeros(length + window - 1, bool)
+    for d in range(window - gram_length(window) + 1):
+        begins[spots[(masks >> np.uint64(d)) & np.uint64(1) > 0] - d + window - 1] = True
+    return _slide(begins, window, np.logical_or)
+
+
+def _tally(marked: np.ndarray, bounds: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """How many bytes of each text are marked."""
+    out = np.zeros(len(bounds) - 1, np.int64)
+    for i, j in _parts(bounds, block):
+        own = marked[bounds[i] : bounds[j]]
+        full = np.flatnonzero(np.diff(bounds[i : j + 1])) + i
+        if len(full):
+            out[full] = np.add.reduceat(own, bounds[full] - bounds[i], dtype=np.int32)
+    return out
+
+
+def _whole_characters(data: np.ndarray, gone: np.ndarray, bounds: np.ndarray, block: int = BLOCK) -> None:
+    """Adds to gone the other bytes of each UTF-8 character that it cuts."""
+    for i, j in _parts(bounds, block):
+        a, b = int(bounds[i]), int(bounds[j])
+        own = gone[a:b]
+        if own.any():
+            first = (data[a:b] & 0xC0) != 0x80
+            begins = bounds[i:j] - a
+            first[begins[begins < b - a]] = True
+            character = np.cumsum(first, dtype=np.int32)
+            cut = np.zeros(int(character[-1]) + 1, bool)
+            cut[character[own]] = True
+            own[:] = cut[character]
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES, characters: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES, part: int = PART, characters: bool = False) -> DataFrame:
     """docs without text_col, and n_bytes, n_removed, n_spans (long), kept (binary: the bytes that stay).
 
     range_bytes: text whose suffixes a key range gets on average; runs are cut by ranges, not by chunks.
+    part: suffixes that a chunk sorts at once; those of one key range, or of one key, stay together.
     characters: kept leaves out the rest of a character that removal cuts in two; the counts don't
     change. Columns of docs that have one of these names are left out.
     """
@@ -302,7 +337,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     @trimmed
     def in_many(t: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
-        every = np.sort(np.concatenate(lists))
+        every = np.concatenate(lists)
+        every.sort()
         twice = every[:-1][every[1:] == every[:-1]]
         bits = []
         for x in lists:
@@ -313,30 +349,31 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
 
     marks = chunks.applyInArrow(keys_of, "range int, _chunk int, keys binary").groupBy("range").applyInArrow(in_many, "_chunk int, range int, bits binary")
 
-    def run_of(chunk: Chunk, shared: np.ndarray) -> tuple[Suffixes, np.ndarray, np.ndarray]:
-        """The suffixes that go out, each once and with its smallest document; which anchors, in which order and as which entry."""
+    def run_of(chunk: Chunk, shared: np.ndarray) -> Iterator[tuple[Suffixes, np.ndarray, np.ndarray]]:
+        """By parts of whole key ranges: the suffixes that go out, each once and with its smallest document; which anchors, in which order and as which entry."""
         picked = np.flatnonzero(shared)
-        all_keys, all_anchors = chunk.keys, chunk.anchors
-        chunk.only(picked)
-        s = chunk.suffixes()
-        chunk.keys, chunk.anchors = all_keys, all_anchors
-        order = s.order()
-        s = s.take(order)
-        first = ~s.same_as_before()
-        entry = np.cumsum(first) - 1
-        starts = np.flatnonzero(first)
-        run = s.take(starts)
-        if len(starts):
+        picked = picked[np.argsort(chunk.keys[picked], kind="stable")]
+        edges = np.array([0, *(b for _, _, b in _cuts(chunk.keys[picked], ranges))])
+        for i, j in _parts(edges, part):
+            own = picked[edges[i] : edges[j]]
+            s = chunk.suffixes(own)
+            order = s.order()
+            s = s.take(order)
+            first = ~s.same_as_before()
+            starts = np.flatnonzero(first)
+            run = s.take(starts)
             run.docs = np.minimum.reduceat(s.docs, starts)
-        return run, picked[order], entry
+            yield run, own[order], np.cumsum(first) - 1
 
     @trimmed
     def runs_of(t: pa.Table, m: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, int, bytes]] = []
         if t.num_rows and m.num_rows:
             chunk = Chunk(t["_text"], _ids(t["_id"]), window)
-            run, _, _ = run_of(chunk, _shared(chunk, m, ranges))
-            rows = [(r, t["_chunk"][0].as_py(), a, pack_run(run.take(np.arange(a, b)))) for r, a, b in _cuts(run.keys, ranges)]
+            done = 0
+            for run, _, _ in run_of(chunk, _shared(chunk, m, ranges)):
+                rows += [(r, t["_chunk"][0].as_py(), done + a, pack_run(run.take(np.arange(a, b)))) for r, a, b in _cuts(run.keys, ranges)]
+                done += len(run)
         cols = list(zip(*rows)) or [[], [], [], []]
         return pa.table({"range": pa.array(cols[0], pa.int32()), "_chunk": pa.array(cols[1], pa.int32()), "first": pa.array(cols[2], pa.int64()), "run": pa.array(cols[3], pa.binary())})
 
@@ -369,41 +406,48 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         shared = _shared(chunk, told.filter(pa.array(kinds >= 0)), ranges) if told.num_rows else np.zeros(len(chunk.keys), bool)
         masks = np.zeros(len(chunk.keys), np.uint64)
         if shared.any():
-            run, at, entry = run_of(chunk, shared)
-            answer = np.zeros(len(run), np.uint64)
+            answer = np.zeros(int(shared.sum()), np.uint64)
             replies = told.filter(pa.array(kinds < 0))
             for first, bits in zip(replies["first"].to_pylist(), replies["bits"].to_pylist()):
                 x = np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint64)
                 answer[first : first + len(x)] = x
-            masks[at] = answer[entry]
+            done = 0
+            for run, at, entry in run_of(chunk, shared):
+                masks[at] = answer[done + entry]
+                done += len(run)
+                del run
+            del answer, replies
         _, inverse, counts = np.unique(chunk.keys, return_inverse=True, return_counts=True)
         own = np.flatnonzero(counts[inverse] > 1)
-        spots = chunk.anchors.at
-        if len(own):
-            chunk.only(own)
-            s = chunk.suffixes()
+        own = own[np.argsort(inverse[own], kind="stable")]
+        # windows are equal only where keys are
+        edges = np.concatenate(([0], np.cumsum(counts[counts > 1])))
+        for i, j in _parts(edges, part):
+            some = own[edges[i] : edges[j]]
+            s = chunk.suffixes(some)
             order = s.order()
             s = s.take(order)
-            masks[own[order]] |= earlier_windows(common_prefixes(s.strings()), s.n_right, s.left, s.n_left, s.docs, window)
-        gone = np.zeros(len(chunk.data) + 1, np.int32)
-        for d in range(window - gram_length(window) + 1):
-            starts = spots[(masks >> np.uint64(d)) & np.uint64(1) > 0] - d
-            gone += np.bincount(starts, minlength=len(gone)).astype(np.int32)
-            gone -= np.bincount(starts + window, minlength=len(gone)).astype(np.int32)
-        gone = np.cumsum(gone)[:-1] > 0
+            masks[some[order]] |= earlier_windows(common_prefixes(s.strings()), s.n_right, s.left, s.n_left, s.docs, window)
+            del s, order
+        del inverse, counts
+        spots = chunk.anchors.at
+        data, bounds = chunk.data, chunk.bounds
+        del chunk, own
+        gone = _gone(spots, masks, len(data), window)
+        del spots, masks
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
-        inner = chunk.bounds[:-1][chunk.bounds[:-1] < len(gone)]
+        inner = bounds[:-1][bounds[:-1] < len(gone)]
         begins[inner] = gone[inner]
-        tally = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[chunk.bounds])
-        n_gone, n_spans = tally(gone), tally(begins)
+        n_gone, n_spans = _tally(gone, bounds), _tally(begins, bounds)
+        del begins
         if characters:
-            gone = _whole_characters(chunk.data, gone)
-        left = chunk.data[~gone]
-        sizes = np.diff(chunk.bounds)
-        ends = np.concatenate(([0], np.cumsum(sizes - (tally(gone) if characters else n_gone)))).astype(np.int64)
-        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(left.tobytes())])
-        del chunk, gone, begins, left, masks, inverse, counts
+            _whole_characters(data, gone, bounds)
+        sizes = np.diff(bounds)
+        ends = np.concatenate(([0], np.cumsum(sizes - (_tally(gone, bounds) if characters else n_gone)))).astype(np.int64)
+        np.logical_not(gone, out=gone)
+        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data[gone])])
+        del data, gone
         released()
         out = {c: t[c] for c in others}
         return pa.table(out | {"n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": kept.cast(pa.binary())})

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from aerolith.llm import decontaminate, near_sets, simhash
+from aerolith.llm import decontaminate, near_sets, quality_rules, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -110,3 +110,14 @@ def test_near_dedup_of_no_rows_and_with_columns_of_like_names(spark):
     docs = spark.createDataFrame([(1, a, "x", "y", "z"), (2, a, "x", "y", "z"), (None, None, "p", None, "q")], "doc_id long, text string, _gone_id string, _row string, fp string")
     assert sorted(map(tuple, simhash.stage(spark, docs, "").collect()), key=str) == [(1, a, "x", "y", "z"), (None, None, "p", None, "q")]
     assert simhash.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_texts_go_to_workers_in_small_batches_and_the_setting_comes_back(spark, monkeypatch):
+    key, seen, own = "spark.sql.execution.arrow.maxBytesPerBatch", [], {}
+    before = spark.conf.get(key)
+    for module, name in ((near_sets, "signed"), (quality_rules, "measured")):
+        own[name] = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, f=own[name], **b: (seen.append(spark.conf.get(key)), f(*a, **b))[1])
+    docs = spark.createDataFrame([(1, prose(1), "s"), (2, prose(2), "s")], "doc_id long, text string, source string")
+    assert simhash.stage(spark, docs, "").count() == quality_rules.stage(spark, docs, "").count() == 2
+    assert seen == ["4m", "4m"] and spark.conf.get(key) == before

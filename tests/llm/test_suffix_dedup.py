@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from aerolith.llm import suffix_dedup
 from aerolith.llm._grams import anchors
 
@@ -102,3 +104,45 @@ def test_stage_keeps_whole_characters(spark):
     df = spark.createDataFrame([(1, text, "fr", "s", 48), (2, "x" + text[1:] + "!", "fr", "s", 49)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in suffix_dedup.stage(spark, df, "").collect()}
     assert out[1].text == text and out[2].text == "x!" and out[2].n_chars == 2
+
+
+def test_parts_of_a_chunk_against_brute_force(spark):
+    rows = texts(4)
+    assert run(spark, rows, chunk_bytes=1500, range_bytes=1500, part=7) == brute(rows)
+    assert run(spark, rows, part=40) == brute(rows)
+
+
+def test_parts_keep_pieces_whole():
+    edges = np.array([0, 3, 5, 6, 20, 21, 22])
+    assert list(suffix_dedup._parts(edges, 5)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(suffix_dedup._parts(np.array([0]), 5)) == []
+
+
+def test_a_chunk_needs_little_memory_beside_its_text():
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    held = pa.array([" ".join(r.choices(vocabulary, k=600)).encode() for _ in range(1000)], pa.binary())
+    size = held.nbytes
+    tracemalloc.start()
+    try:
+        chunk = suffix_dedup.Chunk(held, np.arange(len(held)), 50)
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        masks = np.zeros(len(chunk.keys), np.uint64)
+        masks[::9] = 1
+        gone = suffix_dedup._gone(chunk.anchors.at, masks, len(chunk.data), 50)
+        suffix_dedup._whole_characters(chunk.data, gone, chunk.bounds)
+        assert suffix_dedup._tally(gone, chunk.bounds).sum() == gone.sum() > 0
+        spread = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert found < 8 * size, found / size
+    assert spread < 6 * size, spread / size
+
+
+def test_characters_end_with_their_document():
+    data = np.frombuffer("aé".encode() + b"\xa9b" + "éé".encode(), np.uint8)
+    gone = np.array([0, 0, 1, 0, 0, 1, 0, 0, 0], bool)
+    suffix_dedup._whole_characters(data, gone, np.array([0, 3, 3, 9]), block=2)
+    assert gone.tolist() == [False, True, True, False, False, True, True, False, False]
