@@ -25,33 +25,45 @@ from pyspark.sql import types as T
 
 from ._spark import pieces, released, table, utf8, without
 from ._tokens import WORD_LEVEL, encoder, resolved
+from ._words import sliced
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces that are packed together, on average.
 GROUP_PIECES = 30_000
+#: Bytes of text that a worker takes from Arrow and encodes together, and how many in the pipeline, where it needs less memory but somewhat more time.
+TEXTS, FEWER_TEXTS = 4 << 20, 1 << 20
 
 
-def token_pieces(docs: DataFrame, *, tokenizer: str = WORD_LEVEL, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, *, tokenizer: str = WORD_LEVEL, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", cut_bytes: int = TEXTS) -> DataFrame:
     """One row per piece: id, piece (int), start, length (long), ids (binary: little-endian unsigned 32 bits)."""
     path = resolved(tokenizer)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
+    def whole(owners: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        ends = np.cumsum(counts + 1)
+        ended = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+        n_pieces = -(-(counts + 1) // capacity)
+        of = np.repeat(np.arange(len(owners)), n_pieces)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+        start = piece * capacity
+        length = np.minimum((counts + 1)[of] - start, capacity)
+        offsets = np.concatenate((((ends - counts - 1)[of] + start), ends[-1:])) * 4
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(ended.tobytes())])
+        return pa.RecordBatch.from_arrays([owners.take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), held.cast(pa.binary())], [id_col, "piece", "start", "length", "ids"])
+
+    def cuts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+        first = 0
+        for _, texts in sliced(batch, cut_bytes):
+            yield first, texts
+            first += len(texts)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j, ids, counts in own.encode(texts):
-                ends = np.cumsum(counts + 1)
-                whole = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
-                n_pieces = -(-(counts + 1) // capacity)
-                of = np.repeat(np.arange(j - i), n_pieces)
-                piece = np.arange(len(of)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
-                start = piece * capacity
-                length = np.minimum((counts + 1)[of] - start, capacity)
-                offsets = np.concatenate((((ends - counts - 1)[of] + start), ends[-1:])) * 4
-                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(whole.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + i)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), held.cast(pa.binary())], [id_col, "piece", "start", "length", "ids"])
+            for first, texts in cuts(batch):
+                for i, j, ids, counts in own.encode(texts):
+                    yield whole(batch.column(0).slice(first + i, j - i), ids, counts)
         released()
 
     return docs.select(id_col, utf8(text_col).alias("_text")).mapInArrow(cut, schema)
@@ -138,14 +150,14 @@ def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
+def packed_documents(docs: DataFrame, cut_bytes: int = TEXTS) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    cut = token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    cut = token_pieces(docs, cut_bytes=cut_bytes).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(cut, groups_for(docs), keys=["doc_id", "piece", "length", "ids_crc32"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed_documents(docs)
+    return packed_documents(docs, FEWER_TEXTS)
 
 
 def crc32_of(ids: np.ndarray) -> int:

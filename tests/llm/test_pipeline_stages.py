@@ -105,6 +105,40 @@ def test_near_candidates_come_from_fingerprints_alone(spark, block):
     assert [label[k + 1] for k in range(3000)] == [want[k] + 1 for k in range(3000)]
 
 
+def test_similar_sets_always_share_a_part():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for size in [*range(1, 60), *rng.integers(60, 900, 300).tolist()]:
+        # the most that may differ at 0.8: all more in one, or some in both
+        less = int(rng.integers(0, size // 9 + 1))
+        more = max((k for k in range(size) if 5 * (size - less) >= 4 * (size + k)), default=0)
+        base = rng.integers(0, 1 << 63, size + more, dtype=np.uint64) * np.uint64(2)
+        a, b = np.sort(base[:size]), np.sort(base[less:])
+        assert 5 * (size - less) >= 4 * (size + more)
+        key, of = near_sets.parts(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+        assert np.intersect1d(key[of == 0], key[of == 1]).size
+    key, of = near_sets.parts(np.zeros(0, np.uint64), np.zeros(3, np.int64))
+    assert not key.size and not of.size
+
+
+def test_near_dedup_finds_pairs_whose_fingerprints_are_far_apart(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    # five shingles and four of them: a similarity of 0.8, seldom with fingerprints that far apart
+    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    far = [5818, 21620, 37675, 40896]
+    rows = [(2 * k + j, text(k, 9 - j)) for k in [*far, *range(40)] for j in (0, 1)]
+    _, wide = near_sets.signatures(*near_sets.sets_of([t.encode() for _, t in rows]))
+    assert (np.bitwise_count(wide[::2] ^ wide[1::2]).sum(axis=1)[: len(far)] > near_sets.FAR).all()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    for bucket in (near_sets.BUCKET, 7):
+        found = near_sets.grouped(docs.select(key.alias("_key"), "text"), bucket=bucket).collect()
+        assert {r._key.id: r.component_id.id for r in found} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_dedup_of_no_rows_and_with_columns_of_like_names(spark):
     a = prose(1)
     docs = spark.createDataFrame([(1, a, "x", "y", "z"), (2, a, "x", "y", "z"), (None, None, "p", None, "q")], "doc_id long, text string, _gone_id string, _row string, fp string")
